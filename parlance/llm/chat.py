@@ -58,27 +58,24 @@ def best_paths(forest: DataFrame, branches: int = 1, score: Column | None = None
     reach = nodes.select("conv_id", "node", F.col("parent").alias("up"), "score", F.lit(1).cast("long").alias("depth"))
     steps = []
     while True:
-        steps.append(reach.select("conv_id", "node", "up").where("up is not null"))
-        if steps[-1].isEmpty():
+        # only messages that haven't reached their root take part in a step
+        going = reach.where("up is not null")
+        if going.isEmpty():
             break
+        steps.append(going.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "up"))
         above = reach.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("depth").alias("depth2"))
-        reach = cut(
-            reach.join(above, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("n")), "left").select(
-                "conv_id", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")
-            )
+        moved = going.join(above, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("n")), "left").select(
+            "conv_id", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")
         )
+        reach = cut(moved.union(reach.where("up is null")))
     parents = nodes.where("parent is not null").select(F.col("conv_id").alias("c"), F.col("parent").alias("p")).distinct()
     leaves = reach.join(parents, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("p")), "left_anti")
     rank = Window.partitionBy("conv_id").orderBy(F.col("score").desc(), "node")
     chosen = leaves.withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= branches)
     marked = cut(chosen.select("conv_id", "branch", "node"))
-    for step in steps[:-1]:
-        hop = step.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "up")
-        marked = cut(
-            marked.join(hop, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n")), "left").select(
-                "conv_id", "branch", F.explode(F.when(F.col("up").isNull(), F.array("node")).otherwise(F.array("node", "up"))).alias("node")
-            )
-        )
+    for step in steps:
+        higher = marked.join(step, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n"))).select("conv_id", "branch", F.col("up").alias("node"))
+        marked = cut(marked.union(higher))
     message = nodes.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "role", "text")
     place = reach.select(F.col("conv_id").alias("c2"), F.col("node").alias("n2"), "depth")
     return (
