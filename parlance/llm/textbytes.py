@@ -37,7 +37,7 @@ def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
 NOT_SPACE = ~byte_class((0x20, 0x20), (0x09, 0x0D))
 
 
-def runs(column: pa.Array | pa.ChunkedArray, limit: int = RUN_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def runs(column: pa.Array | pa.ChunkedArray, limit: int = RUN_BYTES, max_rows: int = 1 << 30) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of successive runs of rows; null reads as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
@@ -51,7 +51,7 @@ def runs(column: pa.Array | pa.ChunkedArray, limit: int = RUN_BYTES) -> Iterator
     first = 0
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
-        last = min(last, n)
+        last = min(last, n, first + max_rows)
         yield first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
 
