@@ -388,10 +388,14 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str
     return docs.mapInArrow(measure, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
-def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def remove_scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those that score at least ``threshold``."""
-    scored = with_score(docs, fit(docs, labels), name="__score")
-    return scored.where(F.col("__score") < threshold).drop("__score")
+    return with_score(docs, model, name="__score").where(F.col("__score") < threshold).drop("__score")
+
+
+def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The same, by a model fitted to the labelled among ``docs``."""
+    return remove_scored(docs, fit(docs, labels), threshold)
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
