@@ -11,20 +11,22 @@ shingles, S being the sum of their sizes.
     then agree in two whole parts or more.  A column of the matrix is one part's
     whole content.  Unlike a single frequent shingle, a part's content recurs
     almost only in near copies, however common a line or passage is.
-2.  *Groups.*  The smallest document holding a column leads a group, which takes in
-    all documents with that column: similar documents gather around few leaders.
-    This is done first within each task, so that only one entry for each column
-    and task travels, even for a text that a third of all rows share.
-3.  *Pivots.*  Every member is compared exactly with its leader, row by row in a
-    plain join.  The components of these links already join most copies.
-4.  *Bounds.*  Only groups with members in other components than the leader's are
-    left.  Their members are cut into blocks; each block stores the union of its
-    members' shingles.  A query's overlap with that union bounds its overlap with
-    every member, and only if ``overlap * 100 >= percent * |query|`` is the block
-    opened and counted exactly.  A block emits a spanning forest, not all pairs.
-
-No pair of nodes that links is missed: it shares a column, hence a group, and is
-compared there unless its two nodes are already in one component.  Nothing is
+2.  *Groups.*  The smallest document holding a column leads it.  This is done
+    first within each task, so that only one entry for each column and task
+    travels, even for a text that a third of all rows share.  A document's home is
+    the group of its smallest leader, so similar documents gather in few groups.
+3.  *Pivots.*  Every document is compared exactly with its home's leader, row by
+    row in a plain join.  The components of these links already join most copies.
+4.  *Bounds.*  A document then queries the groups that are home to others of its
+    columns, and its own if it isn't linked to the leader, unless all members are
+    in its component.  Members are cut into blocks; each block makes the union of
+    its members' shingles.  A query's overlap with that union bounds its overlap
+    with every member, and only if ``overlap * 100 >= percent * |query|`` is the
+    block opened and counted exactly.  A block emits a spanning forest, not pairs.
+
+No pair of nodes that links is missed: it shares a column, hence that column's
+leader; of the two, the one whose home is the larger queries the other's home, and
+they are compared there unless they are in one component already.  Nothing is
 capped.  Two kinds of approximation would matter only at 64-bit (shingle) and
 128-bit (set) hash collisions.
 
@@ -300,28 +302,36 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     linked = None
     if largest:
         groups = _groups(texts.where("id is not null"), width, percent, largest)
-        a = member_of.select(F.col("id").alias("member"), F.col("rep").alias("a"), F.col("n").alias("na"))
-        b = member_of.select(F.col("id").alias("leader"), F.col("rep").alias("b"), F.col("n").alias("nb"))
-        pairs = cut(
-            groups.join(a, "member").join(b, "leader").where("a <> b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b").distinct()
-        )
-        wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-        tokens = _token_rows(texts.where("id is not null"), wanted, width)
+        a = member_of.select(F.col("id").alias("member"), F.col("rep").alias("a"))
+        b = member_of.select(F.col("id").alias("leader"), F.col("rep").alias("b"))
+        led = groups.join(a, "member").join(b, "leader").where("a <> b").select("a", "b").distinct()
+        # every leader is in its own group too
+        led = cut(led.union(led.select(F.col("b").alias("a"), "b").distinct()))
+        homes = cut(led.groupBy("a").agg(F.min("b").alias("home")))
+        within = led.join(homes, "a").select("b", "home").distinct()
+        visits = led.join(homes, "a").select("a", F.col("home").alias("own"), "b").join(within, "b").where("home <= own").select("a", "own", F.col("home").alias("grp")).distinct()
+        wanted = cut(homes.select(F.col("a").alias("id"), "home"))
+        tokens = _token_rows(texts.where("id is not null"), wanted.select("id"), width)
         one = tokens.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-        two = tokens.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-        shared = F.size(F.array_intersect("ta", "tb"))
-        pivots = cut(pairs.join(one, "a").join(two, "b").where(shared * 100 >= (F.col("na") + F.col("nb") - shared) * percent).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        two = tokens.select(F.col("id").alias("home"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+        shared, sizes = F.size(F.array_intersect("ta", "tb")), F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+        compared = homes.where("a <> home").join(one, "a").join(two, "home").where(sizes)
+        pivots = compared.where(shared * 100 >= (F.col("na") + F.col("nb") - shared) * percent).select(F.col("a").alias("src"), F.col("home").alias("dst"))
         first = components(pivots)
-        where_of = cut(wanted.join(first, wanted["id"] == first["node"], "left").select("id", F.coalesce("component", "id").alias("component")))
-        member, leader = where_of.select(F.col("id").alias("a"), F.col("component").alias("ca")), where_of.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-        placed = cut(pairs.join(member, "a").join(leader, "b").select("a", "ca", F.col("b").alias("grp"), "cb"))
-        left_out = placed.where("ca <> cb")
-        open_groups = placed.groupBy("grp").agg(F.count("*").alias("m"), F.count_if(F.col("ca") != F.col("cb")).alias("q")).where("q > 0 and m > 1")
-        open_groups = open_groups.select("grp", F.ceil(F.col("m") / BLOCK).alias("mb"), F.ceil(F.col("q") / BLOCK).alias("qb"))
+        where_of = cut(wanted.join(first, wanted["id"] == first["node"], "left").select("id", "home", F.coalesce("component", "id").alias("component")))
+        lead = where_of.select(F.col("id").alias("grp"), F.col("component").alias("lead"), (F.col("home") == F.col("id")).cast("int").alias("inside"))
+        size = where_of.groupBy(F.col("home").alias("grp")).agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
+        asked = visits.join(where_of.select(F.col("id").alias("a"), "component"), "a").join(lead, "grp").join(size, "grp")
+        # a member in its leader's component waits for the others to ask; alone with its leader it has asked already
+        at_home = (F.col("own") == F.col("grp")) & ((F.col("component") == F.col("lead")) | (F.col("m") == 1 + F.col("inside")))
+        settled = (F.col("low") == F.col("high")) & (F.col("low") == F.col("component"))
+        asked = cut(asked.where(~at_home & ~settled).select("a", "component", "grp", "m"))
+        blocks = asked.groupBy("grp").agg(F.ceil(F.first("m") / BLOCK).alias("mb"), F.ceil(F.count("*") / BLOCK).alias("qb"))
         block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        m = placed.join(open_groups, "grp").select("grp", F.col("a").alias("id"), F.col("ca").alias("component"), F.lit(False).alias("query"), block("a", "mb").alias("i"), every("qb").alias("j"))
-        q = left_out.join(open_groups, "grp").select("grp", F.col("a").alias("id"), F.col("ca").alias("component"), F.lit(True).alias("query"), every("mb").alias("i"), block("a", "qb").alias("j"))
+        members = where_of.select("id", "component", F.col("home").alias("grp")).join(blocks, "grp")
+        m = members.select("grp", "id", "component", F.lit(False).alias("query"), block("id", "mb").alias("i"), every("qb").alias("j"))
+        q = asked.join(blocks, "grp").select("grp", F.col("a").alias("id"), "component", F.lit(True).alias("query"), every("mb").alias("i"), block("a", "qb").alias("j"))
         more = m.union(q).join(tokens, "id").groupBy("grp", "i", "j").applyInArrow(open_blocks(percent), "src long, dst long")
         second = components(more.distinct())
         linked = where_of.join(second, where_of["component"] == second["node"], "left").select(F.col("id").alias("rep"), F.coalesce(second["component"], where_of["component"]).alias("found"))
