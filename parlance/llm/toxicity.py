@@ -7,7 +7,7 @@ counts with a weight that falls with every character it skips, up to a span of
 six.  A character put into, taken from or changed in an insult thus leaves most of
 its subsequences.  The kernel is normed by what a unit of that length can hold.
 
-Fitting (on the driver, on a bounded sample of labelled documents): character
+Fitting (in one task, on a bounded sample of labelled documents): character
 runs and words that occur in toxic documents and practically never in others, by
 documents and not by copies, mark the offending units of toxic documents; these,
 with variants that have inserted and doubled characters, and the units of clean
@@ -30,7 +30,7 @@ Other columns aren't read.
 from __future__ import annotations
 
 import itertools
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +43,7 @@ from parlance.llm import labelled
 from parlance.llm import textbytes as tb
 
 #: The bounds of the labelled sample (for each class) and of the landmarks.
-PER_CLASS, LANDMARKS = 5000, 640
+PER_CLASS, LANDMARKS = 4000, 640
 FOLDS, FOLD, THRESHOLD = 5, 0, 0.5
 SPAN, DECAY = 6, 0.6
 #: What being the very same unit adds to the kernel.
@@ -193,38 +193,73 @@ def _clusters(marks: np.ndarray) -> np.ndarray:
     return np.array([root(i) for i in range(len(marks))])
 
 
-def _runs_of(unit: bytes) -> set[bytes]:
-    """What may give a unit away: the whole of it and its runs of four and five characters."""
-    full = b"\0" + unit + b"\0"
-    return {full, *(full[i : i + n] for n in (4, 5) for i in range(len(full) - n + 1))}
+class Units:
+    """The distinct units of some documents: code characters of all, end to end."""
+
+    def __init__(self, packed: list[bytes]):
+        blob = b"\xff".join(packed) + b"\xff"
+        chars = np.frombuffer(blob, np.uint8)
+        stops = np.flatnonzero(chars == 255)
+        starts = np.concatenate([[0], stops[:-1] + 1])
+        of = np.searchsorted(np.cumsum([len(p) + 1 for p in packed]), starts, "right")
+        some = stops > starts
+        self.chars, self.starts, self.ends, self.doc = chars, starts[some], stops[some], of[some]
+        self.n = len(packed)
+
+    def word(self, i: int) -> bytes:
+        return self.chars[self.starts[i] : self.ends[i]].tobytes()
+
+    def distinct(self) -> np.ndarray:
+        """A place of each different unit, ordered by what it says."""
+        _, first = np.unique(tb.span_hashes(self.chars, self.starts, self.ends), return_index=True)
+        return first
+
+    def slots(self) -> tuple[np.ndarray, np.ndarray]:
+        """(unit, slot) of what may give a unit away: all of it, and its runs of four and five characters."""
+        text, begin = _laid_out(self.chars, self.starts, self.ends)
+        m, size = len(text), np.diff(np.append(begin, len(text)))
+        owner, room = np.repeat(np.arange(len(begin)), size), np.repeat(begin + size, size) - np.arange(m)
+        unit, slot = [np.arange(len(begin))], [tb.span_hashes(text.astype(np.uint8), begin, begin + size)]
+        for n in (4, 5):
+            packed = np.zeros(max(m - n + 1, 0), U64)
+            for k in range(n):
+                packed = (packed << U64(6)) | text[k : m - n + 1 + k].astype(U64)
+            ok = room[: len(packed)] >= n
+            unit.append(owner[: len(packed)][ok])
+            slot.append(tb.mix(packed[ok] + U64(n << 40)))
+        return np.concatenate(unit), (np.concatenate(slot) & U64(SLOTS - 1)).astype(np.int64)
+
+
+#: Runs are counted in a table of this size; two that share a slot count together.
+SLOTS = 1 << 25
+
+
+def _count(packed: list[bytes], cluster: np.ndarray) -> np.ndarray:
+    """In how many clusters of documents each slot occurs."""
+    out = np.zeros(SLOTS, np.uint16)
+    order = np.argsort(cluster, kind="stable")
+    new = np.flatnonzero(np.append(True, np.diff(cluster[order]) != 0))
+    # batches of about 100 documents that don't part a cluster
+    cuts = np.append(np.unique(new[np.minimum(np.searchsorted(new, np.arange(0, len(order), 100)), len(new) - 1)]), len(order))
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        some = order[low:high]
+        units = Units([packed[i] for i in some])
+        unit, slot = units.slots()
+        pair = np.unique(cluster[some][units.doc[unit]].astype(np.int64) * SLOTS + slot)
+        np.add.at(out, pair % SLOTS, np.uint16(1))
+    return out
 
 
-def telling_runs(docs: list[set[bytes]], y: np.ndarray, cluster: np.ndarray) -> set[bytes]:
-    """Runs that only toxic documents have, too often for chance, counted by cluster of copies."""
-    toxic, clean = {c for c, t in zip(cluster, y) if t}, {c for c, t in zip(cluster, y) if not t}
-    if not toxic:
-        return set()
-    base = len(toxic) / (len(toxic) + len(clean))
-    in_toxic = _clusters_with(docs, y, cluster, None)
+def telling_slots(packed: list[bytes], y: np.ndarray, cluster: np.ndarray, in_clean: np.ndarray, n_clean: int) -> np.ndarray:
+    """Slots that only toxic documents fill, too often for chance, counted by cluster of copies."""
+    if not y.any():
+        return np.zeros(SLOTS, bool)
+    toxic = np.flatnonzero(y)
+    n_toxic = len(np.unique(cluster[toxic]))
+    base = n_toxic / (n_toxic + n_clean)
+    seen = _count([packed[i] for i in toxic], cluster[toxic])
     least = max(3, int(np.ceil(12 / max(-np.log(min(base, 0.6)), 0.5))))
-    often = {r: len(c) for r, c in in_toxic.items() if len(c) >= least}
-    in_clean = _clusters_with(docs, ~y, cluster, often)
-    return {r for r, n in often.items() if len(in_clean.get(r, ())) <= 0.02 * n}
-
-
-def _clusters_with(docs: list[set[bytes]], which: np.ndarray, cluster: np.ndarray, only: dict | None) -> dict[bytes, set[int]]:
-    """For each run (of ``only``, if given) the clusters of the chosen documents that have it."""
-    of_unit: dict[bytes, set[int]] = defaultdict(set)
-    for d, use, c in zip(docs, which, cluster.tolist()):
-        if use:
-            for u in d:
-                of_unit[u].add(c)
-    out: dict[bytes, set[int]] = defaultdict(set)
-    for u, c in of_unit.items():
-        for r in _runs_of(u):
-            if only is None or r in only:
-                out[r] |= c
-    return out
+    return (seen >= least) & (in_clean <= 0.02 * seen)
 
 
 def _variants(word: bytes, rng: np.random.Generator) -> list[bytes]:
@@ -288,49 +323,61 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def fit_units(docs: list[set[bytes]], y: np.ndarray, marks: np.ndarray, seed: int = 0) -> Model:
-    """A model from documents' unit sets, their labels and the marks that tell copies."""
+def fit_units(packed: list[bytes], y: np.ndarray, marks: np.ndarray, seed: int = 0) -> Model:
+    """A model from documents' packed unit sets, their labels and the marks that tell copies."""
     y = y.astype(bool)
     if not y.any() or y.all():
         return NEVER
-    cluster, telling, left = _clusters(marks), set(), y.copy()
+    cluster = _clusters(marks)
+    in_clean = _count([p for p, t in zip(packed, y) if not t], cluster[~y])
+    telling, left, n_clean = np.zeros(SLOTS, bool), y.copy(), len(np.unique(cluster[~y]))
+    toxic = np.flatnonzero(y)
+
+    def offending_units() -> Iterator[tuple[int, bytes]]:
+        """(document, unit) of the toxic documents' units with a telling slot."""
+        for low in range(0, len(toxic), 100):
+            units = Units([packed[i] for i in toxic[low : low + 100]])
+            unit, slot = units.slots()
+            for i in np.unique(unit[telling[slot]]):
+                yield toxic[low + units.doc[i]], units.word(i)
+
     for _ in range(3):
         # toxic documents that nothing gave away yet stand out better by themselves
-        found = telling_runs([d for d, t, u in zip(docs, y, left) if u or not t], y[left | ~y], cluster[left | ~y])
-        if not found:
+        found = telling_slots(packed, left, cluster, in_clean, n_clean)
+        if not found.any():
             break
         telling |= found
-        left &= ~np.array([any(not telling.isdisjoint(_runs_of(u)) for u in d) if u_ else True for d, u_ in zip(docs, left)])
-    counts = Counter(u for d, t in zip(docs, y) if t for u in d if not telling.isdisjoint(_runs_of(u)))
+        left = y.copy()
+        left[[d for d, _ in offending_units()]] = False
+    counts = Counter(u for _, u in offending_units())
+    del in_clean, telling
     positive = [u for u, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
     if not positive:
         return NEVER
     rng = np.random.default_rng(seed)
-    clean = sorted({u for d, t in zip(docs, y) if not t for u in d} - set(positive))
+    good = Units([p for p, t in zip(packed, y) if not t])
+    offending = set(positive)
+    places = np.array([i for i in good.distinct() if good.word(i) not in offending], np.int64)
+    if not len(places):
+        return NEVER
+    clean = lambda chosen: [good.word(i) for i in places[chosen]]
     more = [v for u in positive[:2000] for v in _variants(u, rng)]
     right = positive[:4000] + [v for v in more if len(v) > 3]
-    if not clean:
-        return NEVER
-    wrong = [clean[i] for i in rng.choice(len(clean), min(4000, len(clean)), replace=False)]
-    chars, ends = np.frombuffer(b"".join(clean), np.uint8), np.cumsum([len(u) for u in clean])
-    starts = np.concatenate([[0], ends[:-1]])
-    model = NEVER
+    wrong = clean(rng.choice(len(places), min(4000, len(places)), replace=False))
     for _ in range(5):
         labels = np.repeat([True, False], [len(right), len(wrong)])
         near = positive[: LANDMARKS // 2]
         table, bias = _machine(right + wrong, labels, near + wrong[-(LANDMARKS - len(near)) :])
         model = Model(table, bias, 1.0, 0.0)
-        liked = np.concatenate([model.decide(chars, starts[i : i + 50_000], ends[i : i + 50_000]) for i in range(0, len(clean), 50_000)])
+        liked = np.concatenate([model.decide(good.chars, good.starts[places[i : i + 50_000]], good.ends[places[i : i + 50_000]]) for i in range(0, len(places), 50_000)])
         hard = np.argsort(-liked, kind="stable")[:1500]
         known = set(wrong)
-        wrong += [clean[i] for i in hard[::-1] if clean[i] not in known]
-    worst = []
-    for d in docs:
-        own = sorted(d)
-        e = np.cumsum([len(u) for u in own])
-        found = model.decide(np.frombuffer(b"".join(own), np.uint8), np.concatenate([[0], e[:-1]]), e) if own else np.empty(0)
-        worst.append(found.max(initial=-10.0))
-    slope, shift = _logistic(np.array(worst), y)
+        wrong += [u for u in clean(hard[::-1]) if u not in known]
+    worst = np.full(len(y), -10.0)
+    for low in range(0, len(packed), 200):
+        some = Units(packed[low : low + 200])
+        np.maximum.at(worst, low + some.doc, model.decide(some.chars, some.starts, some.ends))
+    slope, shift = _logistic(worst, y)
     return Model(table, bias, max(slope, 1e-3), shift)
 
 
@@ -357,15 +404,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: i
                 packed = pa.array([b"\xff".join(sorted(s)) for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([cut("doc_id"), cut("y"), packed, pa.array([m.tobytes() for m in marks], pa.binary())], names=names)
 
-    # bounded rows: at most per_class ids of each label
-    rows = sorted(train.mapInArrow(gather, "doc_id long, y int, units binary, marks binary").collect(), key=lambda r: (r["doc_id"], r["units"]))
-    if not rows:
-        return NEVER
-    marks = np.array([np.frombuffer(r["marks"], np.int64) for r in rows])
-    # a document without units is a copy of none
-    bare = marks[:, 0] == np.iinfo(np.int64).max
-    marks[bare] = -np.arange(1, bare.sum() + 1)[:, None]
-    return fit_units([set(bytes(r["units"]).split(b"\xff")) - {b""} for r in rows], np.array([r["y"] for r in rows]), marks)
+    def fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: (r["doc_id"], r["units"]))
+        if rows:
+            marks = np.array([np.frombuffer(r["marks"], np.int64) for r in rows])
+            # a document without units is a copy of none
+            bare = marks[:, 0] == np.iinfo(np.int64).max
+            marks[bare] = -np.arange(1, bare.sum() + 1)[:, None]
+            model = fit_units([r["units"] for r in rows], np.array([r["y"] for r in rows]), marks)
+            yield pa.RecordBatch.from_arrays([pa.array([model.table.tobytes()], pa.binary()), *(pa.array([float(x)]) for x in (model.bias, model.slope, model.shift))], names=["table", "bias", "slope", "shift"])
+
+    # bounded rows, at most per_class ids of each label, meet in one task
+    sampled = train.mapInArrow(gather, "doc_id long, y int, units binary, marks binary").repartition(1)
+    fitted = sampled.mapInArrow(fit_all, "table binary, bias double, slope double, shift double").first()
+    return NEVER if fitted is None else Model(np.frombuffer(fitted["table"], np.float32), fitted["bias"], fitted["slope"], fitted["shift"])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
