@@ -20,8 +20,12 @@ def read_events(spark: SparkSession, folder: str, per_batch: int = 1) -> DataFra
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", per_batch).json(folder)
 
 
-def state_changes(events: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
-    """(job_id, status, ts, n_events) after each batch that touched a job; finished jobs' state is dropped after a while."""
+def state_changes(events: DataFrame, ttl_ms: int = TTL_MS, late: str = "10 minutes") -> DataFrame:
+    """(job_id, status, ts, n_events) after each batch that touched a job.
+
+    A finished job's state is dropped ``ttl_ms`` of event time after its last event, so
+    a replay drops the same jobs.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -36,11 +40,11 @@ def state_changes(events: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
             n += 1
         state.update((status, n))
         if status in ("done", "error"):
-            state.setTimeoutDuration(ttl_ms)
+            state.setTimeoutTimestamp(max(int(events["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + ttl_ms)
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "ts": [events["ts"].max()], "n_events": [n]})
 
-    return events.groupBy("job_id").applyInPandasWithState(
-        step, "job_id string, status string, ts timestamp, n_events long", "status string, n long", "update", GroupStateTimeout.ProcessingTimeTimeout
+    return events.withWatermark("ts", late).groupBy("job_id").applyInPandasWithState(
+        step, "job_id string, status string, ts timestamp, n_events long", "status string, n long", "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
