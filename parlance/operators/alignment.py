@@ -121,3 +121,27 @@ def ordered_match(wanted: DataFrame, said: DataFrame, key: str) -> DataFrame:
         return pd.DataFrame({key: left[key].to_numpy(), "ord": left["ord"].to_numpy(), "pos": right["pos"].to_numpy()[found]})
 
     return wanted.groupBy(key).cogroup(said.groupBy(key)).applyInPandas(fold, f"{key} {dict(wanted.dtypes)[key]}, ord long, pos long")
+
+
+def best_shift(rows: DataFrame, first: str, second: str, limit: int) -> DataFrame:
+    """``rows`` with the shift of the second waveform, within ``limit`` samples, at which the two differ least on average."""
+
+    @F.pandas_udf("long")
+    def search(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b):
+            if x is None or y is None:
+                out.append(None)
+                continue
+            x, y = np.asarray(x, np.float64), np.asarray(y, np.float64)
+            cost = {}
+            # nearer shifts first, so that they win ties
+            for s in sorted(range(-limit, limit + 1), key=abs):
+                p, q = x[max(s, 0) : len(y) + s], y[max(-s, 0) : len(x) - s]
+                n = min(len(p), len(q))
+                if n > 0:
+                    cost[s] = np.abs(p[:n] - q[:n]).mean()
+            out.append(min(cost, key=cost.get) if cost else None)
+        return pd.Series(out, dtype="Int64")
+
+    return rows.withColumn("shift", search(F.col(first), F.col(second)))

@@ -154,3 +154,15 @@ def manifest(clips: DataFrame, folder: str, suffix: str = "mkv") -> DataFrame:
         "duration_ms": F.col("end_ms") - F.col("start_ms"),
         "timecode": tx.timecode(F.col("start_ms") / 1000),
     })
+
+
+def peak_normalised(samples: Column) -> Column:
+    """Samples scaled so that the loudest is 1; silence stays as it is."""
+    peak = F.array_max(F.transform(samples, lambda x: F.abs(x)))
+    return F.when(peak > 0, F.transform(samples, lambda x: x / peak)).otherwise(samples)
+
+
+def blocks(samples: Column, length: int) -> Column:
+    """The samples in pieces of at most ``length``."""
+    n = F.ceil(F.size(samples) / length).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.slice(samples, k * length + 1, F.lit(length)))).otherwise(F.array())

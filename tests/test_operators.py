@@ -259,3 +259,13 @@ def test_job_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert seen == ["j1"]
+
+
+def test_waveforms(spark):
+    wave_ = [0.0, 0.0, 1.0, -2.0, 3.0, 0.0, 0.0, 0.0]
+    frame = spark.createDataFrame([(wave_, wave_[2:] + [0.0, 0.0]), (wave_, wave_), (wave_, None)], "a array<double>, b array<double>")
+    assert [r["shift"] for r in alignment.best_shift(frame, "a", "b", 3).collect()] == [2, 0, None]
+    assert frame.select(transcripts.peak_normalised(F.col("a"))).first()[0][3:5] == pytest.approx([-2 / 3, 1.0])
+    assert [len(x) for x in frame.select(transcripts.blocks(F.col("a"), 3)).first()[0]] == [3, 3, 2]
+    bounds = transcripts.sample_range(F.lit(0.25), F.lit(0.5), 8)
+    assert frame.select(transcripts.sliced(F.col("a"), bounds)).first()[0] == [1.0, -2.0]
