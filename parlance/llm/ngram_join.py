@@ -7,22 +7,24 @@ shingles, S being the sum of their sizes.
 
 1.  *Matrix columns.*  Sizes are cut into classes so that linked nodes lie in the
     same or in neighbouring classes.  For a class whose linked nodes differ in at
-    most d shingles, the shingles are dealt by hash into d + 2 parts; linked nodes
-    then agree in two whole parts or more.  A column of the matrix is one part's
-    whole content.  Unlike a single frequent shingle, a part's content recurs
+    most d shingles, the shingles are dealt by hash into d + 1 parts and as many
+    more as may be empty by chance; linked nodes then agree in the whole of at
+    least one part that isn't empty.  A column of the matrix is one part's content.  Unlike a single frequent shingle, a part's content recurs
     almost only in near copies, however common a line or passage is.
 2.  *Groups.*  The smallest document holding a column leads it.  This is done
     first within each task, so that only one entry for each column and task
     travels, even for a text that a third of all rows share.  A document's home is
     the group of its smallest leader, so similar documents gather in few groups.
-3.  *Pivots.*  Every document is compared exactly with its home's leader, row by
-    row in a plain join.  The components of these links already join most copies.
+3.  *Pivots.*  Every document is compared with its home's leader, row by row in a
+    plain join: by hashed bit sets first, whose differing bits bound what they can
+    share, then exactly.  The components of these links already join most copies.
 4.  *Bounds.*  A document then queries the groups that are home to others of its
     columns, and its own if it isn't linked to the leader, unless all members are
     in its component.  Members are cut into blocks; each block makes the union of
-    its members' shingles.  A query's overlap with that union bounds its overlap
-    with every member, and only if ``overlap * 100 >= percent * |query|`` is the
-    block opened and counted exactly.  A block emits a spanning forest, not pairs.
+    its members' shingles, as bits first and of those left as shingles.  A query's
+    overlap with that union bounds its overlap with every member, and only if
+    ``overlap * 100 >= percent * |query|`` is the block opened and counted exactly.
+    A block emits a spanning forest, not pairs.
 
 No pair of nodes that links is missed: it shares a column, hence that column's
 leader; of the two, the one whose home is the larger queries the other's home, and
@@ -80,6 +82,31 @@ def _set_keys(row: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, n
     return size, tb.mix(_sums(row, tb.mix(value), n)), tb.mix(_sums(row, tb.mix(value ^ U64(0x5DEECE66D)), n))
 
 
+def _sketches(row: np.ndarray, value: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Each row's shingles as a hashed bit set, its length a power of two of at least twice their number."""
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(bits // 64)])
+    place = (tb.mix(value ^ U64(0x94D049BB)) & (bits - 1).astype(U64)[row]).astype(np.int64)
+    out = np.zeros(base[-1], U64)
+    np.bitwise_or.at(out, base[row] + place // 64, U64(1) << (place % 64).astype(U64))
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((base * 8).astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
+
+
+def _folded(packed: list[bytes], words: int) -> np.ndarray:
+    """Bit sets at a shorter length: their pieces are laid on each other."""
+    return np.array([np.bitwise_or.reduce(np.frombuffer(p, U64).reshape(-1, words), axis=0) for p in packed])
+
+
+def may_link(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets can link, by their bit sets (last axis).
+
+    A bit that only one of them has stands for at least one shingle that only it has,
+    so this bounds what they share from above and never turns a link away.
+    """
+    shared = np.minimum(na - np.bitwise_count(a & ~b).sum(-1, dtype=np.int64), nb - np.bitwise_count(b & ~a).sum(-1, dtype=np.int64))
+    return shared * 100 >= percent * (na + nb - shared)
+
+
 class Scheme:
     """Size classes and, for each, how many parts shingles are dealt into."""
 
@@ -91,7 +118,14 @@ class Scheme:
         tops.append(low * 100 // percent)
         self.tops = np.array(tops)
         apart = 2 * self.tops * (100 - percent) // (100 + percent)
-        self.parts = np.where(apart > 0, apart + 2, 1)
+        # some parts stay empty by chance; as many are to spare, so that empty ones seldom have to count
+        size, self.spare = np.append(1, self.tops[:-1]), np.ones(len(apart))
+        for _ in range(4):
+            parts = apart + 1 + self.spare
+            empty = parts * np.exp(-size / parts)
+            self.spare = np.maximum(1, np.ceil(empty + 3 * np.sqrt(empty)))
+        self.spare = np.where(apart > 0, np.minimum(self.spare, apart + 1), 0).astype(np.int64)
+        self.parts = apart + 1 + self.spare
 
     def columns(self, row: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, column) entries of the matrix."""
@@ -111,9 +145,9 @@ class Scheme:
             content = _sums(cell, tb.mix(value), cells)
             with np.errstate(over="ignore"):
                 column = tb.mix(content + tb.mix((np.arange(cells) - base[owner]).astype(U64) * U64(1 << 20) + k.astype(U64)[owner]))
-            # one empty part is to spare; with more, agreeing in them has to count
+            # with more empty parts than are to spare, agreeing in them has to count
             bare = np.bincount(owner[filled == 0], minlength=n)
-            use = (filled > 0) | (bare[owner] > 1)
+            use = (filled > 0) | (bare > self.spare[k])[owner]
             rows.append(owner[use])
             columns.append(column[use])
         return np.concatenate(rows), np.concatenate(columns)
@@ -219,6 +253,57 @@ def _token_rows(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return cut(rows.join(wanted, "id", "left_semi").groupBy("id", "key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")))
 
 
+def pivot_filter(percent: int):
+    """Keep the rows (a, na, sa, home, nb, sb) whose two sets may link."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            good = []
+            for x, y, n, m in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), na, nb):
+                x, y = _folded([x, y], min(len(x), len(y)) // 8)
+                good.append(bool(may_link(x, n, y, m, percent)))
+            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "home"])
+
+    return keep
+
+
+def bound_blocks(percent: int):
+    """Of a block's queries and members those that may link with one of the other kind.
+
+    First the union of the members' bits bounds each query's overlap with the group;
+    only queries that pass it are held against the members one by one.
+    """
+
+    def bound(group: pa.Table) -> pa.Table:
+        is_query, comp, size = (group[c].to_numpy() for c in ("query", "component", "n"))
+        packed = group["sketch"].to_pylist()
+        words = np.array([len(p) // 8 for p in packed])
+        out = np.zeros(len(words), bool)
+        for a in np.unique(words[is_query]):
+            for b in np.unique(words[~is_query]):
+                # sets that link differ in size by less than a factor of two, so their bit sets by one length at most
+                if max(a, b) > 2 * min(a, b):
+                    continue
+                queries, members = np.flatnonzero(is_query & (words == a)), np.flatnonzero(~is_query & (words == b))
+                fold = lambda rows: _folded([packed[i] for i in rows], min(a, b))  # noqa: E731, B023
+                mine, theirs = fold(queries), fold(members)
+                union = np.bitwise_or.reduce(theirs, axis=0)
+                most = size[queries] - np.bitwise_count(mine & ~union).sum(1, dtype=np.int64)
+                passed = most * 100 >= percent * size[queries]
+                queries, mine = queries[passed], mine[passed]
+                step = max(1, (1 << 22) // (len(members) * mine.shape[1])) if len(queries) else 1
+                for low in range(0, len(queries), step):
+                    q = queries[low : low + step]
+                    able = may_link(mine[low : low + step][:, None, :], size[q][:, None], theirs[None, :, :], size[members][None, :], percent)
+                    able &= comp[q][:, None] != comp[members][None, :]
+                    out[q[able.any(1)]] = True
+                    out[members[able.any(0)]] = True
+        return group.filter(pa.array(out)).select(["grp", "i", "j", "id", "component", "query"])
+
+    return bound
+
+
 def _forest(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     """Of the given links, those that join two trees."""
     parent: dict[int, int] = {}
@@ -285,15 +370,18 @@ def open_blocks(percent: int):
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): one row for each row of ``docs``."""
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be over 50, at most 100")
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, n, row, value in shingle_sets(batch.column(1), width):
                 size, a, b = _set_keys(row, value, n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), *(pa.array(x.view(np.int64)) for x in (size.astype(np.int64), a, b))], names=["id", "n", "key", "key2"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), *(pa.array(x.view(np.int64)) for x in (size.astype(np.int64), a, b)), _sketches(row, value, size)], names=["id", "n", "key", "key2", "sketch"])
 
-    sets = cut(texts.mapInArrow(measure, "id long, n long, key long, key2 long"))
+    measured = cut(texts.mapInArrow(measure, "id long, n long, key long, key2 long, sketch binary"))
+    sets = measured.drop("sketch")
     nodes = cut(sets.where("n > 0 and id is not null").groupBy("n", "key", "key2").agg(F.min("id").alias("rep")))
     largest = nodes.agg(F.max("n")).first()[0] or 0
     # every id of a set, with the set's smallest id
@@ -311,11 +399,18 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
         within = led.join(homes, "a").select("b", "home").distinct()
         visits = led.join(homes, "a").select("a", F.col("home").alias("own"), "b").join(within, "b").where("home <= own").select("a", "own", F.col("home").alias("grp")).distinct()
         wanted = cut(homes.select(F.col("a").alias("id"), "home"))
-        tokens = _token_rows(texts.where("id is not null"), wanted.select("id"), width)
+        # a document's own bit set: rows that share its id and set are alike
+        mine = measured.where("n > 0").join(wanted.select("id"), "id", "left_semi").join(nodes, ["n", "key", "key2"]).where("rep = id")
+        bits = cut(mine.groupBy("id", "n", "key", "key2").agg(F.first("sketch").alias("sketch")).select("id", "n", "sketch"))
+        one = bits.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+        two = bits.select(F.col("id").alias("home"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+        near = cut(homes.where("a <> home").join(one, "a").join(two, "home").select("a", "na", "sa", "home", "nb", "sb").mapInArrow(pivot_filter(percent), "a long, home long").distinct())
+        known = texts.where("id is not null")
+        tokens = _token_rows(known, near.select(F.col("a").alias("id")).union(near.select("home")).distinct(), width)
         one = tokens.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
         two = tokens.select(F.col("id").alias("home"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-        shared, sizes = F.size(F.array_intersect("ta", "tb")), F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-        compared = homes.where("a <> home").join(one, "a").join(two, "home").where(sizes)
+        shared = F.size(F.array_intersect("ta", "tb"))
+        compared = near.join(one, "a").join(two, "home")
         pivots = compared.where(shared * 100 >= (F.col("na") + F.col("nb") - shared) * percent).select(F.col("a").alias("src"), F.col("home").alias("dst"))
         first = components(pivots)
         where_of = cut(wanted.join(first, wanted["id"] == first["node"], "left").select("id", "home", F.coalesce("component", "id").alias("component")))
@@ -332,7 +427,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
         members = where_of.select("id", "component", F.col("home").alias("grp")).join(blocks, "grp")
         m = members.select("grp", "id", "component", F.lit(False).alias("query"), block("id", "mb").alias("i"), every("qb").alias("j"))
         q = asked.join(blocks, "grp").select("grp", F.col("a").alias("id"), "component", F.lit(True).alias("query"), every("mb").alias("i"), block("a", "qb").alias("j"))
-        more = m.union(q).join(tokens, "id").groupBy("grp", "i", "j").applyInArrow(open_blocks(percent), "src long, dst long")
+        place = "grp long, i long, j long, id long, component long, query boolean"
+        able = cut(m.union(q).join(bits, "id").groupBy("grp", "i", "j").applyInArrow(bound_blocks(percent), place))
+        tokens = _token_rows(known, able.select("id").distinct(), width)
+        more = able.join(tokens, "id").groupBy("grp", "i", "j").applyInArrow(open_blocks(percent), "src long, dst long")
         second = components(more.distinct())
         linked = where_of.join(second, where_of["component"] == second["node"], "left").select(F.col("id").alias("rep"), F.coalesce(second["component"], where_of["component"]).alias("found"))
     final = nodes.select("n", "key", "key2", "rep")
