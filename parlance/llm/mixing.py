@@ -12,8 +12,8 @@ and text and the seed, so a rerun keeps the same ones.
 on its surface (see ``register``); any other column can be given.  Default target
 shares are the observed ones raised to ``flatten`` and normed, which lifts small
 sources moderately.  Shares that name no existing category are left out and the
-others normed.  Where empty cells make the targets unreachable, raking stops after
-``max_rounds`` at its best fit.
+others normed.  Where empty cells make the targets unreachable, raking stops when a
+round brings it hardly closer, or after ``max_rounds``.
 
 Null source, language or topic: a category of its own.  Null or empty text: no
 tokens; such documents share their cell's probability, and cells without any
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from parlance.llm.runtime import cut
 
 DIMENSIONS = ("source", "lang", "topic")
-FLATTEN, MAX_ROUNDS, TOLERANCE = 0.9, 40, 1e-6
+FLATTEN, MAX_ROUNDS, TOLERANCE = 0.9, 40, 1e-5
+#: A round that leaves more than this share of the distance ends the raking.
+SETTLED = 0.9
 NONE = "\x00none"
 
 
@@ -72,6 +74,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, flatten:
         whole = shares.agg(F.sum("share")).first()[0] or 1.0
         goals[d] = shares.select(f"__{d}", (F.col("share") * (float(total) / whole)).alias("goal"))
     fitted = cells.withColumn("weight", F.col("tokens").cast("double"))
+    last = float("inf")
     for _ in range(max_rounds):
         for d in DIMENSIONS:
             factor = fitted.groupBy(f"__{d}").agg(F.sum("weight").alias("now")).join(goals[d], f"__{d}", "left").select(f"__{d}", F.when(F.col("now") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("now")).otherwise(F.lit(1.0)).alias("factor"))
@@ -82,8 +85,11 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, flatten:
             fitted.groupBy(f"__{d}").agg(F.sum("weight").alias("now")).join(goals[d], f"__{d}", "left").agg(F.max(F.abs(F.col("now") - F.coalesce("goal", F.lit(0.0)))).alias("off"))
             for d in DIMENSIONS[:-1]
         ]
-        if max(r["off"] or 0.0 for r in off[0].union(off[1]).collect()) <= tolerance * max(total, 1):
+        worst = max(r["off"] or 0.0 for r in off[0].union(off[1]).collect())
+        # empty cells can keep the sums from ever meeting; then they settle at some distance
+        if worst <= tolerance * max(total, 1) or worst > SETTLED * last:
             break
+        last = worst
     return fitted
 
 
