@@ -29,6 +29,8 @@ from parlance.llm.runtime import cut
 
 DIMENSIONS = ("source", "lang", "topic")
 FLATTEN, MAX_ROUNDS, TOLERANCE = 0.9, 40, 1e-5
+#: Up to this many cells they are broadcast; beyond, documents are dealt by cell and Spark splits hot ones.
+MAX_CELLS = 100_000
 #: A round that leaves more than this share of the distance ends the raking.
 SETTLED = 0.9
 NONE = "\x00none"
@@ -64,7 +66,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, flatten:
     ``targets`` gives a DataFrame (category, share) for any of the dimensions.
     """
     cells = cut(cells)
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    total, n = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
+    small = F.broadcast if n <= MAX_CELLS else lambda df: df  # categories are no more than cells
     goals = {}
     for d in DIMENSIONS:
         own = (targets or {}).get(d)
@@ -77,8 +80,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, flatten:
     last = float("inf")
     for _ in range(max_rounds):
         for d in DIMENSIONS:
-            factor = fitted.groupBy(f"__{d}").agg(F.sum("weight").alias("now")).join(goals[d], f"__{d}", "left").select(f"__{d}", F.when(F.col("now") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("now")).otherwise(F.lit(1.0)).alias("factor"))
-            fitted = fitted.join(factor, f"__{d}").withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
+            factor = fitted.groupBy(f"__{d}").agg(F.sum("weight").alias("now")).join(small(goals[d]), f"__{d}", "left").select(f"__{d}", F.when(F.col("now") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("now")).otherwise(F.lit(1.0)).alias("factor"))
+            fitted = fitted.join(small(factor), f"__{d}").withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
         fitted = cut(fitted)
         # the last dimension fits now; how far the others are off tells how far there is to go
         off = [
@@ -110,6 +113,8 @@ def draw(seed: int) -> Column:
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, flatten: float = FLATTEN, topic: Column | None = None, seed: int = 0, with_probability: bool = False) -> DataFrame:
     """The documents kept, with their columns (and ``topic`` and ``probability``)."""
     cells = probabilities(docs, targets, flatten, topic).select(*[f"__{d}" for d in DIMENSIONS], F.col("probability").alias("__p"))
+    if cells.count() <= MAX_CELLS:
+        cells = F.broadcast(cells)  # texts stay where they are; a hot cell is spread as its rows were
     kept = keyed(docs, topic).join(cells, [f"__{d}" for d in DIMENSIONS]).where(draw(seed) < F.col("__p"))
     if not with_probability:
         return kept.select(docs.columns)
