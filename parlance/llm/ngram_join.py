@@ -53,7 +53,7 @@ from parlance.llm.components import components
 from parlance.llm.runtime import cut, shuffle_width
 
 U64 = np.uint64
-BLOCK = 256
+BLOCK = 2048
 #: Entries a task holds before it hands them on.
 FLUSH = 2_000_000
 #: Bits of the filter that keeps texts without any candidate from being read again; its size is fixed.
@@ -431,8 +431,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
         able = cut(m.union(q).join(bits, "id").groupBy("grp", "i", "j").applyInArrow(bound_blocks(percent), place))
         tokens = _token_rows(known, able.select("id").distinct(), width)
         more = able.join(tokens, "id").groupBy("grp", "i", "j").applyInArrow(open_blocks(percent), "src long, dst long")
-        second = components(more.distinct())
-        linked = where_of.join(second, where_of["component"] == second["node"], "left").select(F.col("id").alias("rep"), F.coalesce(second["component"], where_of["component"]).alias("found"))
+        more = cut(more.distinct())
+        second = None if more.isEmpty() else components(more)
+        if second is None:
+            linked = where_of.select(F.col("id").alias("rep"), F.col("component").alias("found"))
+        else:
+            linked = where_of.join(second, where_of["component"] == second["node"], "left").select(F.col("id").alias("rep"), F.coalesce(second["component"], where_of["component"]).alias("found"))
     final = nodes.select("n", "key", "key2", "rep")
     if linked is None:
         final = final.withColumn("found", F.col("rep"))
