@@ -179,7 +179,8 @@ def _lead(column: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _groups(docs: DataFrame, width: int, percent: int, largest: int) -> DataFrame:
     """Distinct (member, leader) of all groups."""
     spark = docs.sparkSession
-    n_buckets = max(shuffle_width(spark), 4 * docs.rdd.getNumPartitions())
+    # a pair is handed on once for each bucket that has a column of it, so buckets are no more than memory asks for
+    n_buckets = max(64, shuffle_width(spark), 2 * docs.rdd.getNumPartitions())
     scheme = Scheme(percent, largest)
 
     def emit(column: list, doc: list) -> pa.RecordBatch:
