@@ -23,7 +23,7 @@ def parse_tagged(raw: Column) -> Column:
         lambda m: F.struct(
             F.regexp_extract(m, TAGGED, 1).cast("double").alias("start"),
             F.regexp_extract(m, TAGGED, 2).alias("speaker"),
-            F.regexp_replace(F.regexp_extract(m, TAGGED, 3), r"^\s+|\s+$", "").alias("text"),
+            F.regexp_replace(F.regexp_extract(m, TAGGED, 3), r"^\s+|\s+\z", "").alias("text"),
             F.regexp_extract(m, TAGGED, 4).cast("double").alias("end"),
         ),
     )
@@ -33,6 +33,16 @@ def render_tagged(start: Column, speaker: Column, text: Column, end: Column) ->
     return F.concat(F.lit("["), start.cast("string"), F.lit("]["), speaker, F.lit("]"), text, F.lit("["), end.cast("string"), F.lit("]"))
 
 
+def escape_tags(text: Column) -> Column:
+    """``text`` with a backslash after every ``[`` that a digit follows, so that no part of it reads as a time tag."""
+    return F.regexp_replace(text, r"\[(\\*[0-9])", r"[\\$1")
+
+
+def unescape_tags(text: Column) -> Column:
+    """What ``escape_tags`` was given."""
+    return F.regexp_replace(text, r"\[\\(\\*[0-9])", r"[$1")
+
+
 def units(text: Column) -> Column:
     """Each Han character, and each run of ASCII letters and digits, is a unit."""
     return F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))

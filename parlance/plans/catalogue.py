@@ -34,6 +34,17 @@ def oracle_sql() -> dict[str, str]:
 
 # --- transcripts ------------------------------------------------------------
 
+def _shift_parsed(said: DataFrame) -> DataFrame:
+    """The segments (``tag``, ``body``) written as one tagged text for each part, parsed again, and shifted by the part's start."""
+    raw = said.groupBy("recording_id", "part").agg(
+        F.array_sort(F.collect_list(F.struct("seg_ord", tx.render_tagged(F.col("start_ms"), F.col("tag"), F.col("body"), F.col("end_ms")).alias("t")))).alias("ts")
+    )
+    parsed = raw.select("recording_id", "part", F.col("ts.seg_ord").alias("ords"), F.posexplode(tx.parse_tagged(F.array_join(F.transform("ts", lambda t: t["t"]), ""))).alias("i", "s"))
+    rows = parsed.select("recording_id", "part", F.get("ords", F.col("i")).alias("seg_ord"), F.col("s.start").cast("long").alias("start_ms"), F.col("s.end").cast("long").alias("end_ms"), "s.speaker", "s.text")
+    offsets = said.select("recording_id", "part").distinct().withColumn("offset_ms", F.col("part").cast("long") * 1000000)
+    return spans.shift(rows, offsets, ["recording_id", "part"])
+
+
 @query(f"""with {TALK} select recording_id, part, seg_ord - 0 as seg_ord, part * 1000000 + start_ms as start_ms, part * 1000000 + end_ms as end_ms,
  case speaker when 'user' then 'S01' when 'assistant' then 'S02' else 'S03' end as speaker, trim(substr(regexp_replace(text, '[^a-zA-Z]+', ' ', 'g'), 1, 40)) as text from talk""")
 def segment_shift_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,13 +53,18 @@ def segment_shift_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         "tag": F.when(F.col("speaker") == "user", "S01").when(F.col("speaker") == "assistant", "S02").otherwise("S03"),
         "body": F.trim(F.substring(F.regexp_replace("text", "[^a-zA-Z]+", " "), 1, 40)),
     })
-    raw = said.groupBy("recording_id", "part").agg(
-        F.array_sort(F.collect_list(F.struct("seg_ord", tx.render_tagged(F.col("start_ms"), F.col("tag"), F.col("body"), F.col("end_ms")).alias("t")))).alias("ts")
-    )
-    parsed = raw.select("recording_id", "part", F.col("ts.seg_ord").alias("ords"), F.posexplode(tx.parse_tagged(F.array_join(F.transform("ts", lambda t: t["t"]), ""))).alias("i", "s"))
-    rows = parsed.select("recording_id", "part", F.get("ords", F.col("i")).alias("seg_ord"), F.col("s.start").cast("long").alias("start_ms"), F.col("s.end").cast("long").alias("end_ms"), "s.speaker", "s.text")
-    offsets = said.select("recording_id", "part").distinct().withColumn("offset_ms", F.col("part").cast("long") * 1000000)
-    return spans.shift(rows, offsets, ["recording_id", "part"])
+    return _shift_parsed(said)
+
+
+@query(f"""with {TALK} select recording_id, part, seg_ord - 0 as seg_ord, part * 1000000 + start_ms as start_ms, part * 1000000 + end_ms as end_ms,
+ case speaker when 'user' then 'S01' when 'assistant' then 'S02' else 'S03' end as speaker, trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') as text from talk""")
+def segment_shift_parse_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``segment_shift_parse``, over the whole text of every turn: nothing is cut or stripped but the white space around it."""
+    said = talk(spark, sf_dir).withColumns({
+        "tag": F.when(F.col("speaker") == "user", "S01").when(F.col("speaker") == "assistant", "S02").otherwise("S03"),
+        "body": tx.escape_tags(F.col("text")),
+    })
+    return _shift_parsed(said).withColumn("text", tx.unescape_tags(F.col("text")))
 
 
 @query(f"""with {TALK}, g as (select recording_id, speaker, count(*) as n_segments, cast(sum(end_ms - start_ms) as bigint) as speech_ms, array_to_string(list_sort(list(distinct part)), ',') as parts,
