@@ -6,8 +6,9 @@ base64 or hexadecimal characters), keeps the count of every character in the
 window, and follows the window's Shannon entropy by taking away the terms of the
 two counts that a step changes.  The part covered by windows whose entropy
 passes the bound of the candidate's character class is a span of kind
-``entropy_hex`` or ``entropy_mixed``.  Allow-listed candidates (words, dates,
-paths, repeated characters; see ``ALLOWED``) are passed over.
+``entropy_hex`` or ``entropy_mixed``.  Candidates that are words, dates or paths
+from end to end (see ``ALLOWED``) are passed over.  A run of one character needs no
+rule: its entropy is low, and what stands beside it is still looked at.
 
 Spans are code points, end exclusive.  Positions come from splitting the text at
 the matches, so one pass per pattern gives all of them.  A pattern runs only on
@@ -30,8 +31,10 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 MIN_ASSIGNED = 6
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
-#: Candidates that are no secrets: no digit, words with hyphens or underscores, dates and numbers, paths, one character repeated.
-ALLOWED = r"^(?:[^0-9]*|[A-Za-z]*(?:[-_/][A-Za-z]*)*[0-9]{0,4}|[0-9=_/+-]*|.*(.)\1{7}.*)$"
+#: A word as it is written: one case, a capital first, or such words run together; a capital within stands before two small letters at least.
+WORD = r"(?:[A-Z]?[a-z]++(?:[A-Z][a-z]{2,}+)*+|[A-Z]++)"
+#: Candidates that are no secrets, as a whole: words with hyphens, underscores and slashes between (paths) and up to four digits after; dates, numbers and rulers.
+ALLOWED = rf"^(?:[-_/=+]*+(?:{WORD}(?:[-_/=+]++{WORD})*+)?+[-_/=+]*+[0-9]{{0,4}}|[0-9=_/+-]*+)\z"
 WINDOW = 20
 #: Bits a character within a window: hexadecimal strings have 16 symbols, mixed ones 64.
 HEX_BITS, MIXED_BITS = 3.0, 3.6
