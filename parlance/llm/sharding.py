@@ -13,7 +13,8 @@ third of the rows still spreads over many partitions.
 
 Empty table: no rows.  Null text: 8 bytes, checksum 0.  Empty text: 8 bytes.
 Equal rows get different slots.  Columns of the input named like a result column
-are replaced by the result.
+(in either case) are replaced by the result; any other name, type or number of
+columns goes through as it is.
 """
 
 from __future__ import annotations
@@ -26,35 +27,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.llm.runtime import cut, shuffle_width
+from parlance.llm.runtime import cut, named, shuffle_width, unwrapped
 
 ROW_OVERHEAD = 8
+ADDED = ("size", "text_crc32", "shard", "slot")
 
 
 def assign(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add size, text_crc32, shard and slot to the ``keep`` columns (default: all)."""
-    added = ["size", "text_crc32", "shard", "slot"]
-    columns = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    text = F.col(f"`{text_col}`").cast("string")
+    columns = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ADDED]
+    text = F.coalesce(named(text_col).cast("string"), F.lit(""))
     keyed = docs.select(
-        *[F.col(f"`{c}`") for c in columns],
-        (F.octet_length(F.coalesce(text, F.lit(""))).cast("long") + ROW_OVERHEAD).alias("size"),
-        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-        F.col(f"`{id_col}`").alias("__id"),
-        F.monotonically_increasing_id().alias("__n"),
+        F.struct(*[named(c) for c in columns], F.lit(0).alias("none")).alias("row"),  # never an empty struct
+        (F.octet_length(text).cast("long") + ROW_OVERHEAD).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        named(id_col).alias("id"),
+        F.monotonically_increasing_id().alias("n"),
     )
-    order = ["__id", "text_crc32", "size", "__n"]
+    order = ["id", "text_crc32", "size", "n"]
     placed = cut(
         keyed.repartitionByRange(shuffle_width(docs.sparkSession), *order)
         .sortWithinPartitions(*order)
-        .withColumn("__part", F.spark_partition_id())
+        .select("row", "size", "text_crc32", F.spark_partition_id().alias("part"))
     )
     # one row for each partition: as many as tasks, whatever the data
-    totals = sorted((r["__part"], r["bytes"], r["n"]) for r in placed.groupBy("__part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect())
+    totals = sorted((r["part"], r["bytes"], r["rows"]) for r in placed.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect())
     bases, at_byte, at_row = {}, 0, 0
-    for part, size, n in totals:
+    for part, size, rows in totals:
         bases[part] = (at_byte, at_row)
-        at_byte, at_row = at_byte + size, at_row + n
+        at_byte, at_row = at_byte + size, at_row + rows
     whole = max(at_byte, 1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +65,7 @@ def assign(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col
                 continue
             t = pa.Table.from_batches([batch])
             if carry is None:
-                carry = bases[t["__part"][0].as_py()]
+                carry = bases[t["part"][0].as_py()]
             size = t["size"].to_numpy()
             ends = carry[0] + np.cumsum(size)
             start = ends - size
@@ -72,17 +73,14 @@ def assign(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col
             shard = np.minimum(start * n_shards // whole, n_shards - 1).astype(np.int32)
             at = carry[1] + np.arange(len(size), dtype=np.int64)
             carry = (int(ends[-1]), int(at[-1]) + 1)
-            t = t.drop_columns(["__id", "__n", "__part"]).append_column("shard", pa.array(shard)).append_column("__at", pa.array(at))
+            t = t.drop_columns(["part"]).append_column("shard", pa.array(shard)).append_column("at", pa.array(at))
             yield from t.to_batches()
 
-    schema = T.StructType([f for f in placed.schema.fields if f.name not in ("__id", "__n", "__part")] + [T.StructField("shard", T.IntegerType()), T.StructField("__at", T.LongType())])
+    schema = T.StructType([f for f in placed.schema.fields if f.name != "part"] + [T.StructField("shard", T.IntegerType()), T.StructField("at", T.LongType())])
     numbered = placed.mapInArrow(place, schema)
-    first = numbered.groupBy("shard").agg(F.min("__at").alias("__first"))  # one row for each shard
-    return (
-        numbered.join(F.broadcast(first), "shard")
-        .withColumn("slot", F.col("__at") - F.col("__first"))
-        .select(*[F.col(f"`{c}`") for c in columns], *added)
-    )
+    first = numbered.groupBy("shard").agg(F.min("at").alias("first"))  # one row for each shard
+    joined = numbered.join(F.broadcast(first), "shard")
+    return joined.select(*unwrapped(joined, columns), "size", "text_crc32", "shard", (F.col("at") - F.col("first")).alias("slot"))
 
 
 def shard_digest(docs: DataFrame, n_shards: int = 24) -> DataFrame:
