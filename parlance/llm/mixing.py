@@ -28,6 +28,7 @@ distance remained, after how many rounds, and whether it was proved goes to
 Null source, language or topic: a category of its own.  Null or empty text: no
 tokens; such documents share their cell's probability, and cells without any
 token are kept whole.  Repeated rows share one fate.  Empty tables give no rows.
+Other columns go through as they are, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.runtime import cut
+from parlance.llm.runtime import cut, named, unwrapped, whole_row
 
 DIMENSIONS = ("source", "lang", "topic")
 FLATTEN, MAX_ROUNDS, TOLERANCE = 0.9, 10_000, 1e-6
@@ -66,10 +67,15 @@ def register(text: Column) -> Column:
     )
 
 
+def cell_of(topic: Column | None = None) -> list[Column]:
+    """The cell that a row of documents belongs to."""
+    cell = {"source": named("source"), "lang": named("lang"), "topic": register(named("text").cast("string")) if topic is None else topic}
+    return [F.coalesce(v.cast("string"), F.lit(NONE)).alias(f"__{k}") for k, v in cell.items()]
+
+
 def keyed(docs: DataFrame, topic: Column | None = None) -> DataFrame:
-    """``docs`` with the cell each row belongs to."""
-    cell = {"source": F.col("source"), "lang": F.col("lang"), "topic": register(F.col("text")) if topic is None else topic}
-    return docs.withColumns({f"__{k}": F.coalesce(v.cast("string"), F.lit(NONE)) for k, v in cell.items()})
+    """The cell of each row, beside the ``row`` itself."""
+    return docs.select(whole_row(docs), *cell_of(topic))
 
 
 def observed_shares(cells: DataFrame, dimension: str, flatten: float = FLATTEN) -> DataFrame:
@@ -192,7 +198,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, flatten:
 
 def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None, flatten: float = FLATTEN, topic: Column | None = None, report: dict | None = None) -> DataFrame:
     """(__source, __lang, __topic, tokens, weight, probability) for each cell; ``report`` as in ``rake``."""
-    cells = keyed(docs, topic).groupBy(*[f"__{d}" for d in DIMENSIONS]).agg(F.sum(n_tokens(F.col("text"))).alias("tokens"))
+    cells = docs.select(*cell_of(topic), n_tokens(named("text").cast("string")).alias("n")).groupBy(*[f"__{d}" for d in DIMENSIONS]).agg(F.sum("n").alias("tokens"))
     fitted = rake(cells, targets, flatten, report=report)
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
     largest = fitted.agg(F.max(ratio)).first()[0] or 1.0
@@ -201,16 +207,16 @@ def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None,
 
 def draw(seed: int) -> Column:
     """A number from 0 to 1 that follows from a document's id, its text and the seed."""
-    return F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    return F.pmod(F.xxhash64(F.lit(seed), named("doc_id"), named("text")), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, flatten: float = FLATTEN, topic: Column | None = None, seed: int = 0, with_probability: bool = False) -> DataFrame:
-    """The documents kept, with their columns (and ``topic`` and ``probability``)."""
-    cells = probabilities(docs, targets, flatten, topic).select(*[f"__{d}" for d in DIMENSIONS], F.col("probability").alias("__p"))
+    """The documents kept, with their columns (and, in place of any so named, ``topic`` and ``probability``)."""
+    cells = probabilities(docs, targets, flatten, topic).select(*[f"__{d}" for d in DIMENSIONS], "probability")
     if cells.count() <= MAX_CELLS:
         cells = F.broadcast(cells)  # texts stay where they are; a hot cell is spread as its rows were
-    kept = keyed(docs, topic).join(cells, [f"__{d}" for d in DIMENSIONS]).where(draw(seed) < F.col("__p"))
+    kept = docs.select(whole_row(docs), *cell_of(topic), draw(seed).alias("draw")).join(cells, [f"__{d}" for d in DIMENSIONS]).where("draw < probability")
     if not with_probability:
-        return kept.select(docs.columns)
-    own = [c for c in docs.columns if c not in ("topic", "probability")]
-    return kept.select(*own, F.nullif("__topic", F.lit(NONE)).alias("topic"), F.col("__p").alias("probability"))
+        return kept.select(*unwrapped(kept, docs.columns))
+    own = [c for c in docs.columns if c.lower() not in ("topic", "probability")]
+    return kept.select(*unwrapped(kept, own), F.nullif("__topic", F.lit(NONE)).alias("topic"), "probability")
