@@ -11,11 +11,12 @@ around it built, sent through a join with the window set, and so verified as
 whole strings.  Words inside any occurrence are hit; a document is contaminated if
 hits make up at least ``1 / ratio`` of its words.  Beyond ``MAX_WINDOWS`` the
 window set is joined by shuffle instead of broadcast, and beyond ``MAX_ANCHORS``
-every window of a text goes to the join; results are the same.
+anchors are known by a bit map instead of one by one; results are the same.
 
 Null or empty text: no words, no hits, not contaminated.  Null items and null
 item ids count for nothing.  Repeated rows each get their row.  An empty
-benchmark hits nothing; an empty table gives no rows.
+benchmark hits nothing; an empty table gives no rows.  Other columns are kept by
+``remove_documents`` and ``remove_spans``, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.runtime import cut
+from parlance.llm.runtime import cut, named, unwrapped, whole_row
 
 WINDOW = 13
 RATIO = 20
@@ -32,6 +33,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 OTHER_UPPER = r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]"
 MAX_WINDOWS, MAX_ANCHORS = 200_000, 20_000
+#: Bits of a bitmap's page, and of all of them at most.
+PAGE, MAX_BITS = 1 << 15, 1 << 27
 
 
 def lowered(text: Column) -> Column:
@@ -57,6 +60,26 @@ def _quoted(values: list[str]) -> str:
     return ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
 
 
+def _is_anchor(anchors: DataFrame) -> str:
+    """SQL that tells of a word ``x`` whether it may be an anchor: a set of them, or beyond ``MAX_ANCHORS`` a bit map.
+
+    The map has 16 bits an anchor, at most ``MAX_BITS``; a word that it takes for an
+    anchor by chance costs some windows that the join then turns away.
+    """
+    some = [r[0] for r in anchors.limit(MAX_ANCHORS + 1).collect()]
+    if len(some) <= MAX_ANCHORS:
+        return f"x in ({_quoted(some)})" if some else "false"
+    size = PAGE
+    while size < min(16 * anchors.count(), MAX_BITS):
+        size *= 2
+    bit = F.pmod(F.xxhash64("anchor"), F.lit(size)) + 1  # bitmaps count from 1
+    pages = anchors.select(F.bitmap_bucket_number(bit).alias("b"), F.bitmap_bit_position(bit).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits"))
+    held = {r["b"]: bytes(r["bits"]) for r in pages.collect()}  # at most MAX_BITS bits
+    packed = b"".join(held.get(k + 1, bytes(PAGE // 8)) for k in range(size // PAGE))
+    place = f"pmod(xxhash64(x), {size}L)"
+    return f"(shiftright(cast(conv(hex(substring(X'{packed.hex()}', cast({place} div 8 as int) + 1, 1)), 16, 10) as int), cast({place} % 8 as int)) & 1) = 1"
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The measured documents (doc_id, h, n_words) and, for those with any, (doc_id, h, hits, items).
 
@@ -64,14 +87,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, id_col
     """
     windows = cut(benchmark_windows(benchmark, width))
     facts = windows.agg(F.count("*").alias("n"), F.collect_set("len").alias("lens")).first()
-    anchors = [r[0] for r in windows.select("anchor").distinct().limit(MAX_ANCHORS + 1).collect()]
-    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("h"), words(F.col(f"`{text_col}`").cast("string")).alias("w"))
-    if not anchors:
-        at = F.array().cast("array<int>")
-    elif len(anchors) > MAX_ANCHORS:
-        at = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1)).otherwise(F.array().cast("array<int>"))
-    else:
-        at = F.expr(f"filter(transform(w, (x, i) -> if(x in ({_quoted(anchors)}), i, null)), x -> x is not null)")
+    text = named(text_col).cast("string")
+    source = docs.select(named(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), words(text).alias("w"))
+    at = F.expr(f"filter(transform(w, (x, i) -> if({_is_anchor(windows.select('anchor').distinct())}, i, null)), x -> x is not null)")
+
     def around(n: int) -> Column:
         """Places of the windows of ``n`` words over any anchor: start * 64 + n."""
         first, last = lambda p: F.greatest(p - n + 1, F.lit(0)), lambda p: F.least(p, F.size("w") - n)
@@ -114,24 +133,35 @@ def contamination(docs: DataFrame, benchmark: DataFrame, ratio: int = RATIO, wid
     return joined.select("doc_id", "h", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (n_hit * ratio >= F.col("n_words"))).alias("contaminated"))
 
 
+def _beside(docs: DataFrame) -> DataFrame:
+    """``docs`` as rows beside the id and text hash that hits are known by."""
+    return docs.select(whole_row(docs), named("doc_id").alias("id"), F.xxhash64(named("text").cast("string")).alias("hash"))
+
+
+def _same() -> Column:
+    return F.col("id").eqNullSafe(F.col("doc_id")) & F.col("hash").eqNullSafe(F.col("h"))
+
+
 def remove_documents(docs: DataFrame, benchmark: DataFrame, ratio: int = RATIO) -> DataFrame:
     """``docs`` without the contaminated ones."""
-    bad = contamination(docs, benchmark, ratio).where("contaminated").select(F.col("doc_id").alias("d2"), F.col("h").alias("h2")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("d2")) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(F.col("h2")), "left_anti")
+    bad = contamination(docs, benchmark, ratio).where("contaminated").select("doc_id", "h").distinct()
+    kept = _beside(docs).join(bad, _same(), "left_anti")
+    return kept.select(*unwrapped(kept, docs.columns))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with the words of every occurrence taken out of ``text``, the rest as it was."""
     _, hits = find_hits(docs, benchmark)
-    right = hits.select(F.col("doc_id").alias("d2"), F.col("h").alias("h2"), "hits")
     # the pattern for words of either case: what lies between words stays the same
     pattern = WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
     inside = lambda i: F.exists("hits", lambda x: (x["s"] <= i) & (i < x["s"] + x["n"]))
-    kept = F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda x, i: F.when(inside(i), "").otherwise(x))
-    gaps = F.split("text", pattern, -1)
+    joined = _beside(docs).join(hits.select("doc_id", "h", "hits"), _same(), "left")
+    text = joined["row"].getField("text").cast("string")
+    kept = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x, i: F.when(inside(i), "").otherwise(x))
+    gaps = F.split(text, pattern, -1)
     cleaned = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(kept, i), F.lit("")))), "")
-    joined = docs.join(right, docs["doc_id"].eqNullSafe(F.col("d2")) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(F.col("h2")), "left")
-    return joined.withColumn("text", F.when(F.col("hits").isNotNull(), cleaned).otherwise(F.col("text"))).select(docs.columns)
+    whole = F.when(F.col("hits").isNotNull(), cleaned).otherwise(text).alias("text")
+    return joined.select(*[whole if c == "text" else unwrapped(joined, [c])[0] for c in docs.columns])
 
 
 def decontamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
