@@ -4,9 +4,9 @@ Base patterns (assign, access, hex) are matched leftmost and non-overlapping.
 The added method slides a window over each candidate string (a long run of
 base64 or hexadecimal characters), keeps the count of every character in the
 window, and follows the window's Shannon entropy by taking away the terms of the
-two counts that a step changes.  The part covered by windows whose entropy
+two counts that a step changes.  Each part covered by windows whose entropy
 passes the bound of the candidate's character class is a span of kind
-``entropy_hex`` or ``entropy_mixed``.  Candidates that are words, dates or paths
+``entropy_hex`` or ``entropy_mixed``; windows that touch or overlap make one span.  Candidates that are words, dates or paths
 from end to end (see ``ALLOWED``) are passed over.  A run of one character needs no
 rule: its entropy is low, and what stands beside it is still looked at.
 
@@ -20,9 +20,14 @@ results, other columns are left out.  A span may overlap one of another kind.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.llm.runtime import named
+
 # The base patterns.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -40,84 +45,117 @@ WINDOW = 20
 HEX_BITS, MIXED_BITS = 3.0, 3.6
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
+#: Matches, and characters of a candidate, that one fold goes over.
+PIECE, STRETCH = 256, 2048
+#: What the sum of n * log2(n) is counted in.
+UNIT = 1 << 40
+
 SPAN = "struct<start:bigint,rank:int,kind:string,end:bigint>"
+WITH_HIT = SPAN.replace(">", ",hit:string>")
 
 
-def _spans(text: Column, pattern: str, kind: str, rank: int, keep=None) -> Column:
-    """Spans of a pattern's matches, by adding up what lies between and within them."""
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    folded = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")),
-        lambda s, p: F.struct(
-            (s["at"] + F.length(p["gap"]) + F.coalesce(F.length(p["hit"]), F.lit(0))).alias("at"),
-            F.when(
-                p["hit"].isNotNull() & (F.lit(True) if keep is None else keep(p["hit"])),
-                F.array_append(
-                    s["out"],
-                    F.struct(
-                        (s["at"] + F.length(p["gap"])).alias("start"),
-                        F.lit(rank).alias("rank"),
-                        F.lit(kind).alias("kind"),
-                        (s["at"] + F.length(p["gap"]) + F.length(p["hit"])).alias("end"),
-                    ).cast(SPAN),
-                ),
-            )
-            .otherwise(s["out"])
-            .alias("out"),
-        ),
-    )
-    return folded["out"]
+def _bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``c``, which is worked out once however often ``f`` uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def _spans(text: Column, pattern: str, kind: str, rank: int, keep=None, shape: str = SPAN) -> Column:
+    """Spans of a pattern's matches, by adding up what lies between and within them; ``shape`` may ask for the match itself too.
+
+    A fold copies its state at every step, so sums are taken in two levels: of pieces
+    of ``PIECE`` matches, and within each piece.
+    """
+    size = lambda g, h: F.struct(F.length(g).cast("long").alias("gap"), F.length(h).cast("long").alias("len"), (F.lit(True) if keep is None else keep(h)).alias("ok"), h.alias("hit"))
+    matches = F.filter(F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), size), lambda x: x["len"].isNotNull())
+    zero = F.lit(0).cast("long")
+    span = lambda at, x: F.struct((at + x["gap"]).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (at + x["gap"] + x["len"]).alias("end"), *([x["hit"].alias("hit")] if shape != SPAN else [])).cast(shape)
+
+    def placed(xs: Column) -> Column:
+        pieces = F.sequence(F.lit(0), F.floor(F.size(xs) / PIECE).cast("int"))
+        piece = lambda j: F.slice(xs, j * PIECE + 1, F.lit(PIECE))
+        sums = F.transform(pieces, lambda j: F.aggregate(piece(j), zero, lambda s, x: s + x["gap"] + x["len"]))
 
+        def within(j: Column, base: Column) -> Column:
+            start = F.struct(base.alias("at"), F.array().cast(f"array<{shape}>").alias("out"))
+            step = lambda s, x: F.struct((s["at"] + x["gap"] + x["len"]).alias("at"), F.when(x["ok"], F.array_append(s["out"], span(s["at"], x))).otherwise(s["out"]).alias("out"))
+            return F.aggregate(piece(j), start, step, lambda s: s["out"])
 
-def _nlogn(n: Column) -> Column:
-    return F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
+        return _bound(sums, lambda ss: F.flatten(F.transform(pieces, lambda j: within(j, F.aggregate(F.slice(ss, F.lit(1), j), zero, lambda s, x: s + x)))))
 
+    return _bound(matches, placed)
 
-def _high_entropy(c: Column, bits: Column) -> Column:
-    """(start, end) within a candidate of the part under windows of at least ``bits``; null if there is none."""
-    chars = F.split(c, "")
-    code = F.transform(F.filter(chars, lambda x: x != ""), lambda x: F.instr(F.lit(ALPHABET), x))
-    zero = F.array_repeat(F.lit(0), len(ALPHABET))
 
-    def bump(counts: Column, k: Column, by: int) -> Column:
-        return F.transform(counts, lambda n, i: F.when(i == k - 1, n + by).otherwise(n))
+def _shares(bits: float) -> int:
+    """The largest sum of n * log2(n) over a window's characters, in ``UNIT``ths, at which its entropy is ``bits`` a character."""
+    return math.floor((WINDOW * math.log2(WINDOW) - bits * WINDOW) * UNIT)
 
-    def step(s: Column, k: Column) -> Column:
-        i = s["i"]
-        full = i >= WINDOW
-        gone = F.when(full, F.get(s["codes"], (i - WINDOW).cast("int"))).otherwise(F.lit(0))
-        n_out = F.coalesce(F.get(s["counts"], gone - 1), F.lit(0))
-        less = F.when(full, bump(s["counts"], gone, -1)).otherwise(s["counts"])
-        n_in = F.get(less, k - 1)
-        total = s["total"] - F.when(full, _nlogn(n_out) - _nlogn(n_out - 1)).otherwise(0.0) + _nlogn(n_in + 1) - _nlogn(n_in)
-        hot = (i + 1 >= WINDOW) & (F.lit(WINDOW).cast("double") * F.log2(F.lit(float(WINDOW))) - total >= bits * WINDOW)
+
+def high_entropy(c: Column, most: Column) -> Column:
+    """The parts of a candidate that lie under windows whose sum of n * log2(n) is at most ``most``: array of (start, end).
+
+    Twelve counts of five bits share a long, so a step changes two of six numbers.
+    The sum is kept in whole ``UNIT``ths, so it doesn't drift.  A fold copies its
+    state at every step, so a long candidate is folded in pieces that share a window's
+    length, and what touches across pieces is joined after.
+    """
+    code = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.instr(F.lit(ALPHABET), x) - 1)
+    nlogn = F.array(*[F.lit(round(n * math.log2(n) * UNIT) if n else 0).cast("long") for n in range(WINDOW + 1)])
+    one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(k, F.lit(12)) * 5)
+    of = lambda counts, k: F.call_function("shiftright", F.get(counts, F.floor(k / 12).cast("int")), F.pmod(k, F.lit(12)) * 5).bitwiseAND(31).cast("int")
+    part = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    nothing = F.lit(0).cast("long")
+
+    def step(s: Column, x: Column) -> Column:
+        i, k, gone = s["i"], x["k"], x["gone"]
+        full = gone >= 0
+        n_out = F.when(full, of(s["counts"], gone)).otherwise(F.lit(1))
+        n_in = of(s["counts"], k) - F.when(gone == k, 1).otherwise(0)
+        counts = F.transform(s["counts"], lambda v, j: v + F.when(j == F.floor(k / 12), one(k)).otherwise(nothing) - F.when(full & (j == F.floor(gone / 12)), one(gone)).otherwise(nothing))
+        total = s["total"] - F.get(nlogn, n_out) + F.get(nlogn, n_out - 1) + F.get(nlogn, n_in + 1) - F.get(nlogn, n_in)
+        hot = (i + 1 - s["base"] >= WINDOW) & (total <= s["most"])
+        apart = hot & (i + 1 - WINDOW > s["end"])
         return F.struct(
             (i + 1).alias("i"),
-            s["codes"].alias("codes"),
-            bump(less, k, 1).alias("counts"),
+            s["base"].alias("base"),
+            s["most"].alias("most"),
+            counts.alias("counts"),
             total.alias("total"),
-            F.when(hot & s["first"].isNull(), i + 1 - WINDOW).otherwise(s["first"]).alias("first"),
-            F.when(hot, i + 1).otherwise(s["last"]).alias("last"),
+            F.when(apart & (s["end"] >= 0), F.array_append(s["out"], part(s["start"], s["end"]))).otherwise(s["out"]).alias("out"),
+            F.when(apart, i + 1 - WINDOW).otherwise(s["start"]).alias("start"),
+            F.when(hot, i + 1).otherwise(s["end"]).alias("end"),
         )
 
-    start = F.struct(F.lit(0).cast("long").alias("i"), code.alias("codes"), zero.alias("counts"), F.lit(0.0).alias("total"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))
-    return F.aggregate(code, start, step, lambda s: F.struct(s["first"].alias("start"), s["last"].alias("end")))
+    def folded(codes: Column, j: Column) -> Column:
+        base = F.greatest(j * STRETCH - (WINDOW - 1), F.lit(0))
+        mine = F.slice(codes, base + 1, (j + 1) * STRETCH - base)
+        left = F.concat(F.array_repeat(F.lit(-1), WINDOW), mine)
+        pairs = F.filter(F.zip_with(mine, left, lambda k, gone: F.struct(k.alias("k"), gone.alias("gone"))), lambda x: x["k"].isNotNull())
+        start = F.struct(
+            base.alias("i"), base.alias("base"), most.cast("long").alias("most"), F.array_repeat(nothing, 6).alias("counts"), nothing.alias("total"),
+            F.array().cast("array<struct<start:int,end:int>>").alias("out"), F.lit(-1).alias("start"), F.lit(-1).alias("end"),
+        )
+        return F.aggregate(pairs, start, step, lambda s: F.when(s["end"] >= 0, F.array_append(s["out"], part(s["start"], s["end"]))).otherwise(s["out"]))
+
+    def joined(parts: Column) -> Column:
+        begins = F.filter(parts, lambda x, i: (i == 0) | (F.get(parts, i - 1)["end"] < x["start"]))
+        ends = F.filter(parts, lambda x, i: (i == F.size(parts) - 1) | (F.get(parts, i + 1)["start"] > x["end"]))
+        return F.zip_with(begins, ends, lambda a, b: part(a["start"], b["end"]))
+
+    stretches = lambda codes: F.sequence(F.lit(0), F.floor((F.size(codes) - 1) / STRETCH).cast("int"))
+    return _bound(_bound(code, lambda codes: F.flatten(F.transform(stretches(codes), lambda j: folded(codes, j)))), joined)
 
 
 def entropy_spans(text: Column) -> Column:
     """Spans of high entropy in a text's candidate strings."""
-    raw = _spans(text, CANDIDATE, "candidate", 3, lambda hit: ~hit.rlike(ALLOWED))
-    piece = lambda x: F.substr(text, (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int"))
+    raw = _spans(text, CANDIDATE, "candidate", 3, lambda hit: ~hit.rlike(ALLOWED), WITH_HIT)
 
     def scored(x: Column) -> Column:
-        hexed = piece(x).rlike("^[0-9a-fA-F_=/+-]+$")
-        part = _high_entropy(piece(x), F.when(hexed, HEX_BITS).otherwise(MIXED_BITS))
-        return F.struct(
-            (x["start"] + part["start"]).alias("start"), F.when(hexed, 3).otherwise(4).alias("rank"), F.when(hexed, "entropy_hex").otherwise("entropy_mixed").alias("kind"), (x["start"] + part["end"]).alias("end")
-        ).cast(SPAN)
+        hexed = x["hit"].rlike("^[0-9a-fA-F_=/+-]+$")
+        parts = high_entropy(x["hit"], F.when(hexed, F.lit(_shares(HEX_BITS))).otherwise(F.lit(_shares(MIXED_BITS))))
+        shown = lambda rank, kind: F.transform(parts, lambda p: F.struct((x["start"] + p["start"]).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (x["start"] + p["end"]).alias("end")).cast(SPAN))
+        return F.when(hexed, shown(3, "entropy_hex")).otherwise(shown(4, "entropy_mixed"))
 
-    return F.filter(F.transform(raw, scored), lambda x: x["start"].isNotNull())
+    return F.flatten(F.transform(raw, scored))
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -130,7 +168,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
         has = F.contains(small, F.lit(word))
         keyword = has if keyword is None else keyword | has
     assigned = lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 2)) >= MIN_ASSIGNED
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text")).select(
+    return docs.select(named(id_col).alias("doc_id"), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("__text")).select(
         "doc_id",
         F.when(keyword, _spans(text, ASSIGN, "assign", 0, assigned)).otherwise(none).alias("assign"),
         F.when(F.contains(text, F.lit("AKIA")), _spans(text, ACCESS, "access", 1)).otherwise(none).alias("access"),
@@ -141,11 +179,11 @@ def find_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
 def mask_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", mark: str = "[SECRET]") -> DataFrame:
     """The texts with every base match replaced by ``mark``."""
-    text = F.col(f"`{text_col}`")
+    text = named(text_col).cast("string")
     for pattern in (ACCESS, HEX):
         text = F.regexp_replace(text, pattern, mark)
     text = F.regexp_replace(text, ASSIGN.replace("([A-Za-z0-9+/_.=-]+)", "([A-Za-z0-9+/_.=-]{6,})"), f"$1={mark}")
-    return docs.withColumn(text_col, text)
+    return docs.select(*[text.alias(c) if c == text_col else named(c) for c in docs.columns])
 
 
 def secret_digest(docs: DataFrame) -> DataFrame:
