@@ -5,38 +5,41 @@ with equal sets are one node.  Two nodes link when ``100 * |A & B| >= percent *
 |A | B|``; then they differ in at most ``S * (100 - percent) / (100 + percent)``
 shingles, S being the sum of their sizes.
 
-1.  *Matrix columns.*  Sizes are cut into classes so that linked nodes lie in the
-    same or in neighbouring classes.  For a class whose linked nodes differ in at
-    most d shingles, the shingles are dealt by hash into d + 1 parts and as many
-    more as may be empty by chance; linked nodes then agree in the whole of at
-    least one part that isn't empty.  A column of the matrix is one part's content.  Unlike a single frequent shingle, a part's content recurs
-    almost only in near copies, however common a line or passage is.
-2.  *Groups.*  The smallest document holding a column leads it.  This is done
-    first within each task, so that only one entry for each column and task
-    travels, even for a text that a third of all rows share.  A document's home is
-    the group of its smallest leader, so similar documents gather in few groups.
-3.  *Pivots.*  Every document is compared with its home's leader, row by row in a
-    plain join: by hashed bit sets first, whose differing bits bound what they can
-    share, then exactly.  The components of these links already join most copies.
-4.  *Bounds.*  A document then queries the groups that are home to others of its
-    columns, and its own if it isn't linked to the leader, unless all members are
-    in its component.  Members are cut into blocks; each block makes the union of
-    its members' shingles, as bits first and of those left as shingles.  A query's
-    overlap with that union bounds its overlap with every member, and only if
-    ``overlap * 100 >= percent * |query|`` is the block opened and counted exactly.
-    A block emits a spanning forest, not pairs.
-
-No pair of nodes that links is missed: it shares a column, hence that column's
+1.  *Partition.*  Similar documents are put in one group, and a document need only
+    query the groups that may hold a partner.  For that, sizes are cut into classes
+    so that linked nodes lie in the same or in neighbouring classes.  For a class
+    whose linked nodes differ in at most d shingles, the shingles are dealt by hash
+    into d + 1 parts and as many more as may be empty by chance; linked nodes then
+    agree in the whole of at least one part that isn't empty.  Unlike a single frequent
+    shingle, a part's content recurs almost only in near copies, however common a
+    line or passage is.  The least node that has a part leads it (within each task
+    first, so that few entries travel for a text that a third of all rows share), and
+    a node's home is the group of its least leader.
+2.  *Unions.*  A group is cut into blocks of bounded size, each with the group's
+    leader.  A block stores the union of its members' shingles, as a bit set of hashes
+    first, and after that of those left as shingles, with which of them more than
+    one member has.  What a query shares with the union (less what only it brought there)
+    bounds its overlap with every member, and only where ``overlap * 100 >=
+    percent * |query|`` is the block opened for it.  All links are found there.
+3.  *Opening.*  The queries are counted against the leader, and those it doesn't link
+    with against all opened members.  A block emits a spanning forest, not pairs; the
+    components of these links already join most copies.
+4.  *The rest.*  A node then queries the other groups that may hold a partner, and
+    the other blocks of its own if it isn't in its leader's component, unless all
+    members are in its component already.  Bound and opening are as before.
+
+No pair of nodes that links is missed: it shares a part, hence that part's
 leader; of the two, the one whose home is the larger queries the other's home, and
 they are compared there unless they are in one component already.  Nothing is
-capped.  Two kinds of approximation would matter only at 64-bit (shingle) and
-128-bit (set) hash collisions.
+capped.  Hash collisions would matter only at 64 bits (shingle) and 128 bits (set).
 
 Null or empty text, or one without words: an empty set, linked with nothing.
 Fewer words than ``width``: the whole sequence is the one shingle.  Null ids take
-no part and get no component.  Repeated rows are equal sets; rows of different
-text under one id count as one document.  Empty tables give no rows.  Only the id
-and the text column are read, so other columns can't clash.
+no part and get no component.  Repeated rows are equal sets.  Rows of different
+text under one id are one document: links of any of them reach the others, except
+that an empty one keeps its own id.  ``keep_one`` goes by rows instead: what it
+removes has a partner that stays.  Empty tables give no rows.  Other columns are
+carried by ``keep_one`` whatever their names and types, and not read elsewhere.
 """
 
 from __future__ import annotations
@@ -50,10 +53,12 @@ from pyspark.sql import functions as F
 
 from parlance.llm import textbytes as tb
 from parlance.llm.components import components
-from parlance.llm.runtime import cut, shuffle_width
+from parlance.llm.runtime import cut, named, shuffle_width, unwrapped, whole_row
 
 U64 = np.uint64
-BLOCK = 2048
+#: Shingles and members of a group's block, and of a block that others query.
+BLOCK, BLOCK_ROWS = 1 << 18, 1024
+ASKED, ASKED_ROWS = 1 << 20, 4096
 #: Entries a task holds before it hands them on.
 FLUSH = 2_000_000
 #: Bits of the filter that keeps texts without any candidate from being read again; its size is fixed.
@@ -177,7 +182,7 @@ def _lead(column: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _groups(docs: DataFrame, width: int, percent: int, largest: int) -> DataFrame:
-    """Distinct (member, leader) of all groups."""
+    """Distinct (member, leader) of all parts, as set keys."""
     spark = docs.sparkSession
     # a pair is handed on once for each bucket that has a column of it, so buckets are no more than memory asks for
     n_buckets = max(64, shuffle_width(spark), 2 * docs.rdd.getNumPartitions())
@@ -200,11 +205,11 @@ def _groups(docs: DataFrame, width: int, percent: int, largest: int) -> DataFram
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column, doc, held = [], [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, n, row, value in shingle_sets(batch.column(1), width):
+            for _, n, row, value in shingle_sets(batch.column(0), width):
+                _, key, _ = _set_keys(row, value, n)
                 row, found = scheme.columns(row, value, n)
                 column.append(found)
-                doc.append(ids[first + row].astype(np.int64))
+                doc.append(key.view(np.int64)[row])
                 held += len(found)
                 if held >= FLUSH:
                     yield emit(column, doc)
@@ -218,23 +223,28 @@ def _groups(docs: DataFrame, width: int, percent: int, largest: int) -> DataFram
         near, local = read("member", np.int64), read("local", np.int64)
         return pa.table({"member": np.concatenate([member, near]), "leader": np.concatenate([leader, local]), "local": np.repeat([False, True], [len(member), len(near)])})
 
-    dealt = docs.mapInArrow(scan, "bucket int, columns binary, leaders binary, member binary, local binary")
+    dealt = docs.select("text").mapInArrow(scan, "bucket int, columns binary, leaders binary, member binary, local binary")
     found = cut(dealt.groupBy("bucket").applyInArrow(gather, "member long, leader long, local boolean").distinct())
     near = found.where("local").select("member", F.col("leader").alias("mid"))
     far = found.where("not local").select(F.col("member").alias("mid"), "leader")
     return found.select("member", "leader").union(near.join(far, "mid").select("member", "leader")).where("member <> leader").distinct()
 
 
-def _token_rows(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(id, n, tokens) of the documents whose id is in ``wanted``, once for each set."""
-    spark = docs.sparkSession
+def _with_tokens(texts: DataFrame, placed: DataFrame, width: int) -> DataFrame:
+    """``placed`` (low, key, key2 and more: where a set is wanted, and the least id that has it) with its tokens.
+
+    Texts are read once more; a filter of fixed size keeps most of those that aren't
+    wanted from being cut into words.  A row may come once for each task that read it.
+    """
+    spark = texts.sparkSession
     h = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).cast("long") + 1  # bitmaps count from 1
-    bits = wanted.select(F.bitmap_bucket_number(h).alias("b"), F.bitmap_bit_position(h).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits"))
+    ids = placed.select(F.col("low").alias("id")).distinct()
+    bits = ids.select(F.bitmap_bucket_number(h).alias("b"), F.bitmap_bit_position(h).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits"))
     spread = spark.sparkContext.broadcast({r["b"]: bytes(r["bits"]) for r in bits.collect()})  # at most FILTER_BITS bits
     size = 8 * 4096
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(FILTER_BITS, bool)
+        table, seen = np.zeros(FILTER_BITS, bool), set()
         for bucket, packed in spread.value.items():
             at = (bucket - 1) * size
             table[at : at + size] = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little")
@@ -244,68 +254,107 @@ def _token_rows(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 continue
             ids = kept.column("id").to_numpy()
             for first, n, row, value in shingle_sets(kept.column("text"), width):
-                size_of, key, _ = _set_keys(row, value, n)
+                size_of, key, key2 = _set_keys(row, value, n)
                 offsets = np.concatenate([[0], np.cumsum(size_of)]).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(value.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[first : first + n]), pa.array(size_of.astype(np.int64)), pa.array(key.view(np.int64)), tokens], names=["id", "n", "key", "tokens"])
-
-    placed = docs.select("id", "text", (h - 1).alias("place"))
-    rows = placed.mapInArrow(scan, "id long, n long, key long, tokens array<bigint>")
-    return cut(rows.join(wanted, "id", "left_semi").groupBy("id", "key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")))
-
-
-def pivot_filter(percent: int):
-    """Keep the rows (a, na, sa, home, nb, sb) whose two sets may link."""
+                mine = ids[first : first + n]
+                new = []
+                for k, pair in enumerate(zip(mine.tolist(), key.tolist())):
+                    if pair not in seen:  # a repeated row goes on once for each task
+                        seen.add(pair)
+                        new.append(k)
+                columns = [pa.array(mine), pa.array(key.view(np.int64)), pa.array(key2.view(np.int64)), tokens]
+                yield pa.RecordBatch.from_arrays(columns, names=["low", "key", "key2", "tokens"]).take(pa.array(new, pa.int64()))
+
+    rows = texts.select("id", "text", (h - 1).alias("place")).mapInArrow(scan, "low long, key long, key2 long, tokens array<bigint>")
+    return rows.join(placed, ["low", "key", "key2"]).drop("low", "key", "key2")
+
+
+def _blocks_of(*keys: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows of each different combination of keys."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    return iter(np.split(order, np.flatnonzero(new))) if len(order) else iter(())
+
+
+def _mark_able(out: np.ndarray, packed: list, words: np.ndarray, size: np.ndarray, comp: np.ndarray, queries: np.ndarray, members: np.ndarray, percent: int) -> None:
+    """Set ``out`` for the queries and members that may link with one of the other, by their bit sets.
+
+    First the union of the members' bits bounds each query's overlap with the block;
+    only queries that pass it are held against the members one by one.  Where queries
+    are members too, bits that only one member has don't count.
+    """
+    inside = np.isin(queries, members).any()
+    for a in np.unique(words[queries]):
+        for b in np.unique(words[members]):
+            # sets that link differ in size by less than a factor of two, so their bit sets by one length at most
+            if max(a, b) > 2 * min(a, b):
+                continue
+            q, m = queries[words[queries] == a], members[words[members] == b]
+            mine, theirs = (_folded([packed[i] for i in rows], min(a, b)) for rows in (q, m))
+            sums = np.bitwise_or.accumulate(theirs, axis=0)
+            union = sums[-1]
+            if inside and a == b:
+                union = np.bitwise_or.reduce(sums[:-1] & theirs[1:], axis=0) if len(theirs) > 1 else np.zeros_like(union)
+            passed = (size[q] - np.bitwise_count(mine & ~union).sum(1, dtype=np.int64)) * 100 >= percent * size[q]
+            q, mine = q[passed], mine[passed]
+            step = max(1, (1 << 22) // (len(m) * mine.shape[1])) if len(q) else 1
+            for low in range(0, len(q), step):
+                some = q[low : low + step]
+                able = may_link(mine[low : low + step][:, None, :], size[some][:, None], theirs[None, :, :], size[m][None, :], percent)
+                able &= comp[some][:, None] != comp[m][None, :]
+                out[some[able.any(1)]] = True
+                out[m[able.any(0)]] = True
+
+
+def bound_homes(percent: int):
+    """Of the blocks' members those that may link with another of the block."""
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            good = []
-            for x, y, n, m in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), na, nb):
-                x, y = _folded([x, y], min(len(x), len(y)) // 8)
-                good.append(bool(may_link(x, n, y, m, percent)))
-            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "home"])
+    def bound(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        size, node, lead = (group[c].to_numpy() for c in ("n", "node", "lead"))
+        packed = group["sketch"].to_pylist()
+        words = np.array([len(p) // 8 for p in packed])
+        out = np.zeros(len(words), bool)
+        for rows in _blocks_of(group["i"].to_numpy(), group["grp"].to_numpy()):
+            first, others = rows[lead[rows]][0], rows[~lead[rows]]
+            near = np.zeros(len(others), bool)
+            for a in np.unique(words[others]):
+                if max(a, words[first]) <= 2 * min(a, words[first]):
+                    mine = np.flatnonzero(words[others] == a)
+                    w = min(a, words[first])
+                    near[mine] = may_link(_folded([packed[i] for i in others[mine]], w), size[others[mine]], _folded([packed[first]], w), size[first], percent)
+            out[others[near]] = True
+            out[first] |= near.any()
+            rest = others[~near]
+            if len(rest) and len(others) > 1:
+                _mark_able(out, packed, words, size, node, rest, others, percent)
+        return group.filter(pa.array(out)).select(["grp", "i", "node", "lead"])
 
-    return keep
+    return bound
 
 
 def bound_blocks(percent: int):
-    """Of a block's queries and members those that may link with one of the other kind.
-
-    First the union of the members' bits bounds each query's overlap with the group;
-    only queries that pass it are held against the members one by one.
-    """
+    """Of the blocks' queries and members those that may link with one of the other kind."""
 
     def bound(group: pa.Table) -> pa.Table:
-        is_query, comp, size = (group[c].to_numpy() for c in ("query", "component", "n"))
+        group = group.combine_chunks()
+        size, comp, is_query = (group[c].to_numpy() for c in ("n", "component", "query"))
         packed = group["sketch"].to_pylist()
         words = np.array([len(p) // 8 for p in packed])
         out = np.zeros(len(words), bool)
-        for a in np.unique(words[is_query]):
-            for b in np.unique(words[~is_query]):
-                # sets that link differ in size by less than a factor of two, so their bit sets by one length at most
-                if max(a, b) > 2 * min(a, b):
-                    continue
-                queries, members = np.flatnonzero(is_query & (words == a)), np.flatnonzero(~is_query & (words == b))
-                fold = lambda rows: _folded([packed[i] for i in rows], min(a, b))  # noqa: E731, B023
-                mine, theirs = fold(queries), fold(members)
-                union = np.bitwise_or.reduce(theirs, axis=0)
-                most = size[queries] - np.bitwise_count(mine & ~union).sum(1, dtype=np.int64)
-                passed = most * 100 >= percent * size[queries]
-                queries, mine = queries[passed], mine[passed]
-                step = max(1, (1 << 22) // (len(members) * mine.shape[1])) if len(queries) else 1
-                for low in range(0, len(queries), step):
-                    q = queries[low : low + step]
-                    able = may_link(mine[low : low + step][:, None, :], size[q][:, None], theirs[None, :, :], size[members][None, :], percent)
-                    able &= comp[q][:, None] != comp[members][None, :]
-                    out[q[able.any(1)]] = True
-                    out[members[able.any(0)]] = True
-        return group.filter(pa.array(out)).select(["grp", "i", "j", "id", "component", "query"])
+        for rows in _blocks_of(*(group[c].to_numpy() for c in ("j", "i", "grp"))):
+            queries, members = rows[is_query[rows]], rows[~is_query[rows]]
+            if len(queries) and len(members):
+                _mark_able(out, packed, words, size, comp, queries, members, percent)
+        return group.filter(pa.array(out)).select(["grp", "i", "j", "node", "component", "query"])
 
     return bound
 
 
-def _forest(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+def _forest(left: list[int], right: list[int]) -> list[tuple[int, int]]:
     """Of the given links, those that join two trees."""
     parent: dict[int, int] = {}
 
@@ -316,7 +365,7 @@ def _forest(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
         return x
 
     out = []
-    for a, b in zip(left.tolist(), right.tolist(), strict=True):
+    for a, b in zip(left, right, strict=True):
         ra, rb = root(a), root(b)
         if ra != rb:
             parent[max(ra, rb)] = min(ra, rb)
@@ -324,142 +373,229 @@ def _forest(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _lists(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    lists = group["tokens"].combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    # unsigned, they are in order as they were written
+    return lists.flatten().to_numpy().view(U64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+
+
+def _counted(flat: list[np.ndarray], size: np.ndarray, queries: np.ndarray, members: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, member) pairs that link, by the block's union of shingles.
+
+    A query's overlap with the union bounds what it shares with any member, and the
+    block is opened only for those it lets through.  A shingle that a query alone
+    brought into the union doesn't count for it.
+    """
+    union, times = np.unique(np.concatenate([flat[m] for m in members]), return_counts=True)
+    inside = np.isin(queries, members)
+    opened = []
+    for k, q in enumerate(queries):
+        at = np.minimum(np.searchsorted(union, flat[q]), len(union) - 1)
+        overlap = int(((union[at] == flat[q]) & (times[at] > int(inside[k]))).sum())
+        if overlap * 100 >= percent * size[q]:
+            opened.append(q)
+    if not opened:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    queries = np.array(opened)
+    shared = np.zeros((len(queries), len(members)), np.int64)
+    rank = lambda rows: (np.repeat(np.arange(len(rows)), [len(flat[r]) for r in rows]), np.searchsorted(union, np.concatenate([flat[r] for r in rows])))
+    (q_row, q_at), (m_row, m_at) = rank(queries), rank(members)
+    known = (q_at < len(union)) & (union[np.minimum(q_at, len(union) - 1)] == np.concatenate([flat[r] for r in queries]))
+    q_row, q_at = q_row[known], q_at[known]
+    q_order, m_order = np.argsort(q_at, kind="stable"), np.argsort(m_at, kind="stable")
+    q_row, q_at, m_row, m_at = q_row[q_order], q_at[q_order], m_row[m_order], m_at[m_order]
+    # a slice of the matrix's tokens at a time keeps the two 0/1 tables small
+    step = max(256, (1 << 22) // (len(members) + len(queries)))
+    for low in range(0, len(union), step):
+        q, m = np.zeros((len(queries), step), np.float32), np.zeros((len(members), step), np.float32)
+        for table, row, at in ((q, q_row, q_at), (m, m_row, m_at)):
+            a, b = np.searchsorted(at, [low, low + step])
+            table[row[a:b], at[a:b] - low] = 1
+        shared += np.rint(q @ m.T).astype(np.int64)
+    both = size[queries][:, None] + size[members][None, :] - shared
+    q, m = np.nonzero((shared * 100 >= percent * both) & (queries[:, None] != members[None, :]))
+    return queries[q], members[m]
+
+
+def _edges(links: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"src": pa.array([a for a, _ in links], pa.int64()), "dst": pa.array([b for _, b in links], pa.int64())})
+
+
+def _first_rows(*keys: np.ndarray) -> np.ndarray:
+    """One row of each different combination."""
+    return np.array([rows[0] for rows in _blocks_of(*keys)], np.int64)
+
+
+def open_homes(percent: int):
+    """The links within blocks, as a forest: with the leader first, then among what it doesn't link with and the rest."""
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.take(pa.array(_first_rows(*(group[c].to_numpy() for c in ("lead", "node", "i", "grp"))))).combine_chunks()
+        node, size, lead = (group[c].to_numpy() for c in ("node", "n", "lead"))
+        values, offsets = _lists(group)
+        flat = [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+        links = []
+        for rows in _blocks_of(group["i"].to_numpy(), group["grp"].to_numpy()):
+            leader, others = rows[lead[rows]], rows[~lead[rows]]
+            left, right = [], []
+            for one in leader:
+                shared = np.array([int((flat[one][np.minimum(np.searchsorted(flat[one], flat[r]), len(flat[one]) - 1)] == flat[r]).sum()) for r in others], np.int64)
+                tied = shared * 100 >= percent * (size[others] + size[one] - shared)
+                left, right = [int(node[one])] * int(tied.sum()), node[others[tied]].tolist()
+                rest = others[~tied]
+            if not len(leader):
+                rest = others
+            if len(rest) and len(others) > 1:
+                q, m = _counted(flat, size, rest, others, percent)
+                left, right = left + node[q].tolist(), right + node[m].tolist()
+            links += _forest(left, right)
+        return _edges(links)
+
+    return compare
+
+
 def open_blocks(percent: int):
-    """Compare a block's queries with its members, past the union's bound."""
+    """The links between the queries and members of blocks, as a forest of their components."""
 
     def compare(group: pa.Table) -> pa.Table:
-        is_query = group["query"].to_numpy()
-        ids, comp, size = group["id"].to_numpy(), group["component"].to_numpy(), group["n"].to_numpy()
-        lists = group["tokens"].combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        flat, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        owner = np.repeat(np.arange(len(ids)), np.diff(offsets))
-        members, queries = np.flatnonzero(~is_query), np.flatnonzero(is_query)
-        union = np.unique(flat[~is_query[owner]])
-        left, right = [], []
-        if len(union) and len(queries):
-            at = np.minimum(np.searchsorted(union, flat), len(union) - 1)
-            known = union[at] == flat
-            overlap = np.bincount(owner[known], minlength=len(ids))
-            queries = queries[overlap[queries] * 100 >= percent * size[queries]]
-        if len(union) and len(queries):
-            place = np.full(len(ids), -1)
-            place[members] = np.arange(len(members))
-            place[queries] = np.arange(len(queries))
-            use = known & (place[owner] >= 0)
-            shared = np.zeros((len(queries), len(members)), np.int64)
-            # a slice of the union at a time keeps the two 0/1 tables small
-            step = max(256, (1 << 22) // (len(members) + len(queries)))
-            rank, order = at[use], np.argsort(at[use], kind="stable")
-            rank, who = rank[order], owner[use][order]
-            for low in range(0, len(union), step):
-                a, b = np.searchsorted(rank, [low, low + step])
-                q, m = np.zeros((len(queries), step), np.float32), np.zeros((len(members), step), np.float32)
-                w, r = who[a:b], rank[a:b] - low
-                q[place[w[is_query[w]]], r[is_query[w]]] = 1
-                m[place[w[~is_query[w]]], r[~is_query[w]]] = 1
-                shared += np.rint(q @ m.T).astype(np.int64)
-            both = size[queries][:, None] + size[members][None, :] - shared
-            linked = (shared * 100 >= percent * both) & (comp[queries][:, None] != comp[members][None, :])
-            q, m = np.nonzero(linked)
-            left, right = comp[queries[q]], comp[members[m]]
-        links = _forest(np.asarray(left, np.int64), np.asarray(right, np.int64))
-        return pa.table({"src": pa.array([a for a, _ in links], pa.int64()), "dst": pa.array([b for _, b in links], pa.int64())})
+        group = group.take(pa.array(_first_rows(*(group[c].to_numpy() for c in ("query", "node", "j", "i", "grp"))))).combine_chunks()
+        comp, size, is_query = (group[c].to_numpy() for c in ("component", "n", "query"))
+        values, offsets = _lists(group)
+        flat = [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+        links = []
+        for rows in _blocks_of(*(group[c].to_numpy() for c in ("j", "i", "grp"))):
+            queries, members = rows[is_query[rows]], rows[~is_query[rows]]
+            if len(queries) and len(members):
+                q, m = _counted(flat, size, queries, members, percent)
+                apart = comp[q] != comp[m]
+                links += _forest(comp[q[apart]].tolist(), comp[m[apart]].tolist())
+        return _edges(links)
 
     return compare
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id): one row for each row of ``docs``."""
+def set_components(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(id, h, n, key, key2) of every row, h a hash of the text, and (n, key, key2, low, component) of every set with shingles.
+
+    ``low`` is the least id that has the set; sets that links join share ``component``.
+    """
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50, at most 100")
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    spark = docs.sparkSession
+    text = named(text_col).cast("string")
+    texts = docs.select(named(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, n, row, value in shingle_sets(batch.column(1), width):
                 size, a, b = _set_keys(row, value, n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), *(pa.array(x.view(np.int64)) for x in (size.astype(np.int64), a, b)), _sketches(row, value, size)], names=["id", "n", "key", "key2", "sketch"])
+                columns = [batch.column(0).slice(first, n), batch.column(2).slice(first, n), *(pa.array(x.view(np.int64)) for x in (size.astype(np.int64), a, b)), _sketches(row, value, size)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "n", "key", "key2", "sketch"])
 
-    measured = cut(texts.mapInArrow(measure, "id long, n long, key long, key2 long, sketch binary"))
-    sets = measured.drop("sketch")
-    nodes = cut(sets.where("n > 0 and id is not null").groupBy("n", "key", "key2").agg(F.min("id").alias("rep")))
+    measured = cut(texts.mapInArrow(measure, "id long, h long, n long, key long, key2 long, sketch binary"))
+    sets, full = measured.drop("sketch"), measured.where("n > 0 and id is not null")
+    # numbered once and written, so a set keeps its number
+    nodes = cut(full.groupBy("n", "key", "key2").agg(F.min("id").alias("low")).withColumn("node", F.monotonically_increasing_id()))
     largest = nodes.agg(F.max("n")).first()[0] or 0
-    # every id of a set, with the set's smallest id
-    member_of = sets.where("n > 0 and id is not null").join(nodes, ["n", "key", "key2"]).select("id", "rep", "n").distinct()
-    member_of = cut(member_of)
-    linked = None
-    if largest:
-        groups = _groups(texts.where("id is not null"), width, percent, largest)
-        a = member_of.select(F.col("id").alias("member"), F.col("rep").alias("a"))
-        b = member_of.select(F.col("id").alias("leader"), F.col("rep").alias("b"))
-        led = groups.join(a, "member").join(b, "leader").where("a <> b").select("a", "b").distinct()
-        # every leader is in its own group too
-        led = cut(led.union(led.select(F.col("b").alias("a"), "b").distinct()))
-        homes = cut(led.groupBy("a").agg(F.min("b").alias("home")))
-        within = led.join(homes, "a").select("b", "home").distinct()
-        visits = led.join(homes, "a").select("a", F.col("home").alias("own"), "b").join(within, "b").where("home <= own").select("a", "own", F.col("home").alias("grp")).distinct()
-        wanted = cut(homes.select(F.col("a").alias("id"), "home"))
-        # a document's own bit set: rows that share its id and set are alike
-        mine = measured.where("n > 0").join(wanted.select("id"), "id", "left_semi").join(nodes, ["n", "key", "key2"]).where("rep = id")
-        bits = cut(mine.groupBy("id", "n", "key", "key2").agg(F.first("sketch").alias("sketch")).select("id", "n", "sketch"))
-        one = bits.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        two = bits.select(F.col("id").alias("home"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        near = cut(homes.where("a <> home").join(one, "a").join(two, "home").select("a", "na", "sa", "home", "nb", "sb").mapInArrow(pivot_filter(percent), "a long, home long").distinct())
-        known = texts.where("id is not null")
-        tokens = _token_rows(known, near.select(F.col("a").alias("id")).union(near.select("home")).distinct(), width)
-        one = tokens.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-        two = tokens.select(F.col("id").alias("home"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-        shared = F.size(F.array_intersect("ta", "tb"))
-        compared = near.join(one, "a").join(two, "home")
-        pivots = compared.where(shared * 100 >= (F.col("na") + F.col("nb") - shared) * percent).select(F.col("a").alias("src"), F.col("home").alias("dst"))
-        first = components(pivots)
-        where_of = cut(wanted.join(first, wanted["id"] == first["node"], "left").select("id", "home", F.coalesce("component", "id").alias("component")))
-        lead = where_of.select(F.col("id").alias("grp"), F.col("component").alias("lead"), (F.col("home") == F.col("id")).cast("int").alias("inside"))
-        size = where_of.groupBy(F.col("home").alias("grp")).agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
-        asked = visits.join(where_of.select(F.col("id").alias("a"), "component"), "a").join(lead, "grp").join(size, "grp")
-        # a member in its leader's component waits for the others to ask; alone with its leader it has asked already
-        at_home = (F.col("own") == F.col("grp")) & ((F.col("component") == F.col("lead")) | (F.col("m") == 1 + F.col("inside")))
-        settled = (F.col("low") == F.col("high")) & (F.col("low") == F.col("component"))
-        asked = cut(asked.where(~at_home & ~settled).select("a", "component", "grp", "m"))
-        blocks = asked.groupBy("grp").agg(F.ceil(F.first("m") / BLOCK).alias("mb"), F.ceil(F.count("*") / BLOCK).alias("qb"))
+    if not largest:
+        return sets, nodes.withColumnRenamed("node", "component")
+    known = texts.where("id is not null")
+    a, b = nodes.select(F.col("key").alias("member"), F.col("node").alias("a")), nodes.select(F.col("key").alias("leader"), F.col("node").alias("b"))
+    led = _groups(known, width, percent, largest).join(a, "member").join(b, "leader").where("a <> b").select("a", "b").distinct()
+    # every leader is in its own group too
+    led = cut(led.union(led.select(F.col("b").alias("a"), "b").distinct()))
+    homes = cut(led.groupBy("a").agg(F.min("b").alias("home")))
+    within = led.join(homes, "a").select("b", "home").distinct()
+    visits = led.join(homes, "a").select("a", F.col("home").alias("own"), "b").join(within, "b").where("home <= own").select("a", "own", F.col("home").alias("grp")).distinct()
+    wanted = cut(homes.withColumnRenamed("a", "node").join(nodes, "node"))
+    # of a set's rows, those of its least id are alike
+    mine = full.join(wanted.select("n", "key", "key2", F.col("low").alias("id"), "node"), ["n", "key", "key2", "id"])
+    bits = cut(mine.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    where_from = wanted.select("node", "low", "key", "key2", "n")
+    width_of = shuffle_width(spark)
+
+    def dealt(rows: DataFrame, sized: DataFrame, *keys: str) -> DataFrame:
+        """Whole blocks in buckets of about one block's size (by the ``n`` of ``sized``), so that tiny ones don't each cost a call."""
+        total = sized.agg(F.sum("n")).first()[0] or 0
+        return rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(max(width_of, -(-total // BLOCK)))))
+
+    # each group by itself, in blocks that all have its leader
+    parts = lambda tokens, rows, most, most_rows: F.greatest(F.ceil(tokens / most), F.ceil(rows / most_rows))
+    cuts = cut(wanted.groupBy(F.col("home").alias("grp")).agg(parts(F.sum("n"), F.count("*"), BLOCK, BLOCK_ROWS).alias("nb")))
+    several = cuts.where("nb > 1")  # at most all shingles over BLOCK, and all sets over BLOCK_ROWS
+    count = F.coalesce("nb", F.lit(1).cast("long"))
+    members = wanted.where("node <> home").select(F.col("home").alias("grp"), "node").join(several, "grp", "left")
+    members = members.select("grp", F.pmod(F.xxhash64("node"), count).alias("i"), "node", F.lit(False).alias("lead"))
+    leaders = cuts.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("i"), F.col("grp").alias("node"), F.lit(True).alias("lead"))
+    able = dealt(members.union(leaders).join(bits, "node"), wanted, "grp", "i").groupBy("bucket").applyInArrow(bound_homes(percent), "grp long, i long, node long, lead boolean")
+    placed = cut(able.join(where_from, "node"))
+    found = dealt(_with_tokens(known, placed, width), placed, "grp", "i") if not placed.isEmpty() else None
+    links = None if found is None else cut(found.groupBy("bucket").applyInArrow(open_homes(percent), "src long, dst long").distinct())
+    where_of = wanted.select("node", "home", "n", F.col("node").alias("component"))
+    if links is not None and not links.isEmpty():
+        joined = components(links).withColumnsRenamed({"node": "v", "component": "c"})
+        where_of = where_of.join(joined, F.col("node") == F.col("v"), "left").select("node", "home", "n", F.coalesce("c", "node").alias("component"))
+    where_of = cut(where_of)
+    # the other groups, and the other blocks of a group for those its leader doesn't link with
+    lead = where_of.select(F.col("node").alias("grp"), F.col("component").alias("lead"))
+    facts = where_of.groupBy(F.col("home").alias("grp")).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("n").alias("tokens"), F.count("*").alias("m"))
+    asked = visits.join(where_of.select(F.col("node").alias("a"), "component", "n"), "a").join(lead, "grp").join(facts, "grp").join(cuts, "grp")
+    at_home = (F.col("own") == F.col("grp")) & ((F.col("component") == F.col("lead")) | (F.col("nb") == 1))
+    settled = (F.col("low") == F.col("high")) & (F.col("low") == F.col("component"))
+    asked = cut(asked.where(~at_home & ~settled).select("a", "component", "grp", "n", "tokens", "m"))
+    more = None
+    if not asked.isEmpty():
+        blocks = asked.groupBy("grp").agg(parts(F.first("tokens"), F.first("m"), ASKED, ASKED_ROWS).alias("mb"), parts(F.sum("n"), F.count("*"), ASKED, ASKED_ROWS).alias("qb"))
         block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        members = where_of.select("id", "component", F.col("home").alias("grp")).join(blocks, "grp")
-        m = members.select("grp", "id", "component", F.lit(False).alias("query"), block("id", "mb").alias("i"), every("qb").alias("j"))
-        q = asked.join(blocks, "grp").select("grp", F.col("a").alias("id"), "component", F.lit(True).alias("query"), every("mb").alias("i"), block("a", "qb").alias("j"))
-        place = "grp long, i long, j long, id long, component long, query boolean"
-        able = cut(m.union(q).join(bits, "id").groupBy("grp", "i", "j").applyInArrow(bound_blocks(percent), place))
-        tokens = _token_rows(known, able.select("id").distinct(), width)
-        more = able.join(tokens, "id").groupBy("grp", "i", "j").applyInArrow(open_blocks(percent), "src long, dst long")
-        more = cut(more.distinct())
-        second = None if more.isEmpty() else components(more)
-        if second is None:
-            linked = where_of.select(F.col("id").alias("rep"), F.col("component").alias("found"))
-        else:
-            linked = where_of.join(second, where_of["component"] == second["node"], "left").select(F.col("id").alias("rep"), F.coalesce(second["component"], where_of["component"]).alias("found"))
-    final = nodes.select("n", "key", "key2", "rep")
-    if linked is None:
-        final = final.withColumn("found", F.col("rep"))
-    else:
-        final = final.join(linked.groupBy("rep").agg(F.min("found").alias("found")), "rep", "left")
+        m = where_of.select("node", "component", F.col("home").alias("grp")).join(blocks, "grp").select("grp", "node", "component", F.lit(False).alias("query"), block("node", "mb").alias("i"), every("qb").alias("j"))
+        q = asked.join(blocks, "grp").select("grp", F.col("a").alias("node"), "component", F.lit(True).alias("query"), every("mb").alias("i"), block("a", "qb").alias("j"))
+        both = m.union(q)
+        able = dealt(both.join(bits, "node"), both.join(where_from.select("node", "n"), "node"), "grp", "i", "j").groupBy("bucket").applyInArrow(bound_blocks(percent), "grp long, i long, j long, node long, component long, query boolean")
+        placed = cut(able.join(where_from, "node"))
+        if not placed.isEmpty():
+            more = cut(dealt(_with_tokens(known, placed, width), placed, "grp", "i", "j").groupBy("bucket").applyInArrow(open_blocks(percent), "src long, dst long").distinct())
+    if more is not None and not more.isEmpty():
+        joined = components(more).withColumnsRenamed({"node": "v", "component": "c"})
+        where_of = where_of.join(joined, F.col("component") == F.col("v"), "left").select("node", F.coalesce("c", "component").alias("component"))
+    found = nodes.join(where_of.select("node", F.col("component").alias("found")), "node", "left").select("n", "key", "key2", "low", F.coalesce("found", "node").alias("component"))
+    return sets, cut(found)
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id): one row for each row of ``docs``."""
+    sets, found = set_components(docs, width, percent, id_col, text_col)
+    # an id with several texts joins their components
+    of_id = sets.where("n > 0 and id is not null").join(found, ["n", "key", "key2"]).groupBy("id").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    shared = cut(of_id.where("least <> most").select("id", "least"))
+    if not shared.isEmpty():
+        ties = sets.where("n > 0").join(shared, "id").join(found, ["n", "key", "key2"]).select(F.col("component").alias("src"), F.col("least").alias("dst")).distinct()
+        joined = components(ties).withColumnsRenamed({"node": "v", "component": "c"})
+        found = found.join(joined, F.col("component") == F.col("v"), "left").select("n", "key", "key2", "low", F.coalesce("c", "component").alias("component"))
+    least = found.groupBy("component").agg(F.min("low").alias("least"))
+    final = found.join(least, "component").select("n", "key", "key2", "least")
     return sets.join(final, ["n", "key", "key2"], "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("found", "rep", "id")).alias("component_id")
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("least", "id")).alias("component_id")
     )
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document, the one of smallest id, left of each component.
+    """``docs`` with one row, that of the smallest id, left of each component of linked texts.
 
-    Rows with a null id stay.  Rows that share an id are one document: of them the
-    one that sorts first by text and the other columns stays.
+    Rows with a null id, and those without shingles, stay.  It goes by rows: an id's
+    other texts stay unless they have partners themselves.  Of rows that are equal
+    in id and text, the one that sorts first by its other columns stays.
     """
-    sets = jaccard_components(docs.select("doc_id", "text"), width, percent).where("doc_id is not null")
-    rest = sets.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(rest, "doc_id", "left_anti").select(docs.columns)
-    repeated = cut(docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id"))
-    if repeated.isEmpty():
-        return kept
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    one = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *others)).alias("row")).select("doc_id", "row.*")
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(one.select(docs.columns))
+    sets, found = set_components(docs, width, percent)
+    rows = sets.where("n > 0 and id is not null").join(found, ["n", "key", "key2"]).select("id", "h", "component")
+    first = rows.groupBy("component").agg(F.min(F.struct("id", "h")).alias("f")).select("component", F.col("f.id").alias("first_id"), F.col("f.h").alias("first_h"))
+    judged = rows.join(first, "component").select("id", "h", ((F.col("id") == F.col("first_id")) & (F.col("h") == F.col("first_h"))).alias("stays"))
+    judged = cut(judged.groupBy("id", "h").agg(F.first("stays").alias("stays"), F.count("*").alias("n")))
+    beside = docs.select(whole_row(docs), named("doc_id").cast("long").alias("id"), F.xxhash64(named("text").cast("string")).alias("h"))
+    kept = beside.join(judged.where("not stays").select("id", "h"), ["id", "h"], "left_anti")
+    repeated = cut(judged.where("stays and n > 1").select("id", "h"))
+    if not repeated.isEmpty():
+        one = kept.join(repeated, ["id", "h"], "left_semi").groupBy("id", "h").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        kept = kept.join(repeated, ["id", "h"], "left_anti").select("row").union(one.select("row"))
+    return kept.select(*unwrapped(kept, docs.columns))

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from parlance.llm import ngram_join
@@ -71,3 +72,48 @@ def test_one_document_of_each_component_stays(spark):
     rows = [(9, "a b c d e f", "s"), (9, "a b c d e f", "r"), (3, "A b c d e f", "t"), (None, "a b c d e f", None), (6, "z y x w v", "u"), (6, "z y x w v", "q")]
     got = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert sorted((str(r.doc_id), r.source) for r in got) == [("3", "t"), ("6", "q"), ("None", None)]
+
+
+def test_links_come_from_opened_groups(spark, monkeypatch):
+    """Without the opening there are no links; small blocks and buckets change nothing."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(4))
+    texts = []
+    for size in (40, 90, 300):
+        base = [word() for _ in range(size)]
+        for _ in range(30):
+            copy = list(base)
+            for _ in range(rng.choice([1, 2, size // 30, size // 15])):
+                copy[rng.randrange(size)] = word()
+            texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    shown = lambda: {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(frame, 3, 90).collect()}
+    want = by_hand(rows, 3, 90)
+    assert len({c for _, c in want.values()}) < len(rows)
+    assert shown() == want
+    for name, value in (("BLOCK", 200), ("BLOCK_ROWS", 4), ("ASKED", 300), ("ASKED_ROWS", 3)):
+        monkeypatch.setattr(ngram_join, name, value)
+    assert shown() == want
+    monkeypatch.setattr(ngram_join, "_counted", lambda *a: (np.empty(0, np.int64), np.empty(0, np.int64)))
+    monkeypatch.setattr(ngram_join, "_forest", lambda left, right: [])
+    assert {c for _, c in shown().values()} == set(range(len(rows)))
+
+
+def test_rows_that_share_an_id(spark):
+    a, b = "one two three four five six seven", "quite another text with words of its own"
+    schema = "doc_id long, text string"
+    rows = [(5, a), (5, b), (3, a), (4, b), (5, ""), (8, b.upper())]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(3, 3, 3), (4, 4, 3), (5, 0, 5), (5, 3, 3), (5, 4, 3), (8, 4, 3)]
+    kept = lambda rows: sorted((r.doc_id, r.text) for r in ngram_join.keep_one(spark.createDataFrame(rows, schema)).collect())
+    assert kept([(5, a), (5, b), (3, a)]) == [(3, a), (5, b)]
+    assert kept([(9, a), (9, b), (12, b.upper()), (1, a)]) == [(1, a), (9, b)]
+    assert kept([(7, a), (7, a + " "), (7, a)]) in ([(7, a)], [(7, a + " ")])
+
+
+def test_one_very_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(120_000))
+    rows = [(1, long), (2, long.replace("w77 ", "x ")), (3, "short text of five words"), (4, long.upper())]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == {1: (119_998, 1), 2: (119_998, 1), 3: (3, 3), 4: (119_998, 1)}
