@@ -16,6 +16,12 @@ of each assistant text.
 Null text or role: empty.  Null or equal turns: ordered by turn (nulls first),
 then role, then text; repeated rows are repeated turns.  Null conv_id: its own
 conversation.  An empty table gives no rows.  Other columns are left out.
+
+Forests: a message whose parent isn't there is a root.  Of several messages of one
+number in a tree, the one that sorts first by parent (null first), role and text
+counts; messages without a number are left out.  Messages in a circle, and those
+that hang from one, reach no root and are on no path; after as many doublings as
+the largest tree could need, what still has an ancestor to reach is one of them.
 """
 
 from __future__ import annotations
@@ -46,18 +52,23 @@ def chain_of(turns: DataFrame) -> DataFrame:
     )
 
 
-def best_paths(forest: DataFrame, branches: int = 1, score: Column | None = None) -> DataFrame:
+def best_paths(forest: DataFrame, branches: int = 1, score: Column | None = None, numbered: bool = False) -> DataFrame:
     """Rows (conv_id, branch, depth, role, text) of each tree's best paths.
 
     ``forest`` has conv_id (the tree), node, parent (null for a root), role and
     text; ``score`` is summed over a path, by default the message's length.
-    Ties go to the smaller leaf.
+    Ties go to the smaller leaf.  ``numbered`` says that no number comes twice in a tree.
     """
     score = F.length("text").cast("double") if score is None else score
-    nodes = cut(forest.select("conv_id", "node", "parent", "role", "text", F.coalesce(score, F.lit(0.0)).cast("double").alias("score")))
+    nodes = forest.select("conv_id", "node", "parent", "role", "text", F.coalesce(score, F.lit(0.0)).cast("double").alias("score"))
+    if not numbered:
+        one = F.min(F.struct("parent", "role", "text", "score")).alias("m")
+        nodes = nodes.where("node is not null").groupBy("conv_id", "node").agg(one).select("conv_id", "node", "m.*")
+    nodes = cut(nodes)
+    largest = nodes.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
     reach = nodes.select("conv_id", "node", F.col("parent").alias("up"), "score", F.lit(1).cast("long").alias("depth"))
     steps = []
-    while True:
+    for _ in range(largest.bit_length() + 1):
         # only messages that haven't reached their root take part in a step
         going = reach.where("up is not null")
         if going.isEmpty():
@@ -68,6 +79,7 @@ def best_paths(forest: DataFrame, branches: int = 1, score: Column | None = None
             "conv_id", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")
         )
         reach = cut(moved.union(reach.where("up is null")))
+    reach = reach.where("up is null")
     parents = nodes.where("parent is not null").select(F.col("conv_id").alias("c"), F.col("parent").alias("p")).distinct()
     leaves = reach.join(parents, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("p")), "left_anti")
     rank = Window.partitionBy("conv_id").orderBy(F.col("score").desc(), "node")
@@ -113,7 +125,7 @@ def format_paths(paths: DataFrame) -> DataFrame:
 
 
 def format_conversations(turns: DataFrame, branches: int = 1) -> DataFrame:
-    return format_paths(best_paths(chain_of(turns), branches))
+    return format_paths(best_paths(chain_of(turns), branches, numbered=True))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
