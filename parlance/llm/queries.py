@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import chat, decontaminate, mixing, ngram_join, quality, secrets, sharding, token_counts, topk, toxicity
+from parlance.llm import chat, decontaminate, mixing, ngram_join, oracles, quality, secrets, sharding, token_counts, topk, toxicity
 from parlance.llm.runtime import table
 
 
@@ -57,4 +57,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ALL)
