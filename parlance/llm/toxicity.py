@@ -41,6 +41,7 @@ from pyspark.sql import types as T
 
 from parlance.llm import labelled
 from parlance.llm import textbytes as tb
+from parlance.llm.runtime import named, unwrapped, whole_row
 
 #: The bounds of the labelled sample (for each class) and of the landmarks.
 PER_CLASS, LANDMARKS = 4000, 640
@@ -428,21 +429,24 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a column of scores in place of any of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop(name)
-    place, names = docs.columns.index(text_col), [*docs.columns, name]
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
+    rows = docs.select(whole_row(docs), named(text_col).cast("string").alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, data, offsets in tb.runs(batch.column(place)):
-                n = len(offsets) - 1
-                yield pa.RecordBatch.from_arrays([*(c.slice(first, n) for c in batch.columns), pa.array(shared.value.score(data, offsets), pa.float64())], names=names)
+            for first, data, offsets in tb.runs(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(offsets) - 1), pa.array(shared.value.score(data, offsets), pa.float64())], names=["row", "score"])
 
-    return docs.mapInArrow(measure, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    scored = rows.mapInArrow(measure, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+    return scored.select(*unwrapped(scored, kept), F.col("score").alias(name))
 
 
 def remove_scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those that score at least ``threshold``."""
-    return with_score(docs, model, name="__score").where(F.col("__score") < threshold).drop("__score")
+    name = "score"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return with_score(docs, model, name=name).where(F.col(name) < threshold).select(*[named(c) for c in docs.columns])
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
