@@ -70,10 +70,12 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     code = _CODE[data]
     keep = code != 255
     place = np.concatenate([[0], np.cumsum(keep)])
+    # a letter of several bytes is one character
+    upto = np.concatenate([[0], np.cumsum(keep & ((data & 0xC0) != 0x80))])
+    single = upto[ends] - upto[starts] == 1
     chars, starts, ends = code[keep], place[starts], place[ends]
     some = ends > starts
-    starts, ends, row = starts[some], ends[some], row[some]
-    single = ends - starts == 1
+    starts, ends, row, single = starts[some], ends[some], row[some], single[some]
     new = np.ones(len(starts), bool)
     new[1:] = ~(single[1:] & single[:-1] & (row[1:] == row[:-1]))
     last = np.ones(len(starts), bool)

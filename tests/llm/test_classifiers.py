@@ -1,7 +1,10 @@
 """Quality and toxicity: held-out accuracy, tolerance and edge cases."""
 
+import itertools
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -67,19 +70,62 @@ def test_without_labels(spark, insults):
     assert toxicity.toxicity_digest(docs.where("false"), labels).collect() == []
 
 
+def subsequences(x):
+    """Every gapped subsequence of three and four characters within six, one by one, with its weight."""
+    out = Counter()
+    for n in (3, 4):
+        for at in itertools.combinations(range(len(x)), n):
+            if at[-1] - at[0] < 6:
+                out[bytes(x[i] for i in at)] += 0.6 ** (at[-1] - at[0] - (n - 1))
+    return out
+
+
+def most(x):
+    """What a unit of that length can share with itself, were all its subsequences different."""
+    return math.sqrt(sum(0.6 ** (2 * (at[-1] - at[0] - (n - 1))) for n in (3, 4) for at in itertools.combinations(range(len(x)), n) if at[-1] - at[0] < 6))
+
+
+def kernel_by_hand(a, b):
+    x, y = b"\0" + a + b"\0", b"\0" + b + b"\0"
+    one, other = subsequences(x), subsequences(y)
+    return sum(v * other[u] for u, v in one.items()) / most(x) / most(y) + toxicity.SAME**2 * (a == b)
+
+
 def test_table_is_the_kernel():
     """A decision equals the bias plus the landmarks' weighted kernel values."""
-    words = [b"\x01\x02\x03\x04", b"\x01\x02\x05\x03\x04", b"\x09\x09\x08\x07\x01\x02"]
-    sparse = toxicity._vectors(words)
-    kernel = np.zeros((3, 3))
-    for a in range(3):
-        for b in range(3):
-            mine = {f: sparse[2][(sparse[0] == a) & (sparse[1] == f)].sum() for f in set(sparse[1][sparse[0] == a])}
-            kernel[a, b] = sum(v * sparse[2][(sparse[0] == b) & (sparse[1] == f)].sum() for f, v in mine.items())
+    rng = random.Random(1)
+    landmarks = sorted({bytes(rng.choices(range(1, 6), k=rng.randint(2, 9))) for _ in range(6)})
+    others = [bytes(rng.choices(range(1, 6), k=rng.randint(1, 12))) for _ in range(20)]
+    alpha = np.array([0.5, -1.0, 2.0, 0.25, 1.5, -0.75])[: len(landmarks)]
+    who, feature, value = toxicity._vectors(landmarks)
     table = np.zeros(3 << toxicity.BITS)
-    alpha = np.array([0.5, -1.0, 2.0])
-    for k in range(3):
-        np.add.at(table, sparse[1][sparse[0] == k], alpha[k] * sparse[2][sparse[0] == k])
-    model = toxicity.Model(table, 0.25, 1.0, 0.0)
+    np.add.at(table, feature, value * alpha[who])
+    words = landmarks + others
     chars, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
-    assert model.decide(chars, np.append(0, ends[:-1]), ends) == pytest.approx(kernel @ alpha + 0.25, abs=1e-4)
+    found = toxicity.Model(table, 0.25, 1.0, 0.0).decide(chars, np.append(0, ends[:-1]), ends)
+    for w, d in zip(words, found):
+        assert d == pytest.approx(0.25 + sum(k * kernel_by_hand(w, x) for k, x in zip(alpha, landmarks)), abs=1e-4)
+
+
+def test_accented_letters_spelled_out_are_one_unit():
+    data = np.frombuffer("un c r é t i n ici".encode(), np.uint8)
+    _, starts, ends, row = toxicity.units(data, np.array([0, len(data)]))
+    assert (ends - starts).tolist() == [2, 7, 3] and row.tolist() == [0, 0, 0]
+
+
+def test_votes_by_hand():
+    """The score of quality's vote, with every cosine taken one by one."""
+    rng = np.random.default_rng(2)
+    counts = np.abs(rng.normal(size=(90, quality.TERMS))).astype(np.float32) * (rng.random((90, quality.TERMS)) < 0.05)
+    y = (np.arange(60) % 3 == 0).astype(int)
+    model = quality.Model(counts[:60], y, (300.0, 100.0))
+    got = model.score(np.vstack([counts[60:], np.zeros((1, quality.TERMS), np.float32)]))
+    for k in range(30):
+        v = (counts[60 + k] * model.idf) @ model.directions
+        near = []
+        for i in range(60):
+            u = (counts[i] * model.idf) @ model.directions
+            near.append((float(v @ u / np.linalg.norm(v) / np.linalg.norm(u)), i))
+        votes = [(max(c, 0) ** 8 * (100 / 20 if y[i] else 300 / 40), y[i]) for c, i in sorted(near, reverse=True)[: quality.NEIGHBOURS]]
+        assert got[k] == pytest.approx(sum(w for w, good in votes if good) / sum(w for w, _ in votes), abs=1e-3)
+    assert got[30] == 0.25
