@@ -5,6 +5,8 @@ All are Column expressions, so they stay in Catalyst and push down like any othe
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,7 +15,6 @@ TAGGED = r"(?s)\[(\d+(?:\.\d+)?)\]\[(S\d+)\](.*?)\[(\d+(?:\.\d+)?)\]"
 UNIT = r"[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}]|[A-Za-z0-9]+"
 WORD_OR_HAN = r"[a-zA-Z0-9'-]+|[\x{4e00}-\x{9fff}]"
 LEXICON = r"(?<![不相互絕反派配視針])對(?![於不起象應吧])|沒錯|確實"
-ASCII_SPACE = " \t\n\r\x0b\x0c"
 
 
 def parse_tagged(raw: Column) -> Column:
@@ -60,18 +61,8 @@ def units_wide(text: Column) -> Column:
 
 def unit_index(text: Column) -> Column:
     """For each character the number of its unit, from 0; null for separators."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    ascii_ = lambda c: c.rlike("^[A-Za-z0-9]$")
-    begins = F.transform(
-        F.arrays_zip(chars.alias("c"), F.concat(F.array(F.lit(" ")), F.slice(chars, 1, F.greatest(F.size(chars) - 1, F.lit(0)))).alias("p")),
-        lambda x: F.when(ascii_(x["c"]), F.when(ascii_(x["p"]), 0).otherwise(1)).when(x["c"].rlike(r"^[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}]$"), 1),
-    )
-    folded = F.aggregate(
-        begins,
-        F.struct(F.lit(-1).alias("n"), F.array().cast("array<int>").alias("out")),
-        lambda s, b: F.struct((s["n"] + F.coalesce(b, F.lit(0))).alias("n"), F.array_append(s["out"], F.when(b.isNotNull(), s["n"] + b)).alias("out")),
-    )
-    return folded["out"]
+    pieces = F.zip_with(F.split(text, UNIT, -1), units(text), lambda gap, unit: F.struct(F.length(gap).alias("gap"), F.coalesce(F.length(unit), F.lit(0)).alias("unit")))
+    return F.flatten(F.transform(pieces, lambda p, i: F.concat(F.array_repeat(F.lit(None).cast("int"), p["gap"]), F.array_repeat(i, p["unit"]))))
 
 
 def spans_of(text: Column, pattern: str) -> Column:
@@ -111,14 +102,14 @@ def context(text: Column, start: Column, end: Column, width: int = 3) -> Column:
 
 def timecode(seconds: Column, carry: bool = False) -> Column:
     """HH:MM:SS.mmm.  Rounded milliseconds carry into seconds only, unless ``carry``."""
-    ms = F.round(seconds * 1000).cast("long") if carry else None
+    ms = F.bround(seconds * 1000).cast("long") if carry else None
     if carry:
         whole, milli = F.floor(ms / 1000), ms % 1000
         h, m, s = F.floor(whole / 3600), F.floor(whole % 3600 / 60), whole % 60
     else:
         whole = F.floor(seconds)
         h, m, s0 = F.floor(whole / 3600), F.floor(whole % 3600 / 60), whole % 60
-        milli0 = F.round((seconds - whole) * 1000).cast("long")
+        milli0 = F.bround((seconds - whole) * 1000).cast("long")
         s, milli = s0 + F.when(milli0 >= 1000, 1).otherwise(0), F.when(milli0 >= 1000, 0).otherwise(milli0)
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     return F.concat(two(h), F.lit(":"), two(m), F.lit(":"), two(s), F.lit("."), F.lpad(milli.cast("string"), 3, "0"))
@@ -126,7 +117,7 @@ def timecode(seconds: Column, carry: bool = False) -> Column:
 
 def ass_time(seconds: Column) -> Column:
     """H:MM:SS.cc, below 0 as 0."""
-    cs = F.round(F.greatest(seconds, F.lit(0.0)) * 100).cast("long")
+    cs = F.bround(F.greatest(seconds, F.lit(0.0)) * 100).cast("long")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     return F.concat(F.floor(cs / 360000).cast("string"), F.lit(":"), two(F.floor(cs % 360000 / 6000)), F.lit(":"), two(F.floor(cs % 6000 / 100)), F.lit("."), two(cs % 100))
 
@@ -179,17 +170,24 @@ def argmax_bins(logits: Column, bins: int = 5000, step_ms: int = 80) -> Column:
 
 def paired(words: Column, ms: Column, base_s: Column | float = 0.0) -> Column:
     """Each unit with its start and end in seconds; null with fewer than two times a unit."""
-    at = lambda k: F.round(F.get(ms, k) / 1000 + base_s, 3)
+    at = lambda k: F.bround(F.get(ms, k) / 1000 + base_s, 3)
     return F.when(F.size(ms) >= 2 * F.size(words), F.transform(words, lambda w, i: F.struct(w.alias("unit"), at(2 * i).alias("start_s"), at(2 * i + 1).alias("end_s"))))
 
 
+def convert_phrases(text: Column, phrases: dict[str, str], simplified: str = "", traditional: str = "") -> Column:
+    """Phrase-level conversion: the longest phrase of the dictionary at each place, else the character's own."""
+    quoted = "|".join(re.escape(p) for p in sorted(phrases, key=lambda p: (-len(p), p)))
+    known = F.create_map(*[F.lit(x) for pair in sorted(phrases.items()) for x in pair])
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(rf"(?s){quoted}|."), F.lit(0)), lambda p: F.coalesce(F.try_element_at(known, p), to_traditional(p, simplified, traditional))), "")
+
+
 def to_traditional(text: Column, simplified: str, traditional: str) -> Column:
     """Character-level conversion by a given dictionary."""
     return F.translate(text, simplified, traditional)
 
 
 def progress(end_cut: Column, total: Column) -> Column:
-    return F.round(F.least(F.max(end_cut) / F.max(total), F.lit(1.0)), 3)
+    return F.bround(F.least(F.max(end_cut) / F.max(total), F.lit(1.0)), 3)
 
 
 def wrap_pad(n: Column, segment: int) -> Column:
@@ -208,5 +206,5 @@ def diarization_row(speakers: Column, confidence: Column) -> Column:
         F.when(many, "OVERLAP").otherwise("SPEAKER").alias("type"),
         F.when(many, "OVERLAP").otherwise(F.get(speakers, F.lit(0))).alias("speaker"),
         F.when(many, speakers).alias("speakers"),
-        F.when(~many, F.round(F.coalesce(confidence, F.lit(0.0)), 4)).alias("confidence"),
+        F.when(~many, F.bround(F.coalesce(confidence, F.lit(0.0)), 4)).alias("confidence"),
     )

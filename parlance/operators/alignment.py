@@ -36,21 +36,28 @@ def sane(start: Column, end: Column, duration: Column) -> Column:
 
 
 def longest_non_decreasing(x: list[int]) -> list[int]:
-    """Positions of a longest subsequence that never falls; of several, the one that ends first."""
-    tails, at, before = [], [], [-1] * len(x)
-    length = []
+    """Positions of a longest subsequence that never falls: of several, the one that ends first, and before each place the first that can be.
+
+    The places that end runs of one length have falling values, so the first of them
+    that isn't too large is found by halving.
+    """
+    ends, places, before = [], [], [-1] * len(x)  # by length: negated values, which rise, and their places
+    lowest = []  # the least value that ends each length
     for i, v in enumerate(x):
-        k = bisect.bisect_right(tails, v)
-        before[i] = at[k - 1] if k else -1
-        if k == len(tails):
-            tails.append(v)
-            at.append(i)
+        k = bisect.bisect_right(lowest, v)
+        if k:
+            before[i] = places[k - 1][bisect.bisect_left(ends[k - 1], -v)]
+        if k == len(lowest):
+            lowest.append(v)
+            ends.append([-v])
+            places.append([i])
         else:
-            tails[k], at[k] = v, i
-        length.append(k + 1)
+            lowest[k] = v
+            ends[k].append(-v)
+            places[k].append(i)
     if not x:
         return []
-    i, out = length.index(max(length)), []
+    i, out = places[-1][0], []
     while i >= 0:
         out.append(i)
         i = before[i]
@@ -75,7 +82,7 @@ def repair(x: list[int]) -> list[int]:
             elif n <= 2:
                 out[k] = left if k - (i - 1) <= j - k else right
             else:
-                out[k] = int(left + (right - left) * (k - i + 1) / (n + 1))
+                out[k] = int(left + (right - left) / (n + 1) * (k - i + 1))
         i = j
     return out
 

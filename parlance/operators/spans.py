@@ -125,19 +125,57 @@ def chunk_id(keys: list[str], order: list[str], size: int = 20) -> Column:
     return F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / size)
 
 
+def grams(line: Column) -> Column:
+    """The distinct runs of three characters of a line (all of a shorter one), as 64-bit hashes."""
+    chars = F.split(line, "")
+    run = lambda cs, n: F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.xxhash64(F.get(cs, i), F.coalesce(F.get(cs, i + 1), F.lit("")), F.coalesce(F.get(cs, i + 2), F.lit(""))))
+    return F.array_distinct(F.flatten(F.transform(F.array(chars), lambda cs: run(cs, F.length(line)))))
+
+
+def repeat_flags(lines: Column, similarity: float = 0.8) -> Column:
+    """For each of a text's lines whether it repeats the one before: shared three-character runs over all of them.
+
+    Lines stay in their row, so nothing is exploded, shuffled or sorted.
+    """
+
+    def flags(sets: Column) -> Column:
+        def repeats(mine: Column, i: Column) -> Column:
+            last = F.get(sets, i - 1)
+            shared = F.size(F.array_intersect(mine, last))
+            return F.coalesce((i > 0) & (shared >= similarity * (F.size(mine) + F.size(last) - shared)), F.lit(False))
+
+        return F.transform(sets, repeats)
+
+    return F.flatten(F.transform(F.array(F.transform(lines, grams)), flags))
+
+
 def near_repeats(lines: DataFrame, keys: list[str], order: str, similarity: float = 0.8) -> DataFrame:
-    """Lines that repeat the one before: shared three-character shingles over all of them."""
+    """The same for lines that are rows of their own."""
     w = Window.partitionBy(*keys).orderBy(order)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 2, F.lit(1))), lambda i: F.substr("text", i, F.lit(3))))
-    with_last = lines.withColumn("grams", grams).withColumn("last", F.lag("grams").over(w))
-    shared, all_ = F.size(F.array_intersect("grams", "last")), F.size(F.array_union("grams", "last"))
-    return with_last.withColumn("repeats", F.coalesce(shared >= similarity * all_, F.lit(False))).drop("grams", "last")
+    with_last = lines.withColumn("grams", grams(F.col("text"))).withColumn("last", F.lag("grams").over(w))
+    shared = F.size(F.array_intersect("grams", "last"))
+    return with_last.withColumn("repeats", F.coalesce(shared >= similarity * (F.size("grams") + F.size("last") - shared), F.lit(False))).drop("grams", "last")
+
 
+def neighbours(results: DataFrame, keys: list[str], order: str, reach: int | None = None) -> DataFrame:
+    """Each window with the results before and after it (one swarm round's view).
 
-def neighbours(results: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Each window with all results before and after it (one swarm round's view)."""
+    Without ``reach`` that is all of them, so a recording's rows grow with the square
+    of its windows; with it, as many on either side.
+    """
     w = Window.partitionBy(*keys).orderBy(order)
     return results.withColumns({
-        "before": F.collect_list("text").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-        "after": F.collect_list("text").over(w.rowsBetween(1, Window.unboundedFollowing)),
+        "before": F.collect_list("text").over(w.rowsBetween(Window.unboundedPreceding if reach is None else -reach, -1)),
+        "after": F.collect_list("text").over(w.rowsBetween(1, Window.unboundedFollowing if reach is None else reach)),
     })
+
+
+def spoken(segments: DataFrame, speech: DataFrame, keys: list[str], bucket: int = 60_000) -> DataFrame:
+    """Segments that overlap some interval of speech (recognition over speech only)."""
+    right = speech.select(*keys, F.col("start_ms").alias("r_start_ms"), F.col("end_ms").alias("r_end_ms"))
+    return overlap_join(segments, right, keys, bucket).select(segments.columns).distinct()
+
+
+def fade(at: Column, length: Column, overlap: int) -> Column:
+    """A window's weight at a place within it: rising over the overlap at its start, falling over that at its end."""
+    return F.least(F.lit(1.0), (at + 1) / (overlap + 1), (length - at) / (overlap + 1))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Embedding limits, robust-centroid and clustering parameters, the threshold grid.
-MIN_EMBED_S, MAX_EMBED_S, MIN_VOTE_S = 1.0, 10.0, 0.5
+MIN_EMBED_S, MAX_EMBED_S, MIN_VOTE_S, MIN_SAMPLES_S = 1.0, 10.0, 0.5, 0.2
 KEEP_FRACTION, CROWD_WEIGHT, ITERATIONS = 0.5, 1.0, 2
 LOW_MARGIN, DEFAULT_TAU = 0.05, {"campplus": 0.55, "other": 0.90}
 TAUS = [round(0.10 + 0.05 * i, 2) for i in range(13)]
@@ -40,8 +40,36 @@ def with_global(segments: DataFrame, mapping: DataFrame) -> DataFrame:
     return segments.join(mapping, ["part", "speaker"], "left").withColumn("speaker_global", F.coalesce("gid", default)).drop("gid")
 
 
-def embeddable(start_s: Column, end_s: Column) -> Column:
-    return F.least(end_s - start_s, F.lit(MAX_EMBED_S)) >= MIN_EMBED_S
+def embeddable(start_s: Column, end_s: Column, n_samples: Column | None = None, rate: int = 16000) -> Column:
+    """Long enough to embed, and with at least 0.2 s of samples there."""
+    long_enough = F.least(end_s - start_s, F.lit(MAX_EMBED_S)) >= MIN_EMBED_S
+    return long_enough if n_samples is None else long_enough & (n_samples >= int(MIN_SAMPLES_S * rate))
+
+
+def may_vote(start_s: Column, end_s: Column) -> Column:
+    """Whether a kept vector's segment is long enough to have a vote."""
+    return F.least(end_s - start_s, F.lit(MAX_EMBED_S)) >= MIN_VOTE_S
+
+
+def labels(clusters: DataFrame, groups: DataFrame, recording: list[str]) -> DataFrame:
+    """(part, speaker, gid, resolved): G01.. by each cluster's first start, and telling names for groups in no cluster.
+
+    ``clusters`` has part, speaker and cluster; ``groups`` all part, speaker and first_ms.
+    """
+    joined = groups.join(clusters, [*recording, "part", "speaker"], "left")
+    first = joined.where("cluster is not null").groupBy(*recording, "cluster").agg(F.min("first_ms").alias("at"))
+    n = F.row_number().over(Window.partitionBy(*recording).orderBy("at", "cluster"))
+    named = first.select(*recording, "cluster", F.concat(F.lit("G"), F.lpad(n.cast("string"), 2, "0")).alias("g"))
+    unresolved = F.concat(F.lit("U_p"), F.col("part").cast("string"), F.lit("_"), F.col("speaker").cast("string"))
+    return joined.join(named, [*recording, "cluster"], "left").select(*recording, "part", "speaker", F.coalesce("g", unresolved).alias("gid"), F.col("g").isNotNull().alias("resolved"))
+
+
+def centroid_pairs(groups: DataFrame, recording: list[str]) -> DataFrame:
+    """Cosines of all pairs of a recording's group centroids (tens of groups), those of one part marked."""
+    other = groups.select(*recording, F.col("part").alias("b_part"), F.col("speaker").alias("b_speaker"), F.col("centroid").alias("c"))
+    mine = groups.select(*recording, F.col("part").alias("a_part"), F.col("speaker").alias("a_speaker"), "centroid")
+    later = F.struct("a_part", "a_speaker") < F.struct("b_part", "b_speaker")
+    return mine.join(other, recording).where(later).select(*recording, "a_part", "a_speaker", "b_part", "b_speaker", dot(F.col("centroid"), F.col("c")).alias("cosine"), (F.col("a_part") == F.col("b_part")).alias("same_part"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -111,6 +139,12 @@ def evenly_sampled(vectors: DataFrame, keys: list[str], order: str, limit: int =
     return vectors.withColumn("take", (n <= limit) | (slot == i)).where("take").drop("take")
 
 
+def falling(rows: DataFrame, part: str, speaker: str) -> list[Column]:
+    """What is largest for the target that comes first, by part and then by speaker."""
+    turned = lambda c: F.transform(F.split(c, ""), lambda x: -F.ascii(x))
+    return [(-F.col("t_part")).alias("p"), (turned(F.col("t_speaker")) if dict(rows.dtypes)[speaker] == "string" else -F.col("t_speaker")).alias("s")]
+
+
 def votes(vectors: DataFrame, targets: DataFrame, recording: list[str]) -> DataFrame:
     """(src part and speaker, target, n): every vector votes for the nearest centroid of another part.
 
@@ -119,7 +153,7 @@ def votes(vectors: DataFrame, targets: DataFrame, recording: list[str]) -> DataF
     t = targets.select(*recording, F.col("part").alias("t_part"), F.col("speaker").alias("t_speaker"), "centroid")
     scored = vectors.join(t, recording).where("part <> t_part").withColumn("score", dot(F.col("embedding"), F.col("centroid")))
     # first among equals is the target that comes first
-    best = scored.groupBy(*recording, "part", "speaker", "vec_id").agg(F.max_by(F.struct("t_part", "t_speaker"), F.struct("score", (-F.col("t_part")).alias("p"))).alias("t"))
+    best = scored.groupBy(*recording, "part", "speaker", "vec_id").agg(F.max_by(F.struct("t_part", "t_speaker"), F.struct("score", *falling(targets, "part", "speaker"))).alias("t"))
     return best.groupBy(*recording, "part", "speaker", F.col("t.t_part").alias("t_part"), F.col("t.t_speaker").alias("t_speaker")).agg(F.count("*").alias("n"))
 
 
@@ -131,7 +165,7 @@ def affinity(tally: DataFrame, keys: list[str]) -> DataFrame:
 def majority(tally: DataFrame, keys: list[str]) -> DataFrame:
     """Each group's most voted target and its share of the votes."""
     return tally.groupBy(*keys, "part", "speaker").agg(
-        F.max_by(F.struct("t_part", "t_speaker"), F.struct("n", (-F.col("t_part")).alias("p"))).alias("winner"), (F.max("n") / F.sum("n")).alias("agreement"), F.sum("n").alias("n_votes")
+        F.max_by(F.struct("t_part", "t_speaker"), F.struct("n", *falling(tally, "t_part", "t_speaker"))).alias("winner"), (F.max("n") / F.sum("n")).alias("agreement"), F.sum("n").alias("n_votes")
     )
 
 

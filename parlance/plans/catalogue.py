@@ -45,21 +45,10 @@ def _shift_parsed(said: DataFrame) -> DataFrame:
     return spans.shift(rows, offsets, ["recording_id", "part"])
 
 
-@query(f"""with {TALK} select recording_id, part, seg_ord - 0 as seg_ord, part * 1000000 + start_ms as start_ms, part * 1000000 + end_ms as end_ms,
- case speaker when 'user' then 'S01' when 'assistant' then 'S02' else 'S03' end as speaker, trim(substr(regexp_replace(text, '[^a-zA-Z]+', ' ', 'g'), 1, 40)) as text from talk""")
-def segment_shift_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tagged text written for each part, parsed again, and shifted by the part's start."""
-    said = talk(spark, sf_dir).withColumns({
-        "tag": F.when(F.col("speaker") == "user", "S01").when(F.col("speaker") == "assistant", "S02").otherwise("S03"),
-        "body": F.trim(F.substring(F.regexp_replace("text", "[^a-zA-Z]+", " "), 1, 40)),
-    })
-    return _shift_parsed(said)
-
-
 @query(f"""with {TALK} select recording_id, part, seg_ord - 0 as seg_ord, part * 1000000 + start_ms as start_ms, part * 1000000 + end_ms as end_ms,
  case speaker when 'user' then 'S01' when 'assistant' then 'S02' else 'S03' end as speaker, trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') as text from talk""")
 def segment_shift_parse_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``segment_shift_parse``, over the whole text of every turn: nothing is cut or stripped but the white space around it."""
+    """Tagged text written for each part, parsed again, and shifted by the part's start.  Turns are whole: nothing is stripped but the white space around them."""
     said = talk(spark, sf_dir).withColumns({
         "tag": F.when(F.col("speaker") == "user", "S01").when(F.col("speaker") == "assistant", "S02").otherwise("S03"),
         "body": tx.escape_tags(F.col("text")),
@@ -333,9 +322,8 @@ def tokenize_units(spark: SparkSession, sf_dir: str) -> DataFrame:
  g as (select *, list_distinct(list_transform(range(1, greatest(length(text) - 2, 1) + 1), lambda i: substr(text, i, 3))) as grams from l), p as (select *, lag(grams) over (partition by doc_id order by k) as prev from g)
  select doc_id, count(*) as n_lines, count(*) filter (coalesce(len(list_intersect(grams, prev)) >= 0.8 * len(list_distinct(list_concat(grams, prev))), false)) as n_repeats from p group by all""")
 def near_dup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("k", "text"))
-    marked = spans.near_repeats(lines, ["doc_id"], "k")
-    return marked.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("repeats").alias("n_repeats"))
+    lines = F.split("text", "\n", -1)
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(F.filter(spans.repeat_flags(lines), lambda x: x)).cast("long").alias("n_repeats"))
 
 
 @query("""select doc_id, array_to_string(list_filter(list_transform(string_split(source || ', ,' || lang || ',' || source, ','), lambda x: trim(x)), lambda x: x <> ''), ', ') as prompt from documents""")
@@ -368,8 +356,7 @@ def _tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {VOTED} select *, cast(floor(n * 1000 / sum(n) over (partition by part, speaker)) as bigint) as share from tally")
 def vote_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
     shares = speakers.affinity(_tally(spark, sf_dir), ["recording_id"])
-    total = F.sum("n").over(Window.partitionBy("part", "speaker"))
-    return shares.select("part", "speaker", "t_part", "t_speaker", "n", F.floor(F.col("n") * 1000 / total).cast("long").alias("share"))
+    return shares.select("part", "speaker", "t_part", "t_speaker", "n", F.floor(F.col("share") * 1000 + 1e-9).cast("long").alias("share"))
 
 
 @query(f"with {VOTED} select part, speaker, max(n) as top_votes, cast(sum(n) as bigint) as n_votes from tally group by all")
@@ -448,3 +435,7 @@ def orders_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = li.groupBy("l_orderkey").agg(F.count("*").alias("k"))
     rows = o.where("o_orderstatus = 'F'").join(lines, o["o_orderkey"] == lines["l_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"])
     return rows.groupBy("n_name").agg(F.count("*").alias("n_orders"), F.sum("k").alias("n_lines"))
+
+
+# the inventory's other queries, which register themselves above
+from parlance.plans import inventory  # noqa: E402, F401

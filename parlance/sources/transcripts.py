@@ -29,14 +29,14 @@ def read_combined(spark: SparkSession, path: str) -> DataFrame:
 def segments(combined: DataFrame) -> DataFrame:
     """One row for each segment, in file order, times in milliseconds."""
     s = combined.select(F.col("video_id").alias("recording_id"), F.posexplode("segments").alias("seg_ord", "s"))
-    ms = lambda c: F.round(F.col(c) * 1000).cast("long")
+    ms = lambda c: F.bround(F.col(c) * 1000).cast("long")
     return s.select("recording_id", F.col("s.part").alias("part"), F.col("seg_ord").cast("long").alias("seg_ord"), ms("s.start").alias("start_ms"), ms("s.end").alias("end_ms"), "s.speaker", "s.text", "s.speaker_global")
 
 
 def parts(combined: DataFrame) -> DataFrame:
     """Parts of either version in one shape: number and absolute start from whichever keys the file has."""
     p = combined.select(F.col("video_id").alias("recording_id"), F.explode("parts").alias("p"))
-    ms = lambda c: F.round(c * 1000).cast("long")
+    ms = lambda c: F.bround(c * 1000).cast("long")
     return p.select(
         "recording_id",
         F.coalesce("p.part", "p.index").alias("part"),
@@ -79,14 +79,60 @@ def audio_files(spark: SparkSession, folder: str) -> DataFrame:
 def speakers(files: DataFrame) -> DataFrame:
     """(speaker, path, size_kb): a file's stem names the speaker; a stem with two files is told apart by ``n_files``."""
     n = F.count("*").over(Window.partitionBy("stem"))
-    return files.select(F.col("stem").alias("speaker"), "path", F.round(F.col("length") / 1024, 1).alias("size_kb"), n.alias("n_files"))
+    return files.select(F.col("stem").alias("speaker"), "path", F.bround(F.col("length") / 1024, 1).alias("size_kb"), n.alias("n_files"))
 
 
 def without_collisions(names: DataFrame, order: str) -> DataFrame:
-    """Names as stored: the second of a name gets _1, the third _2, before the suffix."""
+    """Names as stored: the second of a name gets _1, the third _2, before the suffix.
+
+    A made name that some upload has itself gets underscores more until it is free, so
+    nothing is overwritten.
+    """
     k = F.row_number().over(Window.partitionBy("name").orderBy(order)) - 1
     stem, suffix = F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"(\.[^.]*)$", 1)
-    return names.withColumn("stored", F.when(k == 0, F.col("name")).otherwise(F.concat(stem, F.lit("_"), k.cast("string"), suffix)))
+    first = names.withColumn("__turn", k).withColumn("stored", F.when(F.col("__turn") == 0, F.col("name")).otherwise(F.concat(stem, F.lit("_"), F.col("__turn").cast("string"), suffix)))
+    taken = names.select(F.col("name").alias("__taken")).distinct()
+    met = first.join(taken, (F.col("__turn") > 0) & (F.col("stored") == F.col("__taken")), "left")
+    # a name with two underscores in a row before its number comes from no other name unless that is there too
+    free = F.concat(stem, F.lit("__"), F.col("__turn").cast("string"), F.lit("_"), F.substring(F.sha2("name", 256), 1, 8), suffix)
+    return met.withColumn("stored", F.when(F.col("__taken").isNotNull(), free).otherwise(F.col("stored"))).drop("__turn", "__taken")
+
+
+def without_stem(names: DataFrame, stem: str) -> DataFrame:
+    """The names left when every file of a stem, whatever its suffix, is deleted."""
+    return names.where(~F.equal_null(F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1), F.lit(stem)))
+
+
+def wav_bytes(samples: Column, rate: int = 16000) -> Column:
+    """Mono 16-bit WAV files of arrays of samples."""
+
+    @F.pandas_udf("binary")
+    def encode(rows: pd.Series) -> pd.Series:
+        out = []
+        for row in rows:
+            data = io.BytesIO()
+            with wave.open(data, "wb") as w:
+                w.setnchannels(1)
+                w.setsampwidth(2)
+                w.setframerate(rate)
+                w.writeframes(np.asarray([] if row is None else row, "<i2").tobytes())
+            out.append(data.getvalue())
+        return pd.Series(out)
+
+    return encode(samples.cast("array<smallint>"))
+
+
+def write_slices(audio: DataFrame, spans: DataFrame, keys: list[str], folder: str, rate: int = 16000) -> None:
+    """Each span (start_s, end_s) of a recording's samples as a WAV file's bytes, exact to the sample, by recording and span."""
+    cut = audio.join(spans, keys).withColumn("b", sample_range(F.col("start_s"), F.col("end_s"), rate))
+    cut.select(*keys, "start_s", "end_s", wav_bytes(sliced(F.col("samples"), F.col("b")), rate).alias("content")).write.mode("overwrite").parquet(folder)
+
+
+def summary(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The served result's head: number of segments, the distinct speakers in order, and how many they are."""
+    named = rows.select(*keys, tx.named_speaker(F.col("speaker_global"), F.col("speaker")).alias("speaker"))
+    counted = named.groupBy(*keys, "speaker").agg(F.count("*").alias("n"))
+    return counted.groupBy(*keys).agg(F.sum("n").alias("n_segments"), F.count("*").alias("n_speakers"), F.sort_array(F.collect_list("speaker")).alias("speakers"))
 
 
 def renamed(names: DataFrame, old: str, new: str) -> DataFrame:
@@ -121,7 +167,7 @@ def duration_s(n: Column, rate: Column) -> Column:
 
 def sample_range(start_s: Column, end_s: Column, rate: int = 16000) -> Column:
     """Exact half-open sample numbers of a span."""
-    return F.struct(F.round(start_s * rate).cast("long").alias("first"), F.round(end_s * rate).cast("long").alias("stop"))
+    return F.struct(F.bround(start_s * rate).cast("long").alias("first"), F.bround(end_s * rate).cast("long").alias("stop"))
 
 
 def sliced(samples: Column, bounds: Column) -> Column:
