@@ -12,8 +12,8 @@ shingles, S being the sum of their sizes.
     into d + 1 parts and as many more as may be empty by chance; linked nodes then
     agree in the whole of at least one part that isn't empty.  Unlike a single frequent
     shingle, a part's content recurs almost only in near copies, however common a
-    line or passage is.  The least node that has a part leads it (within each task
-    first, so that few entries travel for a text that a third of all rows share), and
+    line or passage is.  The document of least id that has a part leads it (within each
+    task first, so that few entries travel for a text that a third of all rows share), and
     a node's home is the group of its least leader.
 2.  *Unions.*  A group is cut into blocks of bounded size, each with the group's
     leader.  A block stores the union of its members' shingles, as a bit set of hashes
@@ -182,7 +182,7 @@ def _lead(column: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _groups(docs: DataFrame, width: int, percent: int, largest: int) -> DataFrame:
-    """Distinct (member, leader) of all parts, as set keys."""
+    """Distinct (member, leader) of all parts, as ids."""
     spark = docs.sparkSession
     # a pair is handed on once for each bucket that has a column of it, so buckets are no more than memory asks for
     n_buckets = max(64, shuffle_width(spark), 2 * docs.rdd.getNumPartitions())
@@ -205,11 +205,11 @@ def _groups(docs: DataFrame, width: int, percent: int, largest: int) -> DataFram
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column, doc, held = [], [], 0
         for batch in batches:
-            for _, n, row, value in shingle_sets(batch.column(0), width):
-                _, key, _ = _set_keys(row, value, n)
+            ids = batch.column(0).to_numpy()
+            for first, n, row, value in shingle_sets(batch.column(1), width):
                 row, found = scheme.columns(row, value, n)
                 column.append(found)
-                doc.append(key.view(np.int64)[row])
+                doc.append(ids[first + row])
                 held += len(found)
                 if held >= FLUSH:
                     yield emit(column, doc)
@@ -223,7 +223,7 @@ def _groups(docs: DataFrame, width: int, percent: int, largest: int) -> DataFram
         near, local = read("member", np.int64), read("local", np.int64)
         return pa.table({"member": np.concatenate([member, near]), "leader": np.concatenate([leader, local]), "local": np.repeat([False, True], [len(member), len(near)])})
 
-    dealt = docs.select("text").mapInArrow(scan, "bucket int, columns binary, leaders binary, member binary, local binary")
+    dealt = docs.select("id", "text").mapInArrow(scan, "bucket int, columns binary, leaders binary, member binary, local binary")
     found = cut(dealt.groupBy("bucket").applyInArrow(gather, "member long, leader long, local boolean").distinct())
     near = found.where("local").select("member", F.col("leader").alias("mid"))
     far = found.where("not local").select(F.col("member").alias("mid"), "leader")
@@ -495,13 +495,15 @@ def set_components(docs: DataFrame, width: int, percent: int, id_col: str = "doc
 
     measured = cut(texts.mapInArrow(measure, "id long, h long, n long, key long, key2 long, sketch binary"))
     sets, full = measured.drop("sketch"), measured.where("n > 0 and id is not null")
-    # numbered once and written, so a set keeps its number
-    nodes = cut(full.groupBy("n", "key", "key2").agg(F.min("id").alias("low")).withColumn("node", F.monotonically_increasing_id()))
+    # numbered in the order of their least ids and written, so a set keeps its number
+    nodes = cut(full.groupBy("n", "key", "key2").agg(F.min("id").alias("low")).orderBy("low", "key", "key2").withColumn("node", F.monotonically_increasing_id()))
     largest = nodes.agg(F.max("n")).first()[0] or 0
     if not largest:
         return sets, nodes.withColumnRenamed("node", "component")
     known = texts.where("id is not null")
-    a, b = nodes.select(F.col("key").alias("member"), F.col("node").alias("a")), nodes.select(F.col("key").alias("leader"), F.col("node").alias("b"))
+    # an id with several texts stands for all their sets: more to compare, nothing lost
+    of_id = cut(sets.where("n > 0 and id is not null").join(nodes, ["n", "key", "key2"]).select("id", "node").distinct())
+    a, b = of_id.select(F.col("id").alias("member"), F.col("node").alias("a")), of_id.select(F.col("id").alias("leader"), F.col("node").alias("b"))
     led = _groups(known, width, percent, largest).join(a, "member").join(b, "leader").where("a <> b").select("a", "b").distinct()
     # every leader is in its own group too
     led = cut(led.union(led.select(F.col("b").alias("a"), "b").distinct()))
