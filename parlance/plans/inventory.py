@@ -248,7 +248,7 @@ SQL["ordered_match"] = f"""with recursive {TALK}, said as (select recording_id,
 
 SQL["lis_repair"] = """with recursive v as (select user_id, list(cast(floor(value + event_id) as bigint) order by event_id) as x from events group by user_id),
  d(user_id, x, i, dp, par) as (select user_id, x, 1, [1], [0] from v
- union all select user_id, x, i + 1, list_append(dp, cast(1 + coalesce(list_max(c), 0) as integer)), list_append(par, cast(coalesce(list_position(c, list_max(c)), 0) as integer)) from
+ union all select user_id, x, i + 1, list_append(dp, cast(1 + coalesce(list_max(c), 0) as integer)), list_append(par, cast(case when list_max(c) is null then 0 else list_position(c, list_max(c)) end as integer)) from
  (select *, list_transform(range(1, i + 1), lambda j: case when x[j] <= x[i + 1] then dp[j] end) as c from d where i < len(x)) q),
  f as (select * from d where i = len(x)), b(user_id, idx) as (select user_id, list_position(dp, list_max(dp)) from f union all select b.user_id, f.par[b.idx] from b join f on f.user_id = b.user_id where f.par[b.idx] > 0),
  g as (select user_id, list(idx) as good from b group by user_id), o as (select f.user_id, x, good, unnest(range(1, len(x) + 1)) as k from f join g on f.user_id = g.user_id),
