@@ -8,6 +8,7 @@ so that temporary arrays stay small; a text longer than that is a run by itself.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,6 +100,36 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix((total[ends] - total[starts]) * inverse[starts] + mix((ends - starts).astype(U64)))
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1).astype(np.uint32)
+    return table
+
+
+_CRC = _crc_table()
+#: Longer spans are left to zlib, one by one.
+LONG_SPAN = 48
+
+
+def crc32_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """CRC-32 of each span's bytes, going on from ``before`` where given: one step a byte place for all spans."""
+    size = ends - starts
+    order = np.argsort(-np.minimum(size, LONG_SPAN + 1).astype(np.int16), kind="stable")
+    at, sorted_size = starts[order], np.minimum(size[order], LONG_SPAN + 1)
+    register = ~(np.zeros(len(size), np.uint32) if before is None else before[order])
+    left = np.searchsorted(-sorted_size, -np.arange(LONG_SPAN + 1), "left")  # how many spans have a byte at each place
+    for k in range(LONG_SPAN):
+        if not (n := left[k]):
+            break
+        register[:n] = _CRC[(register[:n] ^ data[at[:n] + k]) & 0xFF] ^ (register[:n] >> 8)
+    out = np.empty(len(size), np.uint32)
+    out[order] = ~register
+    for i in np.flatnonzero(size > LONG_SPAN):
+        out[i] = zlib.crc32(data[starts[i] : ends[i]], 0 if before is None else int(before[i]))
+    return out
+
+
 def row_shingles(row: np.ndarray, hashes: np.ndarray, width: int, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of ``width`` words per row, ordered by row and hash.
 

@@ -13,8 +13,10 @@ def test_sql_agrees(spark, name):
     con = duckdb.connect()
     for t in ("documents", "embeddings", "benchmark", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
-    want = con.execute(queries.oracle_sql()[name]).fetchdf()
-    columns = sorted(want.columns)
+    found = con.execute(queries.oracle_sql()[name])
+    names = [c[0] for c in found.description]
+    columns = sorted(names)
+    want = [tuple(r[names.index(c)] for c in columns) for r in found.fetchall()]
     got = queries.queries()[name](spark, SF)
     assert sorted(got.columns) == columns
-    assert sorted(map(str, got.select(columns).toPandas().itertuples(index=False, name=None))) == sorted(map(str, want[columns].itertuples(index=False, name=None)))
+    assert sorted(map(repr, map(tuple, got.select(columns).collect()))) == sorted(map(repr, want))
