@@ -22,7 +22,7 @@ OUT = "part int, start_abs_ms long, duration_ms long, status string, end_cut_abs
 def plan(total: int, transcribe: Callable[[int, int], list[Segment]], nominal: int = NOMINAL, cut: int = 0, part: int = 0) -> Iterator[dict]:
     """One row for each part until the recording ends.  ``transcribe`` gives part-relative segments."""
     while cut < total - DONE:
-        start = cut - GUARD if part else cut
+        start = max(cut - GUARD, 0) if part else cut
         nominal_end = min(cut + nominal, total)
         final, duration = nominal_end >= total - DONE, nominal_end - start
         segments = sorted(transcribe(start, nominal_end), key=lambda s: s[0])

@@ -7,7 +7,7 @@ pandas functions over one recording's groups, which are tens to hundreds of rows
 
 from __future__ import annotations
 
-import math
+import heapq
 
 import numpy as np
 import pandas as pd
@@ -169,42 +169,125 @@ def majority(tally: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-SYMMETRY = {"min": np.minimum, "max": np.maximum, "mean": lambda a, b: (a + b) / 2}
+SYMMETRY = {"min": min, "max": max, "mean": lambda a, b: (a + b) / 2}
+NOBODY = -1
 
 
-def cluster_affinity(clusters: list[list[int]], parts: list[set[int]], centroid: np.ndarray, kept: list[np.ndarray]) -> np.ndarray:
-    """Share of each cluster's kept vectors that are nearest to each cluster it may merge with."""
-    centres = np.array([centroid[c].mean(0) for c in clusters])
-    centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-    out = np.zeros((len(clusters), len(clusters)))
-    for i, c in enumerate(clusters):
-        allowed = [j for j in range(len(clusters)) if not parts[i] & parts[j]]
-        ballots = np.concatenate([kept[m] for m in c]) if c else np.empty((0, centroid.shape[1]))
-        if allowed and len(ballots):
-            chosen = np.argmax(ballots @ centres[allowed].T, axis=1)
-            out[i, allowed] = np.bincount(chosen, minlength=len(allowed)) / len(ballots)
-    return out
+class Ballots:
+    """The votes of all kept vectors among clusters that change by merging.
+
+    A ballot remembers its best and second-best target.  After a merge only those vote
+    again whose own cluster merged or whose two targets are concerned; for all others the
+    merged cluster is one new candidate.  Clusters go by their least group; of equal
+    scores the least cluster wins.
+    """
+
+    def __init__(self, part: list[int], centroid: np.ndarray, kept: list[np.ndarray]):
+        n = len(part)
+        self.members, self.parts = {i: [i] for i in range(n)}, {i: {p} for i, p in enumerate(part)}
+        self.centroid = centroid
+        self.centre = {i: self._centre([i]) for i in range(n)}
+        self.vectors = np.concatenate([np.asarray(k, np.float64).reshape(-1, centroid.shape[1]) for k in kept]) if n else np.empty((0, 1))
+        self.owner = np.repeat(np.arange(n), [len(k) for k in kept])
+        self.total = {i: len(k) for i, k in enumerate(kept)}
+        size = len(self.vectors)
+        self.target, self.score = np.full((size, 2), NOBODY), np.full((size, 2), -np.inf)
+        self.count: dict[tuple[int, int], int] = {}
+        self.recounted = 0
+        self._vote(np.ones(size, bool))
+
+    def _centre(self, members: list[int]) -> np.ndarray:
+        mean = self.centroid[members].mean(0)
+        return mean / max(np.linalg.norm(mean), 1e-12)
+
+    def may_meet(self, a: int, b: int) -> bool:
+        return not self.parts[a] & self.parts[b]
+
+    def _likeness(self, rows: np.ndarray, cluster: int) -> np.ndarray:
+        return (self.vectors[rows] * self.centre[cluster]).sum(1)
+
+    def _enter(self, rows: np.ndarray, cluster: int) -> None:
+        """Let ``cluster`` stand for these ballots, none of which knows it yet."""
+        score, of = self._likeness(rows, cluster), self.target[rows]
+        better = [(score > self.score[rows, k]) | ((score == self.score[rows, k]) & ((of[:, k] == NOBODY) | (cluster < of[:, k]))) for k in (0, 1)]
+        first, second = rows[better[0]], rows[~better[0] & better[1]]
+        self.target[first, 1], self.score[first, 1] = self.target[first, 0], self.score[first, 0]
+        self.target[first, 0], self.score[first, 0] = cluster, score[better[0]]
+        self.target[second, 1], self.score[second, 1] = cluster, score[~better[0] & better[1]]
+
+    def _vote(self, again: np.ndarray) -> None:
+        """These ballots look at every cluster they may choose."""
+        self.target[again], self.score[again] = NOBODY, -np.inf
+        self.recounted += int(again.sum())
+        for cluster in sorted(self.members):
+            open_to = [c for c in self.members if c != cluster and self.may_meet(c, cluster)]
+            rows = np.flatnonzero(again & np.isin(self.owner, open_to))
+            if len(rows):
+                self._enter(rows, cluster)
+        self._tally()
+
+    def _tally(self) -> None:
+        chosen = self.target[:, 0] != NOBODY
+        pairs, n = np.unique(np.stack([self.owner[chosen], self.target[chosen, 0]], 1), axis=0, return_counts=True)
+        self.count = {(int(a), int(b)): int(k) for (a, b), k in zip(pairs, n)}
+
+    def share(self, a: int, b: int) -> float:
+        return self.count.get((a, b), 0) / self.total[a] if self.total[a] else 0.0
+
+    def merge(self, a: int, b: int) -> set[int]:
+        """``b`` goes into ``a`` (``a`` less than ``b``); gives the clusters whose shares may have changed."""
+        before = dict(self.count)
+        self.members[a], self.parts[a] = self.members[a] + self.members.pop(b), self.parts[a] | self.parts.pop(b)
+        self.total[a] += self.total.pop(b)
+        self.centre[a] = self._centre(self.members[a])
+        del self.centre[b]
+        self.owner[self.owner == b] = a
+        again = (self.owner == a) | np.isin(self.target, (a, b)).any(1)
+        open_to = [c for c in self.members if c != a and self.may_meet(c, a)]
+        rest = np.flatnonzero(~again & np.isin(self.owner, open_to))
+        if len(rest):
+            self._enter(rest, a)
+        self._vote(again)
+        return {a} | {x for pair in before.keys() | self.count.keys() if before.get(pair) != self.count.get(pair) for x in pair if x in self.members}
 
 
 def agglomerate(part: list[int], centroid: np.ndarray, kept: list[np.ndarray], symmetry: str = "min") -> list[dict]:
     """All merges to exhaustion, best affinity first; clusters that share a part never merge.
 
     The order doesn't depend on a threshold: cutting before the first affinity at or
-    below one gives that threshold's partition (affinities aren't monotone).
+    below one gives that threshold's partition (affinities aren't monotone).  Pairs wait in
+    a heap; an entry that its pair's affinity has left behind is passed over.  The margin
+    is over the best other pair of either cluster, 0 for those that can't merge, and 1
+    where no third cluster is left.
     """
-    clusters, parts, log = [[i] for i in range(len(part))], [{p} for p in part], []
-    while True:
-        a = cluster_affinity(clusters, parts, centroid, kept)
-        both = SYMMETRY[symmetry](a, a.T)
-        pairs = [(i, j) for i in range(len(clusters)) for j in range(i + 1, len(clusters)) if not parts[i] & parts[j]]
-        if not pairs:
-            return log
-        i, j = max(pairs, key=lambda p: both[p])  # the first of equals, in scan order
-        others = [both[p] for p in pairs if p != (i, j) and ({i, j} & set(p))]
-        alternative = max(others, default=float("nan"))
-        log.append({"step": len(log), "a": min(clusters[i]), "b": min(clusters[j]), "affinity": float(both[i, j]), "alternative": float(alternative), "members": sorted(clusters[i] + clusters[j])})
-        clusters[i], parts[i] = clusters[i] + clusters[j], parts[i] | parts[j]
-        del clusters[j], parts[j]
+    ballots, log = Ballots(part, centroid, kept), []
+    affinity = lambda a, b: float(SYMMETRY[symmetry](ballots.share(a, b), ballots.share(b, a)))
+    now = {(a, b): affinity(a, b) for a in range(len(part)) for b in range(a + 1, len(part)) if ballots.may_meet(a, b)}
+    heap = [(-v, *pair) for pair, v in now.items()]
+    heapq.heapify(heap)
+    while heap:
+        v, a, b = heapq.heappop(heap)
+        if now.get((a, b)) != -v:
+            continue
+        third = len(ballots.members) > 2
+        rival = max((x for pair, x in now.items() if pair != (a, b) and {a, b} & set(pair)), default=0.0)
+        log.append({
+            "step": len(log), "a": min(ballots.members[a]), "b": min(ballots.members[b]), "affinity": -v, "alternative": rival if third else -1.0,
+            "margin": -v - rival if third else 1.0, "members": sorted(ballots.members[a] + ballots.members[b]),
+        })
+        changed = ballots.merge(a, b)
+        now = {pair: x for pair, x in now.items() if b not in pair}
+        for c in changed:
+            for d in ballots.members:
+                pair = (min(c, d), max(c, d))
+                if c == d:
+                    continue
+                if not ballots.may_meet(c, d):
+                    now.pop(pair, None)
+                elif now.get(pair) != (x := affinity(*pair)):
+                    now[pair] = x
+                    heapq.heappush(heap, (-x, *pair))
+    return log
 
 
 def merge_log(vectors: DataFrame, robust: DataFrame, recording: list[str], symmetry: str = "min") -> DataFrame:
@@ -218,7 +301,7 @@ def merge_log(vectors: DataFrame, robust: DataFrame, recording: list[str], symme
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["part", "speaker"])
         log = agglomerate(pdf["part"].tolist(), np.array(pdf["centroid"].tolist()), [np.array(b.tolist(), np.float64) for b in pdf["ballots"]], symmetry)
-        rows = [{**{k: pdf[k].iloc[0] for k in recording}, **m, "margin": m["affinity"] - m["alternative"], "n_groups": len(pdf)} for m in log]
+        rows = [{**{k: pdf[k].iloc[0] for k in recording}, **m, "n_groups": len(pdf)} for m in log]
         none = {**{k: pdf[k].iloc[0] for k in recording}, "step": -1, "a": None, "b": None, "affinity": None, "alternative": None, "margin": None, "members": [], "n_groups": len(pdf)}
         return pd.DataFrame([none, *rows])[[*recording, "step", "a", "b", "affinity", "alternative", "margin", "members", "n_groups"]]
 
@@ -237,6 +320,20 @@ def partition_at(log: list[dict], n: int, tau: float) -> list[list[int]]:
     return [list(x) for x in sorted({tuple(sorted(c)) for c in of.values()})]
 
 
+def clusters_at(log: DataFrame, groups: DataFrame, recording: list[str], tau: float) -> DataFrame:
+    """(recording, part, speaker, cluster): the merge log's partition at a threshold; a cluster's number is its least group."""
+    types = dict(log.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in recording) + ", k int, cluster int"
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = partition_at(pdf[pdf["step"] >= 0].to_dict("records"), int(pdf["n_groups"].iloc[0]), tau)
+        out = pd.DataFrame([(i, min(c)) for c in found for i in c], columns=["k", "cluster"])
+        return out.assign(**{k: pdf[k].iloc[0] for k in recording})[[*recording, "k", "cluster"]]
+
+    numbered = groups.withColumn("k", (F.row_number().over(Window.partitionBy(*recording).orderBy("part", "speaker")) - 1).cast("int"))
+    return numbered.join(log.groupBy(*recording).applyInPandas(cut, schema), [*recording, "k"]).select(*recording, "part", "speaker", "cluster")
+
+
 def tau_curve(log: DataFrame, recording: list[str], taus: list[float] = TAUS) -> DataFrame:
     """(recording, i, tau, n_clusters, n_merges, min_margin, pairs): one prefix cut for each threshold."""
     types = dict(log.dtypes)
@@ -248,7 +345,7 @@ def tau_curve(log: DataFrame, recording: list[str], taus: list[float] = TAUS) ->
         for i, tau in enumerate(taus):
             clusters = partition_at(rows, n, tau)
             merges = n - len(clusters)
-            margins = [r["margin"] for r in sorted(rows, key=lambda r: r["step"])[:merges] if not math.isnan(r["margin"])]
+            margins = [r["margin"] for r in sorted(rows, key=lambda r: r["step"])[:merges]]
             pairs = [f"{a}-{b}" for c in clusters for x, a in enumerate(c) for b in c[x + 1 :]]
             out.append({**{k: pdf[k].iloc[0] for k in recording}, "i": i, "tau": tau, "n_clusters": len(clusters), "n_merges": merges, "min_margin": min(margins, default=None), "pairs": pairs})
         return pd.DataFrame(out)[[*recording, "i", "tau", "n_clusters", "n_merges", "min_margin", "pairs"]]

@@ -41,3 +41,12 @@ def voices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VOICES = "voices as (select cast(vec_id % 5 as int) as part, label as speaker, vec_id, cast(embedding as double[]) as e from embeddings)"
+
+
+def meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same vectors dealt to three recordings, so that folds by recording run side by side."""
+    v = voices(spark, sf_dir)
+    return v.withColumn("recording_id", (F.floor(F.col("vec_id") / 5) % 3).cast("int"))
+
+
+MEETINGS = "voices as (select cast(vec_id // 5 % 3 as int) as recording_id, cast(vec_id % 5 as int) as part, label as speaker, vec_id, cast(embedding as double[]) as e from embeddings)"

@@ -383,38 +383,6 @@ def pair_set_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("n_both"), F.size(F.array_union("x", "y")).cast("long").alias("n_all"))
 
 
-@query()
-def robust_centroid_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = speakers.robust_centroids(voices(spark, sf_dir), ["recording_id"])
-    return r.select("part", "speaker", "n_total", "n_kept", F.array_join(F.col("kept").cast("array<string>"), ",").alias("kept"))
-
-
-def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = voices(spark, sf_dir)
-    return speakers.merge_log(v, speakers.robust_centroids(v, ["recording_id"]), ["recording_id"])
-
-
-@query()
-def cluster_merge_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All groups of the recording merged to exhaustion."""
-    return _log(spark, sf_dir).where("step >= 0").select("step", "a", "b", F.round("affinity", 6).alias("affinity"), (F.col("margin") < speakers.LOW_MARGIN).alias("low_margin"))
-
-
-@query()
-def tau_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    curve = speakers.stabilities(speakers.tau_curve(_log(spark, sf_dir), ["recording_id"]), ["recording_id"])
-    return curve.select("tau", "n_clusters", "n_merges", F.round("stability", 6).alias("stability"))
-
-
-@query("""with s(i, stability) as (values (0, null), (1, 1.0), (2, 0.5), (3, 1.0), (4, 1.0), (5, 1.0), (6, 0.2), (7, 1.0), (8, 1.0), (9, 1.0), (10, 0.9), (11, 1.0), (12, 1.0)),
- r as (select i, sum(case when stability = 1.0 then 0 else 1 end) over (order by i) as run from s), g as (select run, min(i) as lo, max(i) as hi, count(*) as n from r group by run)
- select round(0.1 + 0.05 * lo, 2) as low, round(0.1 + 0.05 * hi, 2) as high, round((0.2 + 0.05 * (lo + hi)) / 2, 3) as auto_tau from g where n > 1 order by n desc, lo limit 1""")
-def auto_tau_plateau(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = "(0, null), (1, 1.0), (2, 0.5), (3, 1.0), (4, 1.0), (5, 1.0), (6, 0.2), (7, 1.0), (8, 1.0), (9, 1.0), (10, 0.9), (11, 1.0), (12, 1.0)"
-    curve = spark.sql(f"select 0 as recording_id, i, round(0.1D + 0.05D * i, 2) as tau, cast(s as double) as stability from values {rows} as t(i, s)")
-    return speakers.auto_tau(curve, ["recording_id"]).drop("recording_id")
-
-
 @query()
 def union_find_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = speakers.centroids(voices(spark, sf_dir), ["recording_id", "part", "speaker"])
@@ -438,4 +406,4 @@ def orders_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # the inventory's other queries, which register themselves above
-from parlance.plans import inventory  # noqa: E402, F401
+from parlance.plans import clusters, inventory, streams  # noqa: E402, F401

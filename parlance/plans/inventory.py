@@ -270,7 +270,7 @@ SQL["iterative_cut"] = f"""with recursive {TALK}, s as (select recording_id, lis
  (select *, list_filter(k[:len(k) - 1], lambda x: x.e <= dur - 2000) as c from
  (select *, case when part = 0 then h else list_filter(h, lambda x: a + x.e > cut + 50) end as k from
  (select *, list_transform(list_filter(segs, lambda x: x.s < b and x.e > a), lambda x: {{'s': greatest(x.s, a) - a, 'e': least(x.e, b) - a}}) as h, b - a as dur, b >= total - 1000 as fin from
- (select recording_id, segs, total, part + 1 as part, nxt as cut, case when part + 1 > 0 then nxt - 300 else nxt end as a, least(nxt + 6000, total) as b from p where status not in ('final', 'final-empty') and nxt < total - 1000 and nxt > cut) q1) q2) q3) q4) q5)
+ (select recording_id, segs, total, part + 1 as part, nxt as cut, case when part + 1 > 0 then greatest(nxt - 300, 0) else nxt end as a, least(nxt + 6000, total) as b from p where status not in ('final', 'final-empty') and nxt < total - 1000 and nxt > cut) q1) q2) q3) q4) q5)
  select recording_id, part, a as start_abs_ms, dur as duration_ms, status, nxt as end_cut_abs_ms, n as n_segments, head as n_dropped_head, tail as n_dropped_tail, kept as n_kept from p where part >= 0"""
 
 
@@ -398,15 +398,6 @@ def majority_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("part", "speaker", F.col("winner.t_part").alias("t_part"), F.col("winner.t_speaker").alias("t_speaker"), F.round(F.col("agreement") * F.col("n_votes")).cast("long").alias("top_votes"), "n_votes")
 
 
-@query(f"""with {VOICES}, g as (select part, speaker, min(vec_id) as first_ms from voices group by all), f as (select speaker % 4 as cluster, min(first_ms) as a from g where speaker % 5 <> 0 group by all), n as (select cluster, 'G' || lpad(cast(row_number() over (order by a, cluster) as varchar), 2, '0') as g from f)
- select part, speaker, coalesce(n.g, 'U_p' || part || '_' || speaker) as gid, n.g is not null as resolved from g left join n on n.cluster = g.speaker % 4 and g.speaker % 5 <> 0""")
-def speaker_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels by first appearance; speakers 0, 5, ... are in no cluster."""
-    groups = voices(spark, sf_dir).groupBy("recording_id", "part", "speaker").agg(F.min("vec_id").alias("first_ms"))
-    found = groups.where("speaker % 5 <> 0").select("recording_id", "part", "speaker", (F.col("speaker") % 4).alias("cluster"))
-    return speakers.labels(found, groups, ["recording_id"]).drop("recording_id")
-
-
 @query("select event_id, case when event_id % 3 = 0 then 0.4 when event_id % 2 = 0 then 0.25 when event_type = 'click' then 0.55 else 0.90 end as tau from events")
 def chosen_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")

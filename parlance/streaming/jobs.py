@@ -1,4 +1,4 @@
-"""The job queue as streams: intake in order, states, eviction, live counts."""
+"""The job queue as streams: intake in order, states as events come, eviction, live counts."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from parlance.operators import iterative_cut
-
 EVENTS = "job_id string, ts timestamp, kind string, detail string"
 #: What each kind of event makes of a job, from the states in which it may come.
 MOVES = {"upload": ((None,), "queued"), "start": (("queued",), "processing"), "finish": (("processing",), "done"), "fail": (("queued", "processing"), "error")}
@@ -52,35 +50,6 @@ def state_changes(events: DataFrame, ttl_ms: int = TTL_MS, late: str = "10 minut
     )
 
 
-def cut_states(parts: DataFrame, late: str = "1 hour") -> DataFrame:
-    """The iterative cut as a stream: (recording_id, part, status, cut_ms, next_start_ms) after each transcribed part.
-
-    ``parts`` (recording_id, ts, part, start_ms, duration_ms, total_ms, segments) is what a
-    recogniser gives for the part that the last state asked for; the state holds the
-    cut and the next part's number, and one step of the batch fold moves it on.  Parts come in
-    order; one seen before changes nothing, so a replay is harmless.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cut, due = state.get if state.exists else (0, 0)
-        out = []
-        for row in pd.concat(list(batches)).sort_values("part").itertuples():
-            if row.part != due:
-                continue
-            heard = [(int(s["start_ms"]), int(s["end_ms"]), s["speaker"], s["text"]) for s in row.segments]
-            done = next(iterative_cut.plan(int(row.total_ms), lambda a, b: heard, int(row.duration_ms) - (iterative_cut.GUARD if due else 0), cut, due), None)  # noqa: B023
-            if done is None:
-                break
-            cut, due = done["end_cut_abs_ms"], due + 1
-            out.append((key[0], row.part, done["status"], cut, max(cut - iterative_cut.GUARD, 0)))
-        state.update((cut, due))
-        yield pd.DataFrame(out, columns=["recording_id", "part", "status", "cut_ms", "next_start_ms"])
-
-    return parts.withWatermark("ts", late).groupBy("recording_id").applyInPandasWithState(
-        step, "recording_id long, part int, status string, cut_ms long, next_start_ms long", "cut long, due int", "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def run_queue(events: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str):
     """Hand every batch of uploads to ``work``; a restart goes on after the last finished batch."""
     return events.where("kind = 'upload'").writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).start()

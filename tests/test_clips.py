@@ -107,27 +107,6 @@ def test_a_job_of_one_moment_is_done(spark, tmp_path):
     assert spark.table("moment").first().status == "done"
 
 
-def test_the_cut_as_a_stream_is_the_batch_fold(spark, tmp_path):
-    said = [(i * 900, i * 900 + 800, "S01", f"s{i}") for i in range(40)]
-    total = 36_000
-    hear = lambda a, b: [(max(s, a) - a, min(e, b) - a, w, t) for s, e, w, t in said if s < b and e > a]
-    want = list(iterative_cut.plan(total, hear, 6000))
-    rows = []
-    for p in want:
-        a, b = p["start_abs_ms"], p["start_abs_ms"] + p["duration_ms"]
-        segments = [{"start_ms": s, "end_ms": e, "speaker": w, "text": t} for s, e, w, t in hear(a, b)]
-        rows.append({"recording_id": 3, "ts": "2024-01-01T00:00:00Z", "part": p["part"], "start_ms": a, "duration_ms": p["duration_ms"], "total_ms": total, "segments": segments})
-    written(tmp_path / "in", rows[:4])
-    schema = "recording_id long, ts timestamp, part int, start_ms long, duration_ms long, total_ms long, segments array<struct<start_ms:long,end_ms:long,speaker:string,text:string>>"
-    stream = jobs.cut_states(spark.readStream.schema(schema).json(str(tmp_path / "in"))).writeStream.format("memory").queryName("cuts").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    stream.processAllAvailable()
-    (tmp_path / "in" / "b.json").write_text("\n".join(json.dumps(r) for r in rows[2:]))
-    stream.processAllAvailable()
-    stream.stop()
-    got = sorted((r.part, r.status, r.cut_ms) for r in spark.table("cuts").collect())
-    assert got == [(p["part"], p["status"], p["end_cut_abs_ms"]) for p in want] and len(got) > 5
-
-
 def test_the_kept_places_are_those_of_the_quadratic_rule():
     def by_hand(x):
         best, before = [1] * len(x), [-1] * len(x)
