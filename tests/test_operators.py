@@ -144,11 +144,24 @@ def groups_of(seed, parts=4, per=3, dim=6):
     return part, c, kept
 
 
+def all_shares(clusters, parts, centroid, kept):
+    """Share of each cluster's kept vectors that are nearest to each cluster it may merge with."""
+    centres = np.array([centroid[c].mean(0) for c in clusters])
+    centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+    out = np.zeros((len(clusters), len(clusters)))
+    for i, c in enumerate(clusters):
+        allowed = [j for j in range(len(clusters)) if not parts[i] & parts[j]]
+        ballots = np.concatenate([kept[m] for m in c])
+        if allowed and len(ballots):
+            out[i, allowed] = np.bincount(np.argmax(ballots @ centres[allowed].T, axis=1), minlength=len(allowed)) / len(ballots)
+    return out
+
+
 def stopped_at(part, c, kept, tau):
     """The partition by merging only while the best affinity is above tau."""
     clusters, parts = [[i] for i in range(len(part))], [{p} for p in part]
     while True:
-        a = speakers.cluster_affinity(clusters, parts, c, kept)
+        a = all_shares(clusters, parts, c, kept)
         both, best = np.minimum(a, a.T), None
         for i in range(len(clusters)):
             for j in range(i + 1, len(clusters)):
