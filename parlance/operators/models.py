@@ -1,16 +1,19 @@
 """The boundary to speech and language models.
 
 A backend is any object with the method named in ``METHODS``; it gets and gives whole
-Arrow batches, and is made once for each worker process.  Models run in
-``mapInPandas``, which no filter is pushed below, so callers filter first.  The fakes
-are deterministic, for tests and dry runs.
+Arrow batches, and is made once for each worker process; a served model gets a row at a
+time, and a bounded number of requests is open at once.  Models run in ``mapInPandas``,
+which no filter is pushed below, so callers filter first.  The fakes are deterministic,
+for tests and dry runs.
 """
 
 from __future__ import annotations
 
 import time
 import zlib
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -76,17 +79,57 @@ def with_retries(call: Callable, tries: int = 3, wait_s: Callable[[int], float]
 _made: dict = {}
 
 
-def apply(rows: DataFrame, method: str, backend: Callable = Fake, serial: bool = False, tries: int = 3) -> DataFrame:
-    """``rows`` with a model's answer columns.  ``serial`` sends one request at a time, as a recogniser needs."""
+def _model(backend: Callable, method: str, tries: int) -> Callable:
+    return with_retries(getattr(_made.setdefault(backend, backend()), method), tries)
+
+
+def apply(rows: DataFrame, method: str, backend: Callable = Fake, tries: int = 3) -> DataFrame:
+    """``rows`` with a model's answer columns, a batch at a time: for models that run where the rows are."""
     column, answer = METHODS[method]
     names = rows.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _made.setdefault(backend, backend())
-        ask = with_retries(getattr(model, method), tries)
+        ask = _model(backend, method, tries)
         for pdf in batches:
             out = ask(pdf[column]).reset_index(drop=True)
             yield pd.concat([pdf[names].reset_index(drop=True), out], axis=1)
 
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", " + answer
-    return (rows.coalesce(1) if serial else rows).mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema)
+
+
+def in_order(items: Iterator, ask: Callable, at_once: int) -> Iterator[tuple]:
+    """(item, answer) in the order of the items, with at most ``at_once`` calls open and answers waiting."""
+    with ThreadPoolExecutor(at_once) as pool:
+        waiting: deque = deque()
+        for item in items:
+            if len(waiting) == at_once:
+                first, answer = waiting.popleft()
+                yield first, answer.result()
+            waiting.append((item, pool.submit(ask, item)))
+        for first, answer in waiting:
+            yield first, answer.result()
+
+
+def requests(rows: DataFrame, method: str, backend: Callable = Fake, limit: int = 16, at_once: int = 4, tries: int = 3) -> DataFrame:
+    """``rows`` with a served model's answers, a request for each row, of which at most ``limit`` are open in the whole cluster.
+
+    Rows are dealt evenly to ``limit // at_once`` partitions, each of which keeps a sliding
+    window of ``at_once`` requests; whatever computes the rows runs as wide as before, as
+    the dealing is a shuffle.  A limit of 1 is one request at a time.  Answers stay
+    with their rows, in order, and a partition holds a window of them.  A lost executor's
+    partition is asked again; tasks must not run speculatively where the limit is strict.
+    """
+    if not 1 <= at_once <= limit:
+        raise ValueError("at least one request at a time, and no more than the limit")
+    column, answer = METHODS[method]
+    names = rows.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask = _model(backend, method, tries)
+        each = (pdf.iloc[[i]] for pdf in batches for i in range(len(pdf)))
+        for row, out in in_order(each, lambda row: ask(row[column].reset_index(drop=True)), at_once):
+            yield pd.concat([row[names].reset_index(drop=True), out.reset_index(drop=True)], axis=1)
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", " + answer
+    return rows.repartition(limit // at_once).mapInPandas(run, schema)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import text as tx
-from parlance.operators import alignment, clips, reports, spans, speakers
+from parlance.operators import alignment, clips, models, reports, spans, speakers
 from parlance.plans.adapters import MARKS, TALK, VOICES, marks, table, talk, voices
 from parlance.plans.catalogue import CENTRES, SQL, VOTED, _tally, query
 from parlance.sources import transcripts
@@ -417,3 +417,10 @@ def separation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pair_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     return speakers.pair_accuracy(table(spark, sf_dir, "events").select((e % 3).alias("a"), (e % 5).alias("b"), (e % 2 == 0).alias("same"))).withColumn("accuracy", F.round("accuracy", 9))
+
+
+@query("""select conv_id, turn, '```json' || chr(10) || '{"visual": "seen ' || length(text) || '"}' || chr(10) || '```' as response from conversations""")
+def bounded_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn described by a served model's fake, at most eight requests open in all."""
+    prompts = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"))
+    return models.requests(prompts, "describe", limit=8, at_once=2).drop("prompt")

@@ -244,7 +244,7 @@ def test_subtitles_and_manifest(spark):
 
 def test_models_at_the_boundary(spark):
     audio = spark.createDataFrame([(1, b"abc"), (2, b"")], "id int, audio binary")
-    heard = models.apply(audio, "transcribe", serial=True).select("id", F.size(tx.parse_tagged(F.col("raw"))).alias("n")).collect()
+    heard = models.requests(audio, "transcribe", limit=1, at_once=1).select("id", F.size(tx.parse_tagged(F.col("raw"))).alias("n")).collect()
     assert [r.n for r in heard] == [1, 1]
     assert models.apply(audio, "embed").select(F.size("embedding")).distinct().first()[0] == 16
     tries = []
