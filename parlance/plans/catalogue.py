@@ -406,4 +406,4 @@ def orders_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # the inventory's other queries, which register themselves above
-from parlance.plans import clusters, conversions, inventory, storage, streams  # noqa: E402, F401
+from parlance.plans import clusters, conversions, inventory, storage, streams, waves  # noqa: E402, F401
