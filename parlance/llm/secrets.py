@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.runtime import named
+from parlance.llm.runtime import named, whole_row
 
 # The base patterns.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -158,8 +158,8 @@ def entropy_spans(text: Column) -> Column:
     return F.flatten(F.transform(raw, scored))
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row (id, assign, access, hex, entropy) of span arrays for each document."""
+def find_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row (id, assign, access, hex, entropy) of span arrays for each document; with ``keep`` also those columns and the text searched."""
     none = F.array().cast(f"array<{SPAN}>")
     text = F.col("__text")
     small = F.lower(text)
@@ -168,8 +168,10 @@ def find_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
         has = F.contains(small, F.lit(word))
         keyword = has if keyword is None else keyword | has
     assigned = lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 2)) >= MIN_ASSIGNED
-    return docs.select(named(id_col).alias("doc_id"), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("__text")).select(
+    also = ["__text", *keep] if keep else []
+    return docs.select(named(id_col).alias("doc_id"), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("__text"), *map(named, keep)).select(
         "doc_id",
+        *also,
         F.when(keyword, _spans(text, ASSIGN, "assign", 0, assigned)).otherwise(none).alias("assign"),
         F.when(F.contains(text, F.lit("AKIA")), _spans(text, ACCESS, "access", 1)).otherwise(none).alias("access"),
         F.when(text.rlike(HEX), _spans(text, HEX, "hex", 2)).otherwise(none).alias("hex"),
@@ -178,12 +180,31 @@ def find_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
 
 def mask_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", mark: str = "[SECRET]") -> DataFrame:
-    """The texts with every base match replaced by ``mark``."""
+    """The texts with every secret replaced by ``mark``: what is assigned, keys, hexadecimal runs and entropy spans.
+
+    Spans that overlap or touch become one mark.  An assignment keeps its name, quotes and
+    sign; all else around a secret stays as it is.  A null text stays null.
+    """
     text = named(text_col).cast("string")
-    for pattern in (ACCESS, HEX):
-        text = F.regexp_replace(text, pattern, mark)
-    text = F.regexp_replace(text, ASSIGN.replace("([A-Za-z0-9+/_.=-]+)", "([A-Za-z0-9+/_.=-]{6,})"), f"$1={mark}")
-    return docs.select(*[text.alias(c) if c == text_col else named(c) for c in docs.columns])
+    found = find_secrets(docs.select(F.lit(0).alias("id"), text.alias("text"), whole_row(docs)), "text", "id", ("row",))
+    said = lambda a, b: F.substr(F.col("__text"), (a + 1).cast("int"), (b - a).cast("int"))
+    value = lambda x: F.length(F.regexp_extract(said(x["start"], x["end"]), ASSIGN, 2))
+    own = F.transform("assign", lambda x: F.struct((x["end"] - value(x)).alias("start"), x["end"].alias("end")))
+    rest = F.transform(F.concat("access", "hex", "entropy"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    # in order of place: text up to each secret that begins behind the last, and one mark for it
+    folded = F.aggregate(
+        F.array_sort(F.concat(own, rest)),
+        F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"), F.lit(False).alias("any")),
+        lambda s, x: F.struct(
+            F.when(s["any"] & (x["start"] <= s["at"]), s["done"]).otherwise(F.concat(s["done"], said(s["at"], x["start"]), F.lit(mark))).alias("done"),
+            F.greatest(s["at"], x["end"]).alias("at"),
+            F.lit(True).alias("any"),
+        ),
+    )
+    masked = found.select("row", F.col("__text"), folded.alias("f"))
+    new = F.concat(F.col("f.done"), said(F.col("f.at"), F.col("f.at") + F.length("__text")))
+    old = masked["row"].getField(text_col)
+    return masked.select(*[F.when(old.isNotNull(), new).alias(c) if c == text_col else masked["row"].getField(c).alias(c) for c in docs.columns])
 
 
 def secret_digest(docs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ block totals nor the lengths of one block grow with the number of documents.
 Between two lengths of the histogram the truncated total is linear, so its rows
 answer every limit: see ``at_limits``.
 
+Runs of space of any length, and texts of one letter repeated, are counted like others.
 Null or empty text: length 0, counted.  An empty table gives no rows.  Equal rows
 count each time.
 """
@@ -17,6 +18,8 @@ count each time.
 from __future__ import annotations
 
 import base64
+import hashlib
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -24,34 +27,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.llm.runtime import named, unwrapped
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The vocabulary's own way of cutting a text into pieces before merging (fixed value).
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK = 1024
 
 
-@cache
-def _encoding(path: str):
+#: Space as the cutting rule knows it, in runs too long for its look-ahead, which steps back through a run a character at a time.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{20000,}")
+
+
+def _made(data: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
     return tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
 
+@cache
+def _encoding(path: str):
+    with open(path, "rb") as f:
+        return _made(f.read())
+
+
+def token_count(encoding, text: str) -> int:
+    """Tokens of a text.  A long run of space is cut off by hand as the rule would: all of it but the last character, which goes with what follows."""
+    n, at = 0, 0
+    for run in LONG_SPACE.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        n += len(encoding.encode_ordinary(text[at : run.start()])) + len(encoding._core_bpe.encode_single_piece(text[run.start() : end].encode()))
+        at = end
+    return n + len(encoding.encode_ordinary(text[at:]))
+
+
+_shipped: dict = {}
+
+
 def with_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The ``keep`` columns and ``n_tokens`` of every document."""
+    """The ``keep`` columns and ``n_tokens`` of every document; a kept column of that name gives way to it.
+
+    The vocabulary is read where the query is made and shipped (a few megabytes).
+    """
+    with open(vocabulary, "rb") as f:
+        data = f.read()
+    shared, key = docs.sparkSession.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
+    keep = tuple(c for c in keep if c.lower() != "n_tokens")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(vocabulary).encode_ordinary
+        if key not in _shipped:  # once for each worker process
+            _shipped[key] = _made(shared.value)
+        encoding = _shipped[key]
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            n = pa.array([len(encode(t.as_py())) if t.is_valid else 0 for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n], names=[*keep, "n_tokens"])
+            n = pa.array([token_count(encoding, t.as_py()) if t.is_valid else 0 for t in batch.column(1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), n], names=["row", "n_tokens"])
 
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
-    schema = ", ".join([*(f"`{c}` {dict(source.dtypes)[c]}" for c in keep), "n_tokens bigint"])
-    return source.mapInArrow(measure, schema)
+    row = F.struct(*[named(c) for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
+    source = docs.select(row.alias("row"), named(text_col).cast("string").alias("text"))
+    out = source.mapInArrow(measure, source.select("row").schema.add("n_tokens", "long"))
+    return out.select(*unwrapped(out, list(keep)), "n_tokens")
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
