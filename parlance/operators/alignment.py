@@ -65,26 +65,19 @@ def longest_non_decreasing(x: list[int]) -> list[int]:
 
 
 def repair(x: list[int]) -> list[int]:
-    """Replace what breaks the order: short runs by the nearer neighbour in order, long ones by a straight line."""
-    good, out = longest_non_decreasing(x), list(x)
-    kept, i = set(good), 0
-    while i < len(x):
-        if i in kept:
-            i += 1
-            continue
-        j = i
-        while j < len(x) and j not in kept:
-            j += 1
-        left, right, n = (out[i - 1] if i else None), (x[j] if j < len(x) else None), j - i
-        for k in range(i, j):
-            if left is None or right is None:
-                out[k] = right if left is None else left
-            elif n <= 2:
-                out[k] = left if k - (i - 1) <= j - k else right
-            else:
-                out[k] = int(left + (right - left) / (n + 1) * (k - i + 1))
-        i = j
-    return out
+    """What stands between two kept places takes the nearer one's value where it is one or two, else lies on the line between them.
+
+    Ahead of the first kept place and behind the last its value holds.
+    """
+    if not x:
+        return []
+    values, kept, place = np.array(x), np.array(longest_non_decreasing(x)), np.arange(len(x))
+    n_before = np.searchsorted(kept, place, "right")
+    low, high = kept[np.maximum(n_before - 1, 0)], kept[np.minimum(np.searchsorted(kept, place), len(kept) - 1)]
+    between = np.maximum(high - low - 1, 0)
+    nearer = np.where(place - low <= high - place, values[low], values[high])
+    line = np.trunc(values[low] + (values[high] - values[low]) / (between + 1) * (place - low)).astype(values.dtype)
+    return np.where((low >= place) | (high <= place) | (between <= 2), nearer, line).tolist()
 
 
 def repaired(rows: DataFrame, column: str = "times") -> DataFrame:

@@ -6,6 +6,7 @@ a segment), so work spreads over keys; none needs all rows in one place.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,6 +122,74 @@ def speech_islands(frames: DataFrame, keys: list[str], threshold: float = 0.5, m
     return islands(frames.where(F.col("probability") >= threshold), keys, [], min_silence)
 
 
+def voiced(frames: DataFrame, keys: list[str], high: float = 0.5, low: float = 0.35, frame_ms: int = 32, min_speech: int = 250, min_silence: int = 300, chunk_ms: int = 300_000) -> DataFrame:
+    """Speech (start_ms, end_ms) from frames (at_ms, probability) by two thresholds.
+
+    A frame at ``high`` or more turns speech on, one below ``low`` turns it off, any other
+    leaves it as it was.  A long recording is scanned in chunks of time side by side: each
+    gets the last decision before it from the chunks' own last decisions, one row a
+    chunk.  Silences shorter than ``min_silence`` don't end speech, and what is then
+    shorter than ``min_speech`` isn't any.
+    """
+    decided = F.when(F.col("probability") >= high, 1).when(F.col("probability") < low, 0)
+    marked = frames.select(*keys, "at_ms", F.floor(F.col("at_ms") / chunk_ms).alias("chunk"), decided.alias("d"))
+    ends = marked.groupBy(*keys, "chunk").agg(F.max_by("d", F.when(F.col("d").isNotNull(), F.struct("at_ms", "d"))).alias("d"), F.max("at_ms").alias("until"))
+    earlier = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, "chunk", F.coalesce(F.last("d", ignorenulls=True).over(earlier), F.lit(0)).alias("carried"))
+    inside = Window.partitionBy(*keys, "chunk").orderBy("at_ms", "d")
+    state = F.coalesce(F.last("d", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("carried"))
+    scanned = marked.join(carried, [*keys, "chunk"]).withColumn("on", state)
+    turns = scanned.withColumn("was", F.coalesce(F.lag("on").over(inside), F.col("carried"))).where("`on` <> was")
+    # turns alternate, so each that goes on lasts until the next, the last one until the recording's last frame ends
+    until = ends.groupBy(*keys).agg((F.max("until") + frame_ms).alias("until"))
+    following = F.lead("at_ms").over(Window.partitionBy(*keys).orderBy("at_ms", "on"))
+    spoken_ = turns.withColumn("end_ms", following).join(until, keys).where("`on` = 1").select(*keys, F.col("at_ms").alias("start_ms"), F.coalesce("end_ms", "until").alias("end_ms"))
+    return islands(spoken_, keys, [], min_silence - 1).where(F.col("end_ms") - F.col("start_ms") >= min_speech).drop("n")
+
+
+def border(last: str, text: str, most: int | None = None) -> int:
+    """The length of the longest end of ``last`` that ``text`` begins with, in time linear in both."""
+    n = min(len(last), len(text), len(text) if most is None else most)
+    if not n:
+        return 0
+    head, tail = text[:n], last[len(last) - n :]
+    fall, k = [0] * n, 0
+    for i in range(1, n):
+        while k and head[i] != head[k]:
+            k = fall[k - 1]
+        k += head[i] == head[k]
+        fall[i] = k
+    k = 0
+    for i, ch in enumerate(tail):
+        if k == n:
+            k = fall[k - 1]
+        while k and ch != head[k]:
+            k = fall[k - 1]
+        k += ch == head[k]
+    return k
+
+
+def stitched(windows_: DataFrame, keys: list[str], order: str, text: str = "text", least: int = 1, most: int | None = None) -> DataFrame:
+    """One text for each key from windows that repeat the end of the one before.
+
+    What a window repeats is the longest end of its neighbour that it begins with, at
+    most ``most`` and no shorter than ``least`` characters, else nothing.  Null windows are
+    empty.  The text of a key is one row.
+    """
+
+    @F.pandas_udf("int")
+    def repeated(last: pd.Series, now: pd.Series) -> pd.Series:
+        found = [border(a, b, most) for a, b in zip(last, now)]
+        return pd.Series([n if n >= least else 0 for n in found])
+
+    said = windows_.withColumn("__said", F.coalesce(F.col(text), F.lit("")))
+    before = F.coalesce(F.lag("__said").over(Window.partitionBy(*keys).orderBy(order)), F.lit(""))
+    cut = said.withColumn("__last", before).withColumn("__n", repeated("__last", "__said"))
+    rest = cut.select(*keys, F.struct(F.col(order).alias("k"), F.expr("substring(__said, __n + 1)").alias("t")).alias("p"), "__n")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["t"]), "")
+    return rest.groupBy(*keys).agg(joined.alias(text), F.count("*").alias("n_windows"), F.sum("__n").alias("n_repeated"))
+
+
 def chunk_id(keys: list[str], order: list[str], size: int = 20) -> Column:
     return F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / size)
 
@@ -157,11 +226,11 @@ def near_repeats(lines: DataFrame, keys: list[str], order: str, similarity: floa
     return with_last.withColumn("repeats", F.coalesce(shared >= similarity * (F.size("grams") + F.size("last") - shared), F.lit(False))).drop("grams", "last")
 
 
-def neighbours(results: DataFrame, keys: list[str], order: str, reach: int | None = None) -> DataFrame:
-    """Each window with the results before and after it (one swarm round's view).
+def neighbours(results: DataFrame, keys: list[str], order: str, reach: int | None) -> DataFrame:
+    """Each window with the results before and after it (one swarm round's view), ``reach`` on either side.
 
-    Without ``reach`` that is all of them, so a recording's rows grow with the square
-    of its windows; with it, as many on either side.
+    A reach of None is all of them, and a recording's rows then grow with the square of
+    its windows.
     """
     w = Window.partitionBy(*keys).orderBy(order)
     return results.withColumns({

@@ -220,14 +220,11 @@ def alignment_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", alignment.sane(e, e + e % 5 - 2, F.lit(5000)).alias("sane"))
 
 
-@query("""with v as (select user_id, list(cast(floor(value) as bigint) order by event_id) as x, list(cast(floor(value) as bigint) + event_id % 2 order by event_id) as y from events group by user_id),
- f as (select list_sum(list_transform(range(2, len(x) + 1), lambda i: case when x[i] < x[i - 1] then 1 else 0 end)) as a, list_sum(list_transform(range(2, len(y) + 1), lambda i: case when y[i] < y[i - 1] then 1 else 0 end)) as b, len(list_filter(range(1, len(x) + 1), lambda i: x[i] <> y[i])) as c from v)
- select cast(sum(a) as bigint) as falls_before, cast(sum(b) as bigint) as falls_after, cast(sum(c) as bigint) as n_changed from f""")
+@query()
 def repair_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("event_id", c.alias("v")))), lambda x: x["v"])
-    v = F.floor("value").cast("long")
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(lists(v).alias("x"), lists(v + F.col("event_id") % 2).alias("y"))
-    return alignment.repair_stats(rows, "x", "y").select(*[F.col(c).cast("long").alias(c) for c in ("falls_before", "falls_after", "n_changed")])
+    """What the repair of every user's times changes."""
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: F.floor(x["value"] + x["event_id"])).alias("times"))
+    return alignment.repair_stats(alignment.repaired(rows), "times", "fixed").select(*[F.col(c).cast("long").alias(c) for c in ("falls_before", "falls_after", "n_changed")])
 
 
 @query("""select count(*) filter (event_type = 'click') as ok, count(*) filter (event_type = 'view') as skipped, count(*) filter (event_type = 'error') as failed, count(*) filter (event_id % 3 <> 0) as with_issues, cast(sum(event_id % 4) as bigint) as n_words, cast(sum(case when event_id % 4 >= 2 then 1 else 0 end) as bigint) as n_valid from events""")
@@ -255,6 +252,11 @@ SQL["lis_repair"] = """with recursive v as (select user_id, list(cast(floor(valu
  p as (select user_id, x, k, list_contains(good, k) as fine, list_max(list_filter(good, lambda q: q < k)) as l, list_min(list_filter(good, lambda q: q > k)) as r from o)
  select user_id, array_to_string(list(case when fine then x[k] when l is null then x[r] when r is null then x[l] when r - l <= 3 then case when k - l <= r - k then x[l] else x[r] end else cast(trunc(x[l] + (x[r] - x[l]) / (r - l) * (k - l)) as bigint) end order by k), ',') as fixed from p group by user_id"""
 
+FIXED, _, BY_USER = SQL["lis_repair"].partition(" select user_id, array_to_string(list(")
+SQL["repair_stats"] = FIXED + ", z as (select user_id, any_value(x) as x, list(" + BY_USER.replace("), ',') as fixed from p", ") as y from p") + """),
+ falls as (select list_sum(list_transform(range(2, len(x) + 1), lambda i: case when x[i] < x[i - 1] then 1 else 0 end)) as a, list_sum(list_transform(range(2, len(y) + 1), lambda i: case when y[i] < y[i - 1] then 1 else 0 end)) as b, len(list_filter(range(1, len(x) + 1), lambda i: x[i] <> y[i])) as c from z)
+ select cast(sum(a) as bigint) as falls_before, cast(sum(b) as bigint) as falls_after, cast(sum(c) as bigint) as n_changed from falls"""
+
 SQL["union_find_clusters"] = f"""with recursive {CENTRES.format(v=VOICES)}, g as (select part, speaker, c, row_number() over (order by part, speaker) as k from centres), sized as (select list(part order by k) as ps, count(*) as n from g),
  e as (select a.k as i, b.k as j, row_number() over (order by list_dot_product(a.c, b.c) desc, a.k, b.k) as rn from g a join g b on a.k < b.k and a.part <> b.part where list_dot_product(a.c, b.c) >= 0.3),
  u(step, home, ps, rejected) as (select cast(0 as bigint), range(1, n + 1), ps, 0 from sized union all
@@ -274,11 +276,11 @@ SQL["iterative_cut"] = f"""with recursive {TALK}, s as (select recording_id, lis
  select recording_id, part, a as start_abs_ms, dur as duration_ms, status, nxt as end_cut_abs_ms, n as n_segments, head as n_dropped_head, tail as n_dropped_tail, kept as n_kept from p where part >= 0"""
 
 
-@query("""with a as (select vec_id, embedding[1:24] as x, embedding[3:26] as y from embeddings where vec_id % 5 = 0), s as (select vec_id, x, y, unnest(range(-4, 5)) as k from a),
- c as (select vec_id, k, list_sum(list_transform(list_zip(x[greatest(k, 0) + 1:], y[greatest(-k, 0) + 1:])[:24 - abs(k)], lambda z: abs(cast(z[1] as double) - cast(z[2] as double)))) / (24 - abs(k)) as cost from s)
+@query("""with a as (select vec_id, embedding[1:62] as x, embedding[3:64] as y from embeddings), s as (select vec_id, x, y, unnest(range(-4, 5)) as k from a),
+ c as (select vec_id, k, list_sum(list_transform(list_zip(x[greatest(k, 0) + 1:], y[greatest(-k, 0) + 1:])[:62 - abs(k)], lambda z: abs(cast(z[1] as double) - cast(z[2] as double)))) / (62 - abs(k)) as cost from s)
  select vec_id, arg_min(k, cost) as shift from c group by vec_id""")
 def offset_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").where("vec_id % 5 = 0").select("vec_id", F.slice("embedding", 1, 24).alias("x"), F.slice("embedding", 3, 24).alias("y"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 62).alias("x"), F.slice("embedding", 3, 62).alias("y"))
     return alignment.best_shift(rows, "x", "y", 4).select("vec_id", "shift")
 
 
@@ -424,3 +426,22 @@ def bounded_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn described by a served model's fake, at most eight requests open in all."""
     prompts = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"))
     return models.requests(prompts, "describe", limit=8, at_once=2).drop("prompt")
+
+
+@query("select conv_id, turn, md5(text) as text, cast(greatest(ceil((length(text) - 20) / 40), 1) as bigint) as n_windows from conversations where text is not null")
+def window_stitching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut into windows of 60 characters that overlap by 20, and put together again by what neighbours share."""
+    n = F.greatest(F.ceil((F.length("text") - 20) / 40), F.lit(1)).cast("int")
+    cut = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("k")).withColumn("text", F.expr("substring(text, k * 40 + 1, 60)"))
+    return spans.stitched(cut, ["conv_id", "turn"], "k").select("conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("text"), "n_windows")
+
+
+@query(f"""with recursive {MARKS}, f as (select user_id, start_ms as ms, (event_id * 37 % 101) / 100 as p, row_number() over (partition by user_id order by start_ms, event_id) as n from marks),
+ s(user_id, n, ms, on_) as (select user_id, cast(0 as bigint), cast(0 as bigint), 0 from f group by user_id union all select f.user_id, f.n, f.ms, case when p >= 0.5 then 1 when p < 0.35 then 0 else on_ end from s join f on f.user_id = s.user_id and f.n = s.n + 1),
+ t as (select *, lag(on_) over (partition by user_id order by n) as was from s), e as (select user_id, n, ms, on_ from t where n > 0 and on_ <> was), l as (select user_id, max(ms) + 1000 as until from f group by user_id),
+ r as (select user_id, ms as a, coalesce(lead(ms) over (partition by user_id order by n), until) as b, on_ from e join l using (user_id)), i as (select user_id, a, b, case when a - max(b) over (partition by user_id order by a rows between unbounded preceding and 1 preceding) < 7200000 then 0 else 1 end as new from r where on_ = 1),
+ g as (select *, sum(new) over (partition by user_id order by a) as island from i) select user_id, min(a) as start_ms, max(b) as end_ms from g group by user_id, island having max(b) - min(a) >= 3600000""")
+def voiced_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as frames: two thresholds, at least two hours of silence and one of speech, scanned a day at a time."""
+    frames = marks(spark, sf_dir).select("user_id", F.col("start_ms").alias("at_ms"), (F.col("event_id") * 37 % 101 / 100).alias("probability"))
+    return spans.voiced(frames, ["user_id"], 0.5, 0.35, 1000, 3_600_000, 7_200_000, 86_400_000)

@@ -67,3 +67,16 @@ def job_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = _run(states.job_states(spark.readStream.schema(stretch.schema).parquet(f"{folder}/in"), FOREVER_MS), folder)
     last = rows.groupBy("job_id").agg(F.max_by(F.struct("status", "ts"), "n_events").alias("x"), F.max("n_events").alias("n_events"))
     return last.select("job_id", F.coalesce("x.status", F.lit("none")).alias("status"), F.unix_millis("x.ts").alias("ts_ms"), "n_events")
+
+
+@query("select conv_id || ':' || turn as stream_id, 'done' as status, cast(greatest(ceil(length(text) / 40), 1) as integer) as n_pieces, md5(text) as text from conversations where text is not null")
+def token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a stream of pieces of 40 characters, dealt to files by hash and every third piece sent twice, put together again."""
+    folder = fresh_folder(spark, "token-stream")
+    n = F.greatest(F.ceil(F.length("text") / 40), F.lit(1)).cast("int")
+    turns = table(spark, sf_dir, "conversations").where("text is not null").select(F.concat_ws(":", "conv_id", "turn").alias("stream_id"), "text", n.alias("size"))
+    k = F.explode(F.sequence(F.lit(0), F.col("size") - 1))
+    pieces = turns.select("*", k.alias("n")).select("stream_id", F.timestamp_seconds(1_704_067_200 + F.col("n")).alias("ts"), "n", F.expr("substring(text, n * 40 + 1, 40)").alias("piece"), (F.col("n") == F.col("size") - 1).alias("last"))
+    pieces.union(pieces.where("n % 3 = 0")).repartition(3, F.xxhash64("stream_id", "n", F.rand(1))).write.parquet(f"{folder}/in")
+    feed = spark.readStream.schema(states.PIECES).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    return _run(states.token_texts(feed, "1 day"), folder).withColumn("text", F.md5(F.col("text").cast("binary")))

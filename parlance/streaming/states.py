@@ -189,3 +189,59 @@ def job_table(spark: SparkSession, checkpoint: str) -> DataFrame:
     """Every job that ``job_states`` knows, read from the state of the query that runs with this checkpoint (polling, fetching a result)."""
     state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "job").load()
     return state.select(F.col("key.job_id").alias("job_id"), "value.status", F.timestamp_millis("value.ts").alias("ts"), "value.n_events", "value.result")
+
+
+PIECES = "stream_id string, ts timestamp, n int, piece string, last boolean"
+
+
+class _Text(_Timed):
+    """A text that grows by numbered pieces, and the pieces that came before their turn."""
+
+    def __init__(self, stall_ms: int, keep_ms: int):
+        self.stall_ms, self.keep_ms = stall_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.progress = handle.getValueState("progress", "due int, ended boolean")
+        self.text = handle.getListState("text", "piece string")
+        self.early = handle.getMapState("early", "n int", "piece string, last boolean")
+
+    def whole(self, key, status: str, n: int) -> Row:
+        return Row(stream_id=key[0], status=status, n_pieces=n, text="".join(p[0] for p in self.text.get()) if self.text.exists() else "")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        due, ended = self.progress.get() if self.progress.exists() else (0, False)
+        latest = 0
+        for r in rows:
+            latest = max(latest, r.at)
+            if not ended and r.n >= due and not self.early.containsKey((r.n,)):
+                self.early.updateValue((r.n,), (r.piece or "", bool(r.last)))
+        while not ended and self.early.containsKey((due,)):
+            piece, ended = self.early.getValue((due,))
+            self.early.removeKey((due,))
+            self.text.appendValue((piece,))
+            due += 1
+        if ended and (self.text.exists() or not self.progress.exists()):
+            yield self.whole(key, "done", due)
+            self.text.clear()
+            self.early.clear()
+        self.progress.update((due, ended))
+        self.advance(latest, self.keep_ms if ended else self.stall_ms, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        due, ended = self.progress.get()
+        if not ended:
+            yield self.whole(key, "stalled", due)
+        for state in (self.progress, self.text, self.early, self.clock):
+            state.clear()
+
+
+def token_texts(pieces: DataFrame, late: str = "10 minutes", stall_ms: int = STALL_MS, keep_ms: int = KEEP_MS) -> DataFrame:
+    """(stream_id, status, n_pieces, text): a model's streamed answers, each once, when its last piece and all before it are there.
+
+    Pieces (see ``PIECES``) are numbered from 0, the last is marked; they may come in any order
+    and again.  What waits for a piece longer than ``stall_ms`` of event time gives what it has
+    in a row, as ``stalled``.
+    """
+    with_state_store(pieces.sparkSession)
+    return _timed(pieces, late, "stream_id").transformWithState(_Text(stall_ms, keep_ms), "stream_id string, status string, n_pieces int, text string", "Append", "EventTime")
