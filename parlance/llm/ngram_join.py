@@ -21,9 +21,10 @@ shingles, S being the sum of their sizes.
     one member has.  What a query shares with the union (less what only it brought there)
     bounds its overlap with every member, and only where ``overlap * 100 >=
     percent * |query|`` is the block opened for it.  All links are found there.
-3.  *Opening.*  The queries are counted against the leader, and those it doesn't link
-    with against all opened members.  A block emits a spanning forest, not pairs; the
-    components of these links already join most copies.
+3.  *Opening.*  The queries that the bound lets through are counted against the leader, a
+    member like others, and those it doesn't link with against all members.  A block
+    emits a spanning forest, not pairs; the components of these links already join most
+    copies.
 4.  *The rest.*  A node then queries the other groups that may hold a partner, and
     the other blocks of its own if it isn't in its leader's component, unless all
     members are in its component already.  Bound and opening are as before.
@@ -37,8 +38,8 @@ Null or empty text, or one without words: an empty set, linked with nothing.
 Fewer words than ``width``: the whole sequence is the one shingle.  Null ids take
 no part and get no component.  Repeated rows are equal sets.  Rows of different
 text under one id are one document: links of any of them reach the others, except
-that an empty one keeps its own id.  ``keep_one`` goes by rows instead: what it
-removes has a partner that stays.  Empty tables give no rows.  Other columns are
+that an empty one keeps its own id.  ``keep_one`` goes by rows instead, and leaves one
+of each component: in a chain of links, what it removes may be unlike what stays.  Empty tables give no rows.  Other columns are
 carried by ``keep_one`` whatever their names and types, and not read elsewhere.
 """
 
@@ -309,6 +310,22 @@ def _mark_able(out: np.ndarray, packed: list, words: np.ndarray, size: np.ndarra
                 out[m[able.any(0)]] = True
 
 
+def _within_union(packed: list, words: np.ndarray, size: np.ndarray, queries: np.ndarray, members: np.ndarray, percent: int) -> np.ndarray:
+    """Whether each query, itself a member, can share enough with the union of the other members' bits."""
+    out = np.zeros(len(queries), bool)
+    for a in np.unique(words[queries]):
+        m = members[(words[members] <= 2 * a) & (2 * words[members] >= a)]
+        w = words[m].min()
+        bits = _folded([packed[i] for i in m], w)
+        # bits that two members have: a query's own don't count
+        sums = np.bitwise_or.accumulate(bits, axis=0)
+        union = np.bitwise_or.reduce(sums[:-1] & bits[1:], axis=0) if len(m) > 1 else np.zeros_like(sums[-1])
+        mine = np.flatnonzero(words[queries] == a)
+        alone = np.bitwise_count(_folded([packed[i] for i in queries[mine]], w) & ~union).sum(1, dtype=np.int64)
+        out[mine] = (size[queries[mine]] - alone) * 100 >= percent * size[queries[mine]]
+    return out
+
+
 def bound_homes(percent: int):
     """Of the blocks' members those that may link with another of the block."""
 
@@ -320,6 +337,7 @@ def bound_homes(percent: int):
         out = np.zeros(len(words), bool)
         for rows in _blocks_of(group["i"].to_numpy(), group["grp"].to_numpy()):
             first, others = rows[lead[rows]][0], rows[~lead[rows]]
+            others = others[_within_union(packed, words, size, others, rows, percent)]
             near = np.zeros(len(others), bool)
             for a in np.unique(words[others]):
                 if max(a, words[first]) <= 2 * min(a, words[first]):
@@ -380,12 +398,14 @@ def _lists(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy().view(U64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
 
 
-def _counted(flat: list[np.ndarray], size: np.ndarray, queries: np.ndarray, members: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _counted(flat: list[np.ndarray], size: np.ndarray, queries: np.ndarray, members: np.ndarray, percent: int, leader: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(query, member) pairs that link, by the block's union of shingles.
 
     A query's overlap with the union bounds what it shares with any member, and the
     block is opened only for those it lets through.  A shingle that a query alone
-    brought into the union doesn't count for it.
+    brought into the union doesn't count for it.  In an opened block a query is counted
+    against the ``leader``, if there is one, and against all members only if it doesn't
+    link with that.
     """
     union, times = np.unique(np.concatenate([flat[m] for m in members]), return_counts=True)
     inside = np.isin(queries, members)
@@ -395,8 +415,18 @@ def _counted(flat: list[np.ndarray], size: np.ndarray, queries: np.ndarray, memb
         overlap = int(((union[at] == flat[q]) & (times[at] > int(inside[k]))).sum())
         if overlap * 100 >= percent * size[q]:
             opened.append(q)
-    if not opened:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+    led = []
+    if leader is not None and opened:
+        top = flat[leader]
+        shared = np.array([int((top[np.minimum(np.searchsorted(top, flat[q]), len(top) - 1)] == flat[q]).sum()) for q in opened])
+        near = shared * 100 >= percent * (size[opened] + size[leader] - shared)
+        led, opened = [q for q, x in zip(opened, near) if x], [q for q, x in zip(opened, near) if not x]
+        members = members[members != leader]
+    led = np.array(led, np.int64), np.full(len(led), -1 if leader is None else leader, np.int64)
+    if not opened or len(members) < 2 - int(leader is None):
+        return led
+    if leader is not None:
+        union = np.unique(np.concatenate([flat[m] for m in members]))
     queries = np.array(opened)
     shared = np.zeros((len(queries), len(members)), np.int64)
     rank = lambda rows: (np.repeat(np.arange(len(rows)), [len(flat[r]) for r in rows]), np.searchsorted(union, np.concatenate([flat[r] for r in rows])))
@@ -415,7 +445,7 @@ def _counted(flat: list[np.ndarray], size: np.ndarray, queries: np.ndarray, memb
         shared += np.rint(q @ m.T).astype(np.int64)
     both = size[queries][:, None] + size[members][None, :] - shared
     q, m = np.nonzero((shared * 100 >= percent * both) & (queries[:, None] != members[None, :]))
-    return queries[q], members[m]
+    return np.concatenate([led[0], queries[q]]), np.concatenate([led[1], members[m]])
 
 
 def _edges(links: list[tuple[int, int]]) -> pa.Table:
@@ -428,7 +458,7 @@ def _first_rows(*keys: np.ndarray) -> np.ndarray:
 
 
 def open_homes(percent: int):
-    """The links within blocks, as a forest: with the leader first, then among what it doesn't link with and the rest."""
+    """The links within blocks, as a forest: behind the union's bound, with the leader first and with the rest for what it doesn't link with."""
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.take(pa.array(_first_rows(*(group[c].to_numpy() for c in ("lead", "node", "i", "grp"))))).combine_chunks()
@@ -438,18 +468,9 @@ def open_homes(percent: int):
         links = []
         for rows in _blocks_of(group["i"].to_numpy(), group["grp"].to_numpy()):
             leader, others = rows[lead[rows]], rows[~lead[rows]]
-            left, right = [], []
-            for one in leader:
-                shared = np.array([int((flat[one][np.minimum(np.searchsorted(flat[one], flat[r]), len(flat[one]) - 1)] == flat[r]).sum()) for r in others], np.int64)
-                tied = shared * 100 >= percent * (size[others] + size[one] - shared)
-                left, right = [int(node[one])] * int(tied.sum()), node[others[tied]].tolist()
-                rest = others[~tied]
-            if not len(leader):
-                rest = others
-            if len(rest) and len(others) > 1:
-                q, m = _counted(flat, size, rest, others, percent)
-                left, right = left + node[q].tolist(), right + node[m].tolist()
-            links += _forest(left, right)
+            if len(others) and len(rows) > 1:
+                q, m = _counted(flat, size, others, rows, percent, int(leader[0]) if len(leader) else None)
+                links += _forest(node[q].tolist(), node[m].tolist())
         return _edges(links)
 
     return compare
