@@ -530,7 +530,6 @@ def set_components(docs: DataFrame, width: int, percent: int, id_col: str = "doc
     led = cut(led.union(led.select(F.col("b").alias("a"), "b").distinct()))
     homes = cut(led.groupBy("a").agg(F.min("b").alias("home")))
     within = led.join(homes, "a").select("b", "home").distinct()
-    visits = led.join(homes, "a").select("a", F.col("home").alias("own"), "b").join(within, "b").where("home <= own").select("a", "own", F.col("home").alias("grp")).distinct()
     wanted = cut(homes.withColumnRenamed("a", "node").join(nodes, "node"))
     # of a set's rows, those of its least id are alike
     mine = full.join(wanted.select("n", "key", "key2", F.col("low").alias("id"), "node"), ["n", "key", "key2", "id"])
@@ -563,10 +562,14 @@ def set_components(docs: DataFrame, width: int, percent: int, id_col: str = "doc
     # the other groups, and the other blocks of a group for those its leader doesn't link with
     lead = where_of.select(F.col("node").alias("grp"), F.col("component").alias("lead"))
     facts = where_of.groupBy(F.col("home").alias("grp")).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("n").alias("tokens"), F.count("*").alias("m"))
-    asked = visits.join(where_of.select(F.col("node").alias("a"), "component", "n"), "a").join(lead, "grp").join(facts, "grp").join(cuts, "grp")
+    per = facts.join(lead, "grp").join(cuts, "grp")
+    # what is known of a group goes with it, so that only visits that may find something leave the join
+    askers = led.join(where_of.select(F.col("node").alias("a"), F.col("home").alias("own"), "component", "n"), "a")
+    hosts = within.withColumnRenamed("home", "grp").join(per, "grp").withColumnRenamed("b", "via")
     at_home = (F.col("own") == F.col("grp")) & ((F.col("component") == F.col("lead")) | (F.col("nb") == 1))
     settled = (F.col("low") == F.col("high")) & (F.col("low") == F.col("component"))
-    asked = cut(asked.where(~at_home & ~settled).select("a", "component", "grp", "n", "tokens", "m"))
+    met = (F.col("b") == F.col("via")) & (F.col("grp") <= F.col("own")) & ~at_home & ~settled
+    asked = cut(askers.join(hosts, met).select("a", "component", "grp", "n", "tokens", "m").distinct())
     more = None
     if not asked.isEmpty():
         blocks = asked.groupBy("grp").agg(parts(F.first("tokens"), F.first("m"), ASKED, ASKED_ROWS).alias("mb"), parts(F.sum("n"), F.count("*"), ASKED, ASKED_ROWS).alias("qb"))
