@@ -59,7 +59,9 @@ from parlance.llm.runtime import cut, named, shuffle_width, unwrapped, whole_row
 U64 = np.uint64
 #: Shingles and members of a group's block, and of a block that others query.
 BLOCK, BLOCK_ROWS = 1 << 18, 1024
-ASKED, ASKED_ROWS = 1 << 20, 4096
+ASKED, ASKED_ROWS = 1 << 22, 1 << 14
+#: Queries and members that are counted against each other at a time.
+COUNTED_ROWS = 4096
 #: Entries a task holds before it hands them on.
 FLUSH = 2_000_000
 #: Bits of the filter that keeps texts without any candidate from being read again; its size is fixed.
@@ -487,10 +489,11 @@ def open_blocks(percent: int):
         links = []
         for rows in _blocks_of(*(group[c].to_numpy() for c in ("j", "i", "grp"))):
             queries, members = rows[is_query[rows]], rows[~is_query[rows]]
-            if len(queries) and len(members):
-                q, m = _counted(flat, size, queries, members, percent)
-                apart = comp[q] != comp[m]
-                links += _forest(comp[q[apart]].tolist(), comp[m[apart]].tolist())
+            for low in range(0, len(queries), COUNTED_ROWS):
+                for start in range(0, len(members), COUNTED_ROWS):
+                    q, m = _counted(flat, size, queries[low : low + COUNTED_ROWS], members[start : start + COUNTED_ROWS], percent)
+                    apart = comp[q] != comp[m]
+                    links += _forest(comp[q[apart]].tolist(), comp[m[apart]].tolist())
         return _edges(links)
 
     return compare
@@ -575,10 +578,10 @@ def set_components(docs: DataFrame, width: int, percent: int, id_col: str = "doc
         blocks = asked.groupBy("grp").agg(parts(F.first("tokens"), F.first("m"), ASKED, ASKED_ROWS).alias("mb"), parts(F.sum("n"), F.count("*"), ASKED, ASKED_ROWS).alias("qb"))
         block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        m = where_of.select("node", "component", F.col("home").alias("grp")).join(blocks, "grp").select("grp", "node", "component", F.lit(False).alias("query"), block("node", "mb").alias("i"), every("qb").alias("j"))
-        q = asked.join(blocks, "grp").select("grp", F.col("a").alias("node"), "component", F.lit(True).alias("query"), every("mb").alias("i"), block("a", "qb").alias("j"))
+        m = where_of.select("node", "component", "n", F.col("home").alias("grp")).join(blocks, "grp").select("grp", "node", "component", "n", F.lit(False).alias("query"), block("node", "mb").alias("i"), every("qb").alias("j"))
+        q = asked.join(blocks, "grp").select("grp", F.col("a").alias("node"), "component", "n", F.lit(True).alias("query"), every("mb").alias("i"), block("a", "qb").alias("j"))
         both = m.union(q)
-        able = dealt(both.join(bits, "node"), both.join(where_from.select("node", "n"), "node"), "grp", "i", "j").groupBy("bucket").applyInArrow(bound_blocks(percent), "grp long, i long, j long, node long, component long, query boolean")
+        able = dealt(both.drop("n").join(bits, "node"), both, "grp", "i", "j").groupBy("bucket").applyInArrow(bound_blocks(percent), "grp long, i long, j long, node long, component long, query boolean")
         placed = cut(able.join(where_from, "node"))
         if not placed.isEmpty():
             more = cut(dealt(_with_tokens(known, placed, width), placed, "grp", "i", "j").groupBy("bucket").applyInArrow(open_blocks(percent), "src long, dst long").distinct())

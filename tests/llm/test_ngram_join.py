@@ -92,7 +92,7 @@ def test_links_come_from_opened_groups(spark, monkeypatch):
     want = by_hand(rows, 3, 90)
     assert len({c for _, c in want.values()}) < len(rows)
     assert shown() == want
-    for name, value in (("BLOCK", 200), ("BLOCK_ROWS", 4), ("ASKED", 300), ("ASKED_ROWS", 3)):
+    for name, value in (("BLOCK", 200), ("BLOCK_ROWS", 4), ("ASKED", 300), ("ASKED_ROWS", 3), ("COUNTED_ROWS", 2)):
         monkeypatch.setattr(ngram_join, name, value)
     assert shown() == want
     monkeypatch.setattr(ngram_join, "_counted", lambda *a: (np.empty(0, np.int64), np.empty(0, np.int64)))
