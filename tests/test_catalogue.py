@@ -7,7 +7,7 @@ import pytest
 from parlance.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-TABLES = "customer events documents embeddings lineitem nation orders conversations pages".split()
+TABLES = "benchmark customer events documents embeddings lineitem nation orders conversations pages".split()
 
 
 @pytest.fixture(scope="module")
