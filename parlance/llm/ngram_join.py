@@ -12,9 +12,11 @@ shingles, S being the sum of their sizes.
     into d + 1 parts and as many more as may be empty by chance; linked nodes then
     agree in the whole of at least one part that isn't empty.  Unlike a single frequent
     shingle, a part's content recurs almost only in near copies, however common a
-    line or passage is.  The document of least id that has a part leads it (within each
-    task first, so that few entries travel for a text that a third of all rows share), and
-    a node's home is the group of its least leader.
+    line or passage is.  A part of nothing but shingles that many documents have, though,
+    says little: it counts only for a node with more such parts than are to spare, as
+    linked nodes agree in one part more than that.  The document of least id that has a
+    part leads it (within each task first, so that few entries travel for a text that a
+    third of all rows share), and a node's home is the group of its least leader.
 2.  *Unions.*  A group is cut into blocks of bounded size, each with the group's
     leader.  A block stores the union of its members' shingles, as a bit set of hashes
     first, and after that of those left as shingles, with which of them more than
@@ -66,6 +68,8 @@ COUNTED_ROWS = 4096
 FLUSH = 2_000_000
 #: Bits of the filter that keeps texts without any candidate from being read again; its size is fixed.
 FILTER_BITS = 1 << 23
+#: A shingle is common if, in runs of documents, more than one in so many has it, and that many in all.
+COMMON_SHARE, COMMON_LEAST = 2048, 8
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -126,17 +130,23 @@ class Scheme:
         tops.append(low * 100 // percent)
         self.tops = np.array(tops)
         apart = 2 * self.tops * (100 - percent) // (100 + percent)
-        # some parts stay empty by chance; as many are to spare, so that empty ones seldom have to count
-        size, self.spare = np.append(1, self.tops[:-1]), np.ones(len(apart))
-        for _ in range(4):
+        # some parts stay without a rare shingle by chance; as many are to spare, so that others seldom have to count,
+        # even for the smallest sets of the class before, which use this one too, and with a fifth of common shingles
+        size, self.spare = 0.8 * np.concatenate([[1, 1], self.tops[:-2]]), np.ones(len(apart))
+        for _ in range(8):
             parts = apart + 1 + self.spare
             empty = parts * np.exp(-size / parts)
-            self.spare = np.maximum(1, np.ceil(empty + 3 * np.sqrt(empty)))
+            self.spare = np.maximum(1, np.ceil(empty + 4 * np.sqrt(empty)))
         self.spare = np.where(apart > 0, np.minimum(self.spare, apart + 1), 0).astype(np.int64)
         self.parts = apart + 1 + self.spare
 
-    def columns(self, row: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, column) entries of the matrix."""
+    def columns(self, row: np.ndarray, value: np.ndarray, n: int, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, column) entries of the matrix; ``rare`` tells the shingles that aren't common.
+
+        Linked rows agree in more parts than are to spare.  If one of these has a rare shingle,
+        it is among the entries of both.  If none has, both have more parts without any than are
+        to spare, and then all filled ones count; and if none is filled, the empty ones.
+        """
         size = np.bincount(row, minlength=n)
         mine = np.searchsorted(self.tops, size)
         rows, columns = [], []
@@ -153,9 +163,9 @@ class Scheme:
             content = _sums(cell, tb.mix(value), cells)
             with np.errstate(over="ignore"):
                 column = tb.mix(content + tb.mix((np.arange(cells) - base[owner]).astype(U64) * U64(1 << 20) + k.astype(U64)[owner]))
-            # with more empty parts than are to spare, agreeing in them has to count
-            bare = np.bincount(owner[filled == 0], minlength=n)
-            use = (filled > 0) | (bare > self.spare[k])[owner]
+            told = np.bincount(cell[rare], minlength=cells) > 0
+            over = lambda parts: (np.bincount(owner[parts], minlength=n) > self.spare[k])[owner]  # noqa: B023, E731
+            use = told | (over(~told) & (filled > 0)) | over(filled == 0)
             rows.append(owner[use])
             columns.append(column[use])
         return np.concatenate(rows), np.concatenate(columns)
@@ -184,9 +194,57 @@ def _lead(column: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return (column[first], doc[first], *_unique_pairs(doc[other], leader[other]))
 
 
+def _place(value: np.ndarray) -> np.ndarray:
+    return (tb.mix(value ^ U64(0x2545F4914F6CDD1D)) & U64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def _bitmap(places: DataFrame) -> dict[int, bytes]:
+    """A set of ``place`` (from 0, under FILTER_BITS) as pieces of a bit map: at most FILTER_BITS bits."""
+    at = F.col("place").cast("long") + 1  # bitmaps count from 1
+    bits = places.select(F.bitmap_bucket_number(at).alias("b"), F.bitmap_bit_position(at).alias("p"))
+    return {r["b"]: bytes(r["bits"]) for r in bits.groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect()}
+
+
+def _unpacked(pieces: dict[int, bytes]) -> np.ndarray:
+    table, size = np.zeros(FILTER_BITS, bool), 8 * 4096
+    for bucket, packed in pieces.items():
+        at = (bucket - 1) * size
+        table[at : at + size] = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little")
+    return table
+
+
+def common_shingles(docs: DataFrame, width: int) -> dict[int, bytes]:
+    """The places of shingles that many documents have, as a bit map.
+
+    Every document counts.  What is common decides how many candidates there are, never
+    which documents link.
+    """
+
+    def emit(value: list[np.ndarray], rows: int) -> pa.RecordBatch:
+        place, times = np.unique(_place(np.concatenate(value)), return_counts=True)
+        many = times >= max(2, rows // COMMON_SHARE)
+        return pa.RecordBatch.from_arrays([pa.array(place[many]), pa.array(times[many])], names=["place", "times"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, rows, held = [], 0, 0
+        for batch in batches:
+            for _, n, _, value in shingle_sets(batch.column(0), width):
+                values.append(value)
+                rows, held = rows + n, held + len(value)
+                if held >= FLUSH:
+                    yield emit(values, rows)
+                    values, rows, held = [], 0, 0
+        if held:
+            yield emit(values, rows)
+
+    counted = docs.select("text").mapInArrow(scan, "place long, times long").groupBy("place").agg(F.sum("times").alias("times"))
+    return _bitmap(counted.where(F.col("times") >= COMMON_LEAST))
+
+
 def _groups(docs: DataFrame, width: int, percent: int, largest: int) -> DataFrame:
     """Distinct (member, leader) of all parts, as ids."""
     spark = docs.sparkSession
+    common = spark.sparkContext.broadcast(common_shingles(docs, width))
     # a pair is handed on once for each bucket that has a column of it, so buckets are no more than memory asks for
     n_buckets = max(64, shuffle_width(spark), 2 * docs.rdd.getNumPartitions())
     scheme = Scheme(percent, largest)
@@ -206,11 +264,11 @@ def _groups(docs: DataFrame, width: int, percent: int, largest: int) -> DataFram
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "columns", "leaders", "member", "local"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        column, doc, held = [], [], 0
+        table, column, doc, held = _unpacked(common.value), [], [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for first, n, row, value in shingle_sets(batch.column(1), width):
-                row, found = scheme.columns(row, value, n)
+                row, found = scheme.columns(row, value, n, ~table[_place(value)])
                 column.append(found)
                 doc.append(ids[first + row])
                 held += len(found)
@@ -240,17 +298,11 @@ def _with_tokens(texts: DataFrame, placed: DataFrame, width: int) -> DataFrame:
     wanted from being cut into words.  A row may come once for each task that read it.
     """
     spark = texts.sparkSession
-    h = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).cast("long") + 1  # bitmaps count from 1
-    ids = placed.select(F.col("low").alias("id")).distinct()
-    bits = ids.select(F.bitmap_bucket_number(h).alias("b"), F.bitmap_bit_position(h).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits"))
-    spread = spark.sparkContext.broadcast({r["b"]: bytes(r["bits"]) for r in bits.collect()})  # at most FILTER_BITS bits
-    size = 8 * 4096
+    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("place")
+    spread = spark.sparkContext.broadcast(_bitmap(placed.select(F.col("low").alias("id")).select(place)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = np.zeros(FILTER_BITS, bool), set()
-        for bucket, packed in spread.value.items():
-            at = (bucket - 1) * size
-            table[at : at + size] = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little")
+        table, seen = _unpacked(spread.value), set()
         for batch in batches:
             kept = batch.filter(pa.array(table[batch.column("place").to_numpy()]))
             if not kept.num_rows:
@@ -269,7 +321,7 @@ def _with_tokens(texts: DataFrame, placed: DataFrame, width: int) -> DataFrame:
                 columns = [pa.array(mine), pa.array(key.view(np.int64)), pa.array(key2.view(np.int64)), tokens]
                 yield pa.RecordBatch.from_arrays(columns, names=["low", "key", "key2", "tokens"]).take(pa.array(new, pa.int64()))
 
-    rows = texts.select("id", "text", (h - 1).alias("place")).mapInArrow(scan, "low long, key long, key2 long, tokens array<bigint>")
+    rows = texts.select("id", "text", place).mapInArrow(scan, "low long, key long, key2 long, tokens array<bigint>")
     return rows.join(placed, ["low", "key", "key2"]).drop("low", "key", "key2")
 
 

@@ -117,3 +117,51 @@ def test_one_very_long_text(spark):
     rows = [(1, long), (2, long.replace("w77 ", "x ")), (3, "short text of five words"), (4, long.upper())]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
     assert got == {1: (119_998, 1), 2: (119_998, 1), 3: (3, 3), 4: (119_998, 1)}
+
+
+@pytest.mark.parametrize(("share", "least"), [(2048, 8), (1 << 30, 2), (1, 1 << 30)])
+def test_what_is_common_changes_no_link(spark, monkeypatch, share, least):
+    """Documents of shared passages alone, in part and not at all: few, most or no shingles being common."""
+    rng = random.Random(7)
+    monkeypatch.setattr(ngram_join, "COMMON_SHARE", share)
+    monkeypatch.setattr(ngram_join, "COMMON_LEAST", least)
+    word = lambda: f"w{rng.randrange(5000)}"
+    passages = [[word() for _ in range(rng.choice([12, 40, 90]))] for _ in range(4)]
+    texts = []
+    for k in range(90):
+        own = [word() for _ in range(rng.choice([0, 5, 30, 120]))]
+        base = own + [w for p in rng.sample(passages, rng.randint(0, 4)) for w in p]
+        texts.append(" ".join(base))
+        for _ in range(k % 3):
+            copy = list(base)
+            for _ in range(rng.choice([1, 2, 3])):
+                if copy:
+                    copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    rows = list(zip(rng.sample(range(10_000), len(texts)), texts))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    common = ngram_join.common_shingles(frame, 5)
+    assert bool(common) == (least < 1 << 30)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(frame).collect()}
+    assert got == by_hand(rows, 5, 80)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_an_entry_whatever_is_common(percent):
+    """Sets that differ as much as linked ones may, with any part of their shingles common."""
+    rng = np.random.default_rng(3)
+    scheme = ngram_join.Scheme(percent, 2000)
+    for n in (5, 9, 20, 61, 200, 333, 1100):
+        for part in (0.0, 0.3, 0.7, 0.95, 1.0):
+            shared = rng.integers(0, 2**63, n).astype(np.uint64)
+            apart = n * 100 // percent - n
+            left = int(rng.integers(0, apart + 1))
+            a = np.concatenate([shared, rng.integers(0, 2**63, left).astype(np.uint64)])
+            b = np.concatenate([shared, rng.integers(0, 2**63, apart - left).astype(np.uint64)])
+            assert 100 * n >= percent * (n + apart)
+            is_common = set(rng.choice(shared, int(part * n), replace=False).tolist())
+            found = []
+            for x in (a, b):
+                rare = np.array([v not in is_common for v in x.tolist()])
+                found.append(set(scheme.columns(np.zeros(len(x), np.int64), x, 1, rare)[1].tolist()))
+            assert found[0] & found[1]
