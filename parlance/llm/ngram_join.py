@@ -15,8 +15,8 @@ shingles, S being the sum of their sizes.
     line or passage is.  A part of nothing but shingles that many documents have, though,
     says little: it counts only for a node with more such parts than are to spare, as
     linked nodes agree in one part more than that.  The document of least id that has a
-    part leads it (within each task first, so that few entries travel for a text that a
-    third of all rows share), and a node's home is the group of its least leader.
+    part leads it (within each task first, so that no part's entries meet in one place for a
+    text that a third of all rows share), and a node's home is the group of its least leader.
 2.  *Unions.*  A group is cut into blocks of bounded size, each with the group's
     leader.  A block stores the union of its members' shingles, as a bit set of hashes
     first, and after that of those left as shingles, with which of them more than
@@ -177,21 +177,46 @@ def _first_of_runs(x: np.ndarray) -> np.ndarray:
     return keep
 
 
-def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    keep = _first_of_runs(a) | _first_of_runs(b)
-    return a[keep], b[keep]
-
-
-def _lead(column: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Columns with their leaders, and (member, leader) for the other documents."""
+def _lead(column: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Columns with their leaders, then (member, leader, how many columns) for the other documents, and these columns."""
     order = np.lexsort((doc, column))
     column, doc = column[order], doc[order]
     first = _first_of_runs(column)
     leader = doc[first][np.cumsum(first) - 1]
-    other = doc != leader
-    return (column[first], doc[first], *_unique_pairs(doc[other], leader[other]))
+    other = np.flatnonzero(doc != leader)
+    other = other[np.lexsort((leader[other], doc[other]))]
+    starts = np.flatnonzero(_first_of_runs(doc[other]) | _first_of_runs(leader[other]))
+    sizes = np.diff(np.append(starts, len(other)))
+    return column[first], doc[first], doc[other][starts], leader[other][starts], sizes, column[other]
+
+
+def _packed(parts: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Runs of parts as binary values."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]) * 8
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(parts.astype(U64).tobytes())])
+
+
+def follow(near: pa.Table, far: pa.Table) -> pa.Table:
+    """(member, leader) of parts that a document leads in a task only: the leaders of just the parts that member shares with it."""
+
+    def read(table: pa.Table, of: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        packed = table["parts"].to_pylist()
+        sizes = np.array([len(x) // 8 for x in packed], np.int64)
+        mid, other = np.repeat(table["mid"].to_numpy(), sizes), np.repeat(table[of].to_numpy(), sizes)
+        with np.errstate(over="ignore"):
+            return tb.mix(np.frombuffer(b"".join(packed), U64) + tb.mix(mid.view(U64))), mid, other
+
+    part, mid, member = read(near, "member")
+    known, _, leader = read(far, "leader")
+    if len(known):
+        order = np.argsort(known, kind="stable")
+        known, leader = known[order], leader[order]
+        at = np.minimum(np.searchsorted(known, part), len(known) - 1)
+        mid = np.where(known[at] == part, leader[at], mid)
+    order = np.lexsort((mid, member))
+    member, mid = member[order], mid[order]
+    keep = (_first_of_runs(member) | _first_of_runs(mid)) & (member != mid)
+    return pa.table({"member": member[keep], "leader": mid[keep]})
 
 
 def _place(value: np.ndarray) -> np.ndarray:
@@ -249,19 +274,27 @@ def _groups(docs: DataFrame, width: int, percent: int, largest: int) -> DataFram
     n_buckets = max(64, shuffle_width(spark), 2 * docs.rdd.getNumPartitions())
     scheme = Scheme(percent, largest)
 
+    def bucket_of(column: np.ndarray) -> np.ndarray:
+        return ((column >> U64(40)) % U64(n_buckets)).astype(np.int64)
+
+    def part_of(bucket: np.ndarray | int, column: np.ndarray) -> np.ndarray:
+        """A part as its bucket knows it."""
+        return (np.asarray(bucket).astype(U64) << U64(32)) | (column.astype(U64) & U64(0xFFFFFFFF))
+
     def emit(column: list, doc: list) -> pa.RecordBatch:
-        column, leader, member, local = _lead(np.concatenate(column), np.concatenate(doc))
-        bucket = ((column >> U64(40)) % U64(n_buckets)).astype(np.int64)
+        column, leader, member, local, sizes, parts = _lead(np.concatenate(column), np.concatenate(doc))
+        bucket, parts = bucket_of(column), part_of(bucket_of(parts), parts)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
         small, leader = (column & U64(0xFFFFFFFF)).astype(np.uint32)[order], leader[order]
-        links = np.linspace(0, len(member), n_buckets + 1).astype(np.int64)
+        links, ends = np.linspace(0, len(member), n_buckets + 1).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
         out = []
         for b in range(n_buckets):
             own, tied = slice(cuts[b], cuts[b + 1]), slice(links[b], links[b + 1])
             if own.start < own.stop or tied.start < tied.stop:
-                out.append((b, small[own].tobytes(), leader[own].tobytes(), member[tied].tobytes(), local[tied].tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "columns", "leaders", "member", "local"])
+                theirs = parts[ends[tied.start] : ends[tied.stop]]
+                out.append((b, *(x.tobytes() for x in (small[own], leader[own], member[tied], local[tied], sizes[tied], theirs))))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 6), strict=True)], names=["bucket", "columns", "leaders", "member", "local", "sizes", "parts"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, column, doc, held = _unpacked(common.value), [], [], 0
@@ -280,15 +313,20 @@ def _groups(docs: DataFrame, width: int, percent: int, largest: int) -> DataFram
 
     def gather(group: pa.Table) -> pa.Table:
         read = lambda name, kind: np.frombuffer(b"".join(group[name].to_pylist()), kind)
-        _, _, member, leader = _lead(read("columns", np.uint32), read("leaders", np.int64))
+        _, _, member, leader, sizes, columns = _lead(read("columns", np.uint32), read("leaders", np.int64))
+        parts = np.concatenate([part_of(group["bucket"][0].as_py(), columns), read("parts", U64)])
         near, local = read("member", np.int64), read("local", np.int64)
-        return pa.table({"member": np.concatenate([member, near]), "leader": np.concatenate([leader, local]), "local": np.repeat([False, True], [len(member), len(near)])})
-
-    dealt = docs.select("id", "text").mapInArrow(scan, "bucket int, columns binary, leaders binary, member binary, local binary")
-    found = cut(dealt.groupBy("bucket").applyInArrow(gather, "member long, leader long, local boolean").distinct())
-    near = found.where("local").select("member", F.col("leader").alias("mid"))
-    far = found.where("not local").select(F.col("member").alias("mid"), "leader")
-    return found.select("member", "leader").union(near.join(far, "mid").select("member", "leader")).where("member <> leader").distinct()
+        packed = _packed(parts, np.concatenate([sizes, read("sizes", np.int64)]))
+        return pa.table({"member": np.concatenate([member, near]), "leader": np.concatenate([leader, local]), "local": np.repeat([False, True], [len(member), len(near)]), "parts": packed})
+
+    dealt = docs.select("id", "text").mapInArrow(scan, "bucket int, columns binary, leaders binary, member binary, local binary, sizes binary, parts binary")
+    found = cut(dealt.groupBy("bucket").applyInArrow(gather, "member long, leader long, local boolean, parts binary"))
+    # a document leads others in its own task only, so none has more of them than a task holds entries
+    by_mid = F.pmod(F.xxhash64("mid"), F.lit(n_buckets)).alias("bucket")
+    near = found.where("local").select("member", F.col("leader").alias("mid"), "parts").select(by_mid, "member", "mid", "parts")
+    far = found.where("not local").select(F.col("member").alias("mid"), "leader", "parts").select(by_mid, "mid", "leader", "parts")
+    followed = near.groupBy("bucket").cogroup(far.groupBy("bucket")).applyInArrow(follow, "member long, leader long")
+    return followed.union(far.select(F.col("mid").alias("member"), "leader")).distinct()
 
 
 def _with_tokens(texts: DataFrame, placed: DataFrame, width: int) -> DataFrame:
