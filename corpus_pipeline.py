@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from parlance.llm import decontaminate, mixing, ngram_join, sharding, toxicity
-from parlance.llm.runtime import shared_dir, table
+from parlance.llm.runtime import let_go, shared_dir, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,15 +62,24 @@ def _remove(spark: SparkSession, folder: str) -> None:
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again.
 
-    A stage's table goes once its successor's is written; the last one stays for the caller to read.
+    A stage's table goes once its successor's is written, and what it cut and shuffled once its own is;
+    the last table stays for the caller to read.
     """
     docs, last = table(spark, sf_dir, "documents"), None
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        if last:
-            _remove(spark, last)
-        last = path
+    shared = shared_dir(spark)
+    # Spark made a folder of its own in the one that was named
+    before = spark.sparkContext._jsc.sc().getCheckpointDir().get().rsplit("/", 1)[0]
+    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            path, cuts = f"{folder}/{k}-{name}", f"{folder}/{k}-cuts"
+            spark.sparkContext.setCheckpointDir(cuts)
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+            for old in (cuts, last) if last else (cuts,):
+                _remove(spark, old)
+            let_go(spark)
+            last = path
+    finally:
+        spark.sparkContext.setCheckpointDir(before)
     return docs

@@ -51,12 +51,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import textbytes as tb
 from parlance.llm.components import components
-from parlance.llm.runtime import cut, named, shuffle_width, unwrapped, whole_row
+from parlance.llm.runtime import cut, let_go, named, shuffle_width, unwrapped, whole_row
 
 U64 = np.uint64
 #: Shingles and members of a group's block, and of a block that others query.
@@ -196,6 +196,31 @@ def _packed(parts: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(parts.astype(U64).tobytes())])
 
 
+def narrow(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 in the fewest bytes that hold all of them."""
+    return x.astype(np.min_scalar_type(x.max())).tobytes() if len(x) else b""
+
+
+def widened(packed: bytes, n: int) -> np.ndarray:
+    """The ``n`` numbers that ``narrow`` packed."""
+    return np.frombuffer(packed, f"<u{len(packed) // n}").astype(np.uint64) if n else np.empty(0, np.uint64)
+
+
+def pack_leaders(leader: np.ndarray) -> bytes:
+    """Leaders in order: the first, how many different ones, the bytes of all steps between these, the steps, and the repeats."""
+    starts = np.flatnonzero(_first_of_runs(leader)) if len(leader) else np.empty(0, np.int64)
+    # from one signed number to a larger one, a step is right modulo 2**64
+    steps = narrow(np.diff(leader[starts].view(U64), prepend=leader[:1].view(U64)))
+    head = np.array([leader[0] if len(leader) else 0, len(starts), len(steps)], np.int64)
+    return head.tobytes() + steps + narrow(np.diff(np.append(starts, len(leader))))
+
+
+def unpack_leaders(packed: bytes) -> np.ndarray:
+    first, n, size = np.frombuffer(packed[:24], np.int64).tolist()
+    each = np.cumsum(widened(packed[24 : 24 + size], n), dtype=U64) + np.array([first], np.int64).view(U64)
+    return np.repeat(each.view(np.int64), widened(packed[24 + size :], n).astype(np.int64))
+
+
 def follow(near: pa.Table, far: pa.Table) -> pa.Table:
     """(member, leader) of parts that a document leads in a task only: the leaders of just the parts that member shares with it."""
 
@@ -223,11 +248,33 @@ def _place(value: np.ndarray) -> np.ndarray:
     return (tb.mix(value ^ U64(0x2545F4914F6CDD1D)) & U64(FILTER_BITS - 1)).astype(np.int64)
 
 
-def _bitmap(places: DataFrame) -> dict[int, bytes]:
-    """A set of ``place`` (from 0, under FILTER_BITS) as pieces of a bit map: at most FILTER_BITS bits."""
+def _pages(places: DataFrame) -> DataFrame:
+    """(b, bits): a set of ``place`` (from 0, under FILTER_BITS) as pieces of a bit map: at most FILTER_BITS bits."""
     at = F.col("place").cast("long") + 1  # bitmaps count from 1
     bits = places.select(F.bitmap_bucket_number(at).alias("b"), F.bitmap_bit_position(at).alias("p"))
-    return {r["b"]: bytes(r["bits"]) for r in bits.groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect()}
+    return bits.groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits"))
+
+
+def _bitmap(places: DataFrame) -> dict[int, bytes]:
+    return {r["b"]: bytes(r["bits"]) for r in _pages(places).collect()}
+
+
+def _with_presence(rows: DataFrame, places: DataFrame, name: str) -> DataFrame:
+    """``rows`` (with ``place``) and whether their place is among ``places``, by a broadcast bit map."""
+    at = F.col("place").cast("long") + 1
+    pages = F.broadcast(_pages(places).select(F.col("b").alias(f"{name}_b"), F.col("bits").alias(f"{name}_bits")))
+    joined = rows.join(pages, F.bitmap_bucket_number(at) == F.col(f"{name}_b"), "left")
+    bit = F.expr(f"(shiftright(cast(conv(hex(substring({name}_bits, cast(bitmap_bit_position(place + 1L) div 8 as int) + 1, 1)), 16, 10) as int), cast(bitmap_bit_position(place + 1L) % 8 as int)) & 1) = 1")
+    return joined.withColumn(name, F.coalesce(bit, F.lit(False))).drop(f"{name}_b", f"{name}_bits")
+
+
+def _id_place() -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("place")
+
+
+def _id_filter(ids: DataFrame) -> dict[int, bytes]:
+    """The places of ``id`` as a bit map."""
+    return _bitmap(ids.select(_id_place()))
 
 
 def _unpacked(pieces: dict[int, bytes]) -> np.ndarray:
@@ -266,9 +313,14 @@ def common_shingles(docs: DataFrame, width: int) -> dict[int, bytes]:
     return _bitmap(counted.where(F.col("times") >= COMMON_LEAST))
 
 
-def _groups(docs: DataFrame, width: int, percent: int, largest: int) -> DataFrame:
-    """Distinct (member, leader) of all parts, as ids."""
+def _groups(docs: DataFrame, least: DataFrame, width: int, percent: int, largest: int) -> DataFrame:
+    """Distinct (member, leader) of all parts, as ids.
+
+    ``least`` has the least ``id`` of each set: a set's other rows would say its parts again and
+    lead none, so a filter of fixed size keeps most of them out.
+    """
     spark = docs.sparkSession
+    wanted = spark.sparkContext.broadcast(_id_filter(least))
     common = spark.sparkContext.broadcast(common_shingles(docs, width))
     # a pair is handed on once for each bucket that has a column of it, so buckets are no more than memory asks for
     n_buckets = max(64, shuffle_width(spark), 2 * docs.rdd.getNumPartitions())
@@ -284,7 +336,8 @@ def _groups(docs: DataFrame, width: int, percent: int, largest: int) -> DataFram
     def emit(column: list, doc: list) -> pa.RecordBatch:
         column, leader, member, local, sizes, parts = _lead(np.concatenate(column), np.concatenate(doc))
         bucket, parts = bucket_of(column), part_of(bucket_of(parts), parts)
-        order = np.argsort(bucket, kind="stable")
+        # by leader, so that a leader's number is a small step from the last one's
+        order = np.lexsort((leader, bucket))
         cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
         small, leader = (column & U64(0xFFFFFFFF)).astype(np.uint32)[order], leader[order]
         links, ends = np.linspace(0, len(member), n_buckets + 1).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
@@ -293,12 +346,13 @@ def _groups(docs: DataFrame, width: int, percent: int, largest: int) -> DataFram
             own, tied = slice(cuts[b], cuts[b + 1]), slice(links[b], links[b + 1])
             if own.start < own.stop or tied.start < tied.stop:
                 theirs = parts[ends[tied.start] : ends[tied.stop]]
-                out.append((b, *(x.tobytes() for x in (small[own], leader[own], member[tied], local[tied], sizes[tied], theirs))))
+                out.append((b, small[own].tobytes(), pack_leaders(leader[own]), *(x.tobytes() for x in (member[tied], local[tied], sizes[tied], theirs))))
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 6), strict=True)], names=["bucket", "columns", "leaders", "member", "local", "sizes", "parts"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, column, doc, held = _unpacked(common.value), [], [], 0
+        table, kept, column, doc, held = _unpacked(common.value), _unpacked(wanted.value), [], [], 0
         for batch in batches:
+            batch = batch.filter(pa.array(kept[batch.column("place").to_numpy()]))
             ids = batch.column(0).to_numpy()
             for first, n, row, value in shingle_sets(batch.column(1), width):
                 row, found = scheme.columns(row, value, n, ~table[_place(value)])
@@ -313,14 +367,15 @@ def _groups(docs: DataFrame, width: int, percent: int, largest: int) -> DataFram
 
     def gather(group: pa.Table) -> pa.Table:
         read = lambda name, kind: np.frombuffer(b"".join(group[name].to_pylist()), kind)
-        _, _, member, leader, sizes, columns = _lead(read("columns", np.uint32), read("leaders", np.int64))
+        _, _, member, leader, sizes, columns = _lead(read("columns", np.uint32), np.concatenate([unpack_leaders(x) for x in group["leaders"].to_pylist()]))
         parts = np.concatenate([part_of(group["bucket"][0].as_py(), columns), read("parts", U64)])
         near, local = read("member", np.int64), read("local", np.int64)
         packed = _packed(parts, np.concatenate([sizes, read("sizes", np.int64)]))
         return pa.table({"member": np.concatenate([member, near]), "leader": np.concatenate([leader, local]), "local": np.repeat([False, True], [len(member), len(near)]), "parts": packed})
 
-    dealt = docs.select("id", "text").mapInArrow(scan, "bucket int, columns binary, leaders binary, member binary, local binary, sizes binary, parts binary")
+    dealt = docs.select("id", "text", _id_place()).mapInArrow(scan, "bucket int, columns binary, leaders binary, member binary, local binary, sizes binary, parts binary")
     found = cut(dealt.groupBy("bucket").applyInArrow(gather, "member long, leader long, local boolean, parts binary"))
+    let_go(spark)
     # a document leads others in its own task only, so none has more of them than a task holds entries
     by_mid = F.pmod(F.xxhash64("mid"), F.lit(n_buckets)).alias("bucket")
     near = found.where("local").select("member", F.col("leader").alias("mid"), "parts").select(by_mid, "member", "mid", "parts")
@@ -336,8 +391,7 @@ def _with_tokens(texts: DataFrame, placed: DataFrame, width: int) -> DataFrame:
     wanted from being cut into words.  A row may come once for each task that read it.
     """
     spark = texts.sparkSession
-    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("place")
-    spread = spark.sparkContext.broadcast(_bitmap(placed.select(F.col("low").alias("id")).select(place)))
+    spread = spark.sparkContext.broadcast(_id_filter(placed.select(F.col("low").alias("id"))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = _unpacked(spread.value), set()
@@ -359,7 +413,7 @@ def _with_tokens(texts: DataFrame, placed: DataFrame, width: int) -> DataFrame:
                 columns = [pa.array(mine), pa.array(key.view(np.int64)), pa.array(key2.view(np.int64)), tokens]
                 yield pa.RecordBatch.from_arrays(columns, names=["low", "key", "key2", "tokens"]).take(pa.array(new, pa.int64()))
 
-    rows = texts.select("id", "text", place).mapInArrow(scan, "low long, key long, key2 long, tokens array<bigint>")
+    rows = texts.select("id", "text", _id_place()).mapInArrow(scan, "low long, key long, key2 long, tokens array<bigint>")
     return rows.join(placed, ["low", "key", "key2"]).drop("low", "key", "key2")
 
 
@@ -618,7 +672,7 @@ def set_components(docs: DataFrame, width: int, percent: int, id_col: str = "doc
     # an id with several texts stands for all their sets: more to compare, nothing lost
     of_id = cut(sets.where("n > 0 and id is not null").join(nodes, ["n", "key", "key2"]).select("id", "node").distinct())
     a, b = of_id.select(F.col("id").alias("member"), F.col("node").alias("a")), of_id.select(F.col("id").alias("leader"), F.col("node").alias("b"))
-    led = _groups(known, width, percent, largest).join(a, "member").join(b, "leader").where("a <> b").select("a", "b").distinct()
+    led = _groups(known, nodes.select(F.col("low").alias("id")), width, percent, largest).join(a, "member").join(b, "leader").where("a <> b").select("a", "b").distinct()
     # every leader is in its own group too
     led = cut(led.union(led.select(F.col("b").alias("a"), "b").distinct()))
     homes = cut(led.groupBy("a").agg(F.min("b").alias("home")))
@@ -712,7 +766,13 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     judged = rows.join(first, "component").select("id", "h", ((F.col("id") == F.col("first_id")) & (F.col("h") == F.col("first_h"))).alias("stays"))
     judged = cut(judged.groupBy("id", "h").agg(F.first("stays").alias("stays"), F.count("*").alias("n")))
     beside = docs.select(whole_row(docs), named("doc_id").cast("long").alias("id"), F.xxhash64(named("text").cast("string")).alias("h"))
-    kept = beside.join(judged.where("not stays").select("id", "h"), ["id", "h"], "left_anti")
+    # what stays and what goes is known by bit maps of a fixed size; only rows that both of them may mean are shuffled
+    place = F.pmod(F.xxhash64("id", "h"), F.lit(FILTER_BITS)).alias("place")
+    goes = judged.where("not stays").select("id", "h")
+    stays = judged.where("stays").select("id", "h").union(sets.where("n = 0 or id is null").select("id", "h"))
+    told = _with_presence(_with_presence(beside.withColumn("place", place), goes.select(place), "going"), stays.select(place), "staying")
+    unclear = told.where("going and staying").select(*beside.columns).join(goes, ["id", "h"], "left_anti")
+    kept = told.where("not going").select(*beside.columns).unionByName(unclear)
     repeated = cut(judged.where("stays and n > 1").select("id", "h"))
     if not repeated.isEmpty():
         one = kept.join(repeated, ["id", "h"], "left_semi").groupBy("id", "h").agg(F.min_by("row", F.to_json("row")).alias("row"))
