@@ -262,7 +262,11 @@ def telling_slots(packed: list[bytes], y: np.ndarray, cluster: np.ndarray, in_cl
     base = n_toxic / (n_toxic + n_clean)
     seen = _count([packed[i] for i in toxic], cluster[toxic])
     least = max(3, int(np.ceil(12 / max(-np.log(min(base, 0.6)), 0.5))))
-    return (seen >= least) & (in_clean <= 0.02 * seen)
+    # few slots are filled that often, so only these are compared
+    often = np.flatnonzero(seen >= least)
+    out = np.zeros(SLOTS, bool)
+    out[often[in_clean[often] <= 0.02 * seen[often]]] = True
+    return out
 
 
 def _variants(word: bytes, rng: np.random.Generator) -> list[bytes]:
@@ -272,6 +276,10 @@ def _variants(word: bytes, rng: np.random.Generator) -> list[bytes]:
     return [word[:at] + new + word[at:], word[: twice + 1] + word[twice:]]
 
 
+#: Shared features that a kernel's slice writes out at a time.
+ENTRIES = 1 << 20
+
+
 def _machine(words: list[bytes], y: np.ndarray, marks: list[bytes]) -> tuple[np.ndarray, float]:
     """The table and bias of a machine fitted to units, with the given landmarks."""
     lu, lf, lv = _vectors(marks)
@@ -286,23 +294,36 @@ def _machine(words: list[bytes], y: np.ndarray, marks: list[bytes]) -> tuple[np.
         at = np.minimum(np.searchsorted(columns, f), len(columns) - 1)
         shared = columns[at] == f
         u, at, v = u[shared], at[shared], v[shared]
-        n = many[at]
-        entry = np.arange(int(n.sum())) + np.repeat(first[at] - (np.cumsum(n) - n), n)
-        return np.bincount(np.repeat(u, n) * len(marks) + lu[entry], np.repeat(v, n) * lv[entry], len(some) * len(marks)).reshape(len(some), -1)
+        ends, out = np.cumsum(many[at]), np.zeros(len(some) * len(marks))
+        # long units share very many features with landmarks: about ``ENTRIES`` of them are written out at a time, in order
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, (ends[-1] if len(ends) else 0) + ENTRIES, ENTRIES)))
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            own = slice(low, high)
+            n = many[at[own]]
+            entry = np.arange(int(n.sum())) + np.repeat(first[at[own]] - (np.cumsum(n) - n), n)
+            np.add.at(out, np.repeat(u[own], n) * len(marks) + lu[entry], np.repeat(v[own], n) * lv[entry])
+        return out.reshape(len(some), -1)
 
-    kernel = np.concatenate([kernel_of(words[low : low + 512]) for low in range(0, len(words), 512)])
     value, vector = np.linalg.eigh(kernel_of(marks))
     good = value > 1e-5 * value.max()
     root = vector[:, good] / np.sqrt(value[good])
-    x = np.hstack([kernel @ root, np.ones((len(words), 1))])
+    # the kernel is turned into vectors a slice at a time, and never there as a whole
+    x = np.ones((len(words), root.shape[1] + 1))
+    for low in range(0, len(words), 512):
+        x[low : low + 512, :-1] = kernel_of(words[low : low + 512]) @ root
     sign, cost = np.where(y, 1.0, -1.0), np.where(y, len(y) / max(2 * y.sum(), 1), len(y) / max(2 * (~y).sum(), 1))
     ridge = np.eye(x.shape[1]) * RIDGE * len(y)
     ridge[-1, -1] = 1e-6
     w = np.zeros(x.shape[1])
     active = np.ones(len(y), bool)
     for _ in range(30):
-        used = x[active]
-        w = np.linalg.solve(ridge + (used * cost[active][:, None]).T @ used, used.T @ (cost * sign)[active])
+        left, right = ridge.copy(), np.zeros(len(w))
+        for low in range(0, len(x), 2048):
+            mine = active[low : low + 2048]
+            used = x[low : low + 2048][mine]
+            left += (used * cost[low : low + 2048][mine][:, None]).T @ used
+            right += used.T @ (cost * sign)[low : low + 2048][mine]
+        w = np.linalg.solve(left, right)
         now = sign * (x @ w) < 1
         if (now == active).all():
             break

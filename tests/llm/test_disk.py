@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from parlance.llm import ngram_join
+from parlance.llm import ngram_join, toxicity
 
 
 @pytest.mark.parametrize("ids", [[], [7], [-(2**63), -3, -3, 0, 5, 5, 5, 70_000, 2**63 - 1], list(range(0, 3000, 7))])
@@ -61,3 +61,24 @@ def test_a_stage_leaves_only_its_table(spark, monkeypatch, tmp_path):
     (folder,) = tmp_path.iterdir()
     assert os.listdir(folder) == ["1-two"]
     assert spark.sparkContext._jsc.sc().getCheckpointDir().get().rsplit("/", 1)[0] == before
+
+
+def test_kernels_are_written_out_in_bounded_slices(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(1, 27, n).tolist()) for n in [*rng.integers(1, 12, 60), 300, 400]]
+    y = np.arange(len(words)) % 2 == 0
+    want, sizes, real = toxicity._machine(words, y, words[:40]), [], np.add.at
+    monkeypatch.setattr(toxicity, "ENTRIES", 500)
+
+    class Add:
+        @staticmethod
+        def at(out, where, values):
+            sizes.append(len(where))
+            real(out, where, values)
+
+    monkeypatch.setattr(toxicity.np, "add", Add)
+    table, bias = toxicity._machine(words, y, words[:40])
+    monkeypatch.undo()
+    # the last one fills the table from the landmarks
+    assert len(sizes) > 10 and max(sizes[:-1]) <= 500 + 40 * 40
+    assert np.array_equal(table, want[0]) and bias == want[1]
