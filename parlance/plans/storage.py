@@ -51,15 +51,19 @@ HEAD = "\n".join(files.ASS_HEAD).replace("'", "''").split("{name}")
  c as (select *, cast(round_even(s / 1000 * 100, 0) as bigint) as cs1, cast(round_even(e / 1000 * 100, 0) as bigint) as cs2 from x), l as (select *, 'Dialogue: ' || layer || ',' || {TIME.format(1)} || ',' || {TIME.format(2)} || ',Default,,0,0,0,,' || said as event from c)
  select 'r' || recording_id || '_' || part as name, count(*) as n_events, md5('{HEAD[0]}' || 'r' || recording_id || '_' || part || '{HEAD[1]}' || chr(10) || string_agg(event || chr(10), '' order by seg_ord, k)) as content from l group by recording_id, part""")
 def subtitle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A subtitle file for each part, word by word over its turns, written and read again."""
+    """A subtitle file for each part, word by word over its turns, written and read again.
+
+    Every line says its whole turn again: turns are dealt before they become lines, and files are compressed.
+    """
     unit = lambda u, i: F.struct(u.alias("unit"), (F.col("start_ms") + i * 30).alias("start_ms"), (F.col("start_ms") + i * 30 + 30 * (i % 4)).alias("end_ms"))
     words = F.regexp_extract_all(F.replace("text", F.lit("\n"), F.lit(r"\N")), F.lit("[^ ]+ *"), F.lit(0))
     rows = talk(spark, sf_dir).select(F.struct("recording_id", "part", "seg_ord").alias("seg_id"), "start_ms", "end_ms", F.transform(words, unit).alias("units"))
-    events = transcripts.subtitle_events(rows).select(F.concat(F.lit("r"), F.col("seg_id.recording_id"), F.lit("_"), F.col("seg_id.part")).alias("name"), F.col("seg_id.seg_ord").alias("seg_ord"), "k", "event")
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "seg_id.recording_id", "seg_id.part").sortWithinPartitions("seg_id")
+    events = transcripts.subtitle_events(dealt).select(F.concat(F.lit("r"), F.col("seg_id.recording_id"), F.lit("_"), F.col("seg_id.part")).alias("name"), "event")
     folder = f"{fresh_folder(spark, 'subtitles')}/ass"
-    files.write_subtitles(events, "name", ["seg_ord", "k"], folder)
-    read = spark.read.option("pathGlobFilter", "*.ass").text(folder, wholetext=True)
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.ass$", 1)
+    files.write_dealt_subtitles(events, "name", folder, "gzip")
+    read = spark.read.option("pathGlobFilter", "*.ass.gz").text(folder, wholetext=True)
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.ass\.gz$", 1)
     return read.select(name.alias("name"), F.regexp_count("value", F.lit("(?m)^Dialogue: ")).cast("long").alias("n_events"), F.md5(F.col("value").cast("binary")).alias("content"))
 
 

@@ -7,7 +7,7 @@ to the range in which its first sample lies, so rows are the same however files
 
 ``df.write.format("wav").mode("append").save(folder)`` writes a file for each row
 (name, rate, samples); ``format("ass")`` writes a subtitle file for each run of rows with one
-name (name, event).  Tasks write to a staging folder beside the target; the commit
+name (name, event), as ``name.ass.gz`` with the option ``compression=gzip``.  Tasks write to a staging folder beside the target; the commit
 moves all of it and marks the folder, an abort or a failed task leaves nothing but what was
 there.  A name that is taken, in the folder or twice in one write, fails the write.
 
@@ -137,7 +137,7 @@ class Staged(WriterCommitMessage):
 class StagedWriter(DataSourceWriter):
     """Files under a staging folder, and their names, until all of a write's tasks are done."""
 
-    suffix = ""
+    suffix, compression = "", None
 
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.overwrite, self.staging = options["path"].rstrip("/"), overwrite, f"_staging-{uuid.uuid4().hex}"
@@ -153,7 +153,7 @@ class StagedWriter(DataSourceWriter):
             if not name or "/" in name or name.startswith(("_", ".")):
                 raise ValueError(f"not a file's name: {name!r}")
             files.append((f"{mine}/{len(files)}", f"{name}.{self.suffix}"))
-            with where.open_output_stream(files[-1][0]) as out:
+            with where.open_output_stream(files[-1][0], compression=self.compression) as out:
                 for piece in pieces:
                     out.write(piece)
         return Staged(files)
@@ -197,6 +197,13 @@ class WavWriter(StagedWriter):
 class SubtitleWriter(StagedWriter):
     suffix = "ass"
 
+    def __init__(self, options: dict, overwrite: bool):
+        super().__init__(options, overwrite)
+        if (kind := options.get("compression", "none")) not in ("none", "gzip"):
+            raise ValueError(f"no compression of this name: {kind}")
+        if kind == "gzip":
+            self.suffix, self.compression = "ass.gz", "gzip"
+
     def contents(self, rows: Iterator) -> Iterator[tuple[str, Iterator[bytes]]]:
         """A file for each run of rows with one name; its lines go out as they come."""
         rows = iter(rows)
@@ -252,8 +259,12 @@ def write_slices(audio: DataFrame, spans: DataFrame, keys: list[str], name: str,
     cut.select(F.col(name).alias("name"), F.lit(rate).alias("rate"), sliced(F.col("samples"), F.col("b")).cast("array<smallint>").alias("samples")).write.format("wav").mode("append").save(folder)
 
 
-def write_subtitles(events: DataFrame, name: str, order: list[str], folder: str) -> None:
+def write_subtitles(events: DataFrame, name: str, order: list[str], folder: str, compression: str = "none") -> None:
     """A subtitle file for each name, its events in order."""
+    write_dealt_subtitles(events.repartition(name).sortWithinPartitions(name, *order), name, folder, compression)
+
+
+def write_dealt_subtitles(events: DataFrame, name: str, folder: str, compression: str = "none") -> None:
+    """The same for events of which a name's are in one partition already, one after another and in order."""
     register(events.sparkSession)
-    dealt = events.repartition(name).sortWithinPartitions(name, *order)
-    dealt.select(F.col(name).alias("name"), "event").write.format("ass").mode("append").save(folder)
+    events.select(F.col(name).alias("name"), "event").write.format("ass").option("compression", compression).mode("append").save(folder)

@@ -181,14 +181,17 @@ def padded_chunk(start_ms: Column, end_ms: Column, total_ms: Column, pad: int =
 def subtitle_events(rows: DataFrame) -> DataFrame:
     """Subtitle lines: the sentence over its whole time, then one line for each unit (min 80 ms) with it coloured.
 
-    ``rows`` has seg_id, start_ms, end_ms and units (array of unit, start_ms, end_ms).
+    ``rows`` has seg_id, start_ms, end_ms and units (array of unit, start_ms, end_ms).  Every line
+    says the whole sentence, so rows are best dealt and sorted before: lines come in their order.
     """
     line = lambda layer, a, b, said: F.concat(F.lit(f"Dialogue: {layer},"), tx.ass_time(a / 1000), F.lit(","), tx.ass_time(b / 1000), F.lit(",Default,,0,0,0,,"), said)
     names = F.transform("units", lambda u: u["unit"])
-    base = rows.select("seg_id", F.lit(-1).alias("k"), line(0, F.col("start_ms"), F.col("end_ms"), F.array_join(names, "")).alias("event"))
-    each = rows.select("seg_id", names.alias("names"), F.posexplode("units").alias("k", "u"))
-    marked = each.select("seg_id", "k", line(1, F.col("u.start_ms"), F.greatest(F.col("u.end_ms"), F.col("u.start_ms") + 80), tx.highlight(F.col("names"), F.col("k"))).alias("event"))
-    return base.unionByName(marked)
+    last = F.coalesce(F.size("units"), F.lit(0)) - 1
+    each = rows.select("seg_id", "start_ms", "end_ms", "units", names.alias("names"), F.explode(F.sequence(F.lit(-1), F.greatest(last, F.lit(-1)))).alias("k"))
+    each = each.withColumn("u", F.when(F.col("k") >= 0, F.get("units", F.col("k"))))
+    base = line(0, F.col("start_ms"), F.col("end_ms"), F.array_join("names", ""))
+    marked = line(1, F.col("u.start_ms"), F.greatest(F.col("u.end_ms"), F.col("u.start_ms") + 80), tx.highlight(F.col("names"), F.col("k")))
+    return each.select("seg_id", "k", F.when(F.col("k") < 0, base).otherwise(marked).alias("event"))
 
 
 def manifest(clips: DataFrame, folder: str, suffix: str = "mkv") -> DataFrame:

@@ -83,3 +83,22 @@ def test_slices_and_subtitles(spark, tmp_path):
     lines = (tmp_path / "t" / "x.ass").read_text(encoding="utf-8").split("\n")
     assert lines[1] == "Title: x" and lines[-6:] == [*(f"Dialogue: {k},é" for k in range(5)), ""]
     assert all_files(tmp_path / "t") == ["_SUCCESS", "x.ass", "y.ass"]
+
+
+def test_dealt_turns_become_compressed_files_in_order(spark, tmp_path):
+    from parlance.sources import transcripts
+
+    said = {0: ["a ", "bé ", "c"], 1: [], 2: ["only"]}
+    data = [((r, s), 100 * s, 100 * s + 90, [(u, 0, 10) for u in units]) for r in range(3) for s, units in reversed(said.items())]
+    rows = spark.createDataFrame(data, "seg_id struct<rec:int,seg:int>, start_ms long, end_ms long, units array<struct<unit:string,start_ms:long,end_ms:long>>").repartition(5)
+    events = transcripts.subtitle_events(rows.repartition(2, "seg_id.rec").sortWithinPartitions("seg_id"))
+    assert "Exchange" not in events._jdf.queryExecution().executedPlan().toString().split("Sort", 1)[0]  # lines themselves aren't shuffled
+    files.write_dealt_subtitles(events.withColumn("name", F.concat(F.lit("n"), "seg_id.rec")), "name", str(tmp_path / "z"), "gzip")
+    files.write_subtitles(events.withColumn("name", F.concat(F.lit("n"), "seg_id.rec")), "name", ["seg_id", "k"], str(tmp_path / "p"))
+    assert all_files(tmp_path / "z") == ["_SUCCESS", "n0.ass.gz", "n1.ass.gz", "n2.ass.gz"]
+    read = lambda folder, kind: {r.value for r in spark.read.option("pathGlobFilter", kind).text(str(tmp_path / folder), wholetext=True).collect()}
+    assert read("z", "*.ass.gz") == read("p", "*.ass") and len(read("z", "*.ass.gz")) == 3
+    lines = [x.split(",,0,0,0,,")[1] for x in (tmp_path / "p" / "n1.ass").read_text(encoding="utf-8").split("\n") if x.startswith("Dialogue")]
+    assert lines == ["a bé c", r"{\c&H00FFFF&}a {\r}bé c", r"a {\c&H00FFFF&}bé {\r}c", r"a bé {\c&H00FFFF&}c{\r}", "", "only", r"{\c&H00FFFF&}only{\r}"]
+    with pytest.raises(Exception):
+        files.write_dealt_subtitles(events.withColumn("name", F.lit("x")), "name", str(tmp_path / "q"), "other")
