@@ -2,7 +2,8 @@
 
 ``spark.read.format("wav").load(folder)`` gives rows of at most ``block`` samples.  A plan
 is made from file sizes alone: files are cut into ranges of ``partition_bytes`` and
-small ones share a partition; each task reads the headers of its own files.  A row belongs
+small ones share a partition; beyond ``max_partitions`` of these, as many as are needed go to one
+task, range by range.  Each task reads the headers of its own files.  A row belongs
 to the range in which its first sample lies, so rows are the same however files are cut.
 
 ``df.write.format("wav").mode("append").save(folder)`` writes a file for each row
@@ -32,7 +33,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-BLOCK, PARTITION_BYTES = 160_000, 1 << 26
+BLOCK, PARTITION_BYTES, MAX_PARTITIONS = 160_000, 1 << 26, 1000
+#: Samples' bytes that a task puts together before it hands rows on.
+BATCH_BYTES = 1 << 20
 WAV_ROWS = "recording string, first long, rate int, channels int, samples array<short>"
 # The head of a subtitle file.
 ASS_HEAD = (
@@ -77,6 +80,12 @@ def planned(files: list[tuple[str, int]], most: int) -> list[list[Range]]:
     return out
 
 
+def gathered(plan: list[list[Range]], most: int) -> list[list[Range]]:
+    """The plan's ranges, in order, in at most ``most`` parts of about as many of its partitions."""
+    n = min(len(plan), most)
+    return [[r for p in plan[k * len(plan) // n : (k + 1) * len(plan) // n] for r in p] for k in range(n)]
+
+
 def wav_head(file) -> tuple[int, int, int, int] | None:
     """Rate, channels, place of the first sample and number of frames of 16-bit PCM; None for anything else."""
     if (head := file.read(12))[:4] != b"RIFF" or head[8:] != b"WAVE":
@@ -98,24 +107,36 @@ def wav_head(file) -> tuple[int, int, int, int] | None:
 class WavReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.block, self.most = options["path"], int(options.get("block", BLOCK)), int(options.get("partition_bytes", PARTITION_BYTES))
+        self.parts = int(options.get("max_partitions", MAX_PARTITIONS))
 
     def partitions(self) -> list[InputPartition]:
         where, folder = opened(self.path)
         found = where.get_file_info(fs.FileSelector(folder, recursive=True))
-        return [Ranges(r) for r in planned([(f.path, f.size) for f in found if f.is_file and f.extension.lower() == "wav"], self.most)]
+        plan = planned([(f.path, f.size) for f in found if f.is_file and f.extension.lower() == "wav"], self.most)
+        return [Ranges(r) for r in gathered(plan, self.parts)]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
-        where, _ = opened(self.path)
         names = [x.split(" ")[0] for x in WAV_ROWS.split(", ")]
         types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int16())]
-        row = lambda *values: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=names)
+        held, size = [], 0
+        for row in self.rows(partition):
+            held.append(row)
+            size += 64 + (0 if row[4] is None else 2 * len(row[4]))
+            if size >= BATCH_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types, strict=True)], names=names)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types, strict=True)], names=names)
+
+    def rows(self, partition: Ranges) -> Iterator[tuple]:
+        where, _ = opened(self.path)
         for part in partition.ranges:
             name = part.path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
             with where.open_input_file(part.path) as file:
                 head = wav_head(file)
                 if head is None or not head[3]:
                     if part.low == 0:
-                        yield row(name, 0, *(head[:2] if head else (None, None)), [] if head else None)
+                        yield name, 0, *(head[:2] if head else (None, None)), [] if head else None
                     continue
                 rate, channels, at, n = head
                 size = 2 * channels
@@ -125,7 +146,7 @@ class WavReader(DataSourceReader):
                 while k * self.block < n and at + k * step < part.high:
                     file.seek(at + k * step)
                     data = file.read(min(self.block, n - k * self.block) * size)
-                    yield row(name, k * self.block, rate, channels, np.frombuffer(data, "<i2"))
+                    yield name, k * self.block, rate, channels, np.frombuffer(data, "<i2")
                     k += 1
 
 

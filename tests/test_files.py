@@ -102,3 +102,17 @@ def test_dealt_turns_become_compressed_files_in_order(spark, tmp_path):
     assert lines == ["a bé c", r"{\c&H00FFFF&}a {\r}bé c", r"a {\c&H00FFFF&}bé {\r}c", r"a bé {\c&H00FFFF&}c{\r}", "", "only", r"{\c&H00FFFF&}only{\r}"]
     with pytest.raises(Exception):
         files.write_dealt_subtitles(events.withColumn("name", F.lit("x")), "name", str(tmp_path / "q"), "other")
+
+
+def test_ranges_go_to_a_bounded_number_of_tasks(spark, recordings):
+    folder, data = recordings
+    plan = files.planned([(f"f{i:04}", 1000) for i in range(3000)], 700)
+    bounded = files.gathered(plan, 1000)
+    assert len(plan) == 6000 and len(bounded) == 1000 and [r for p in bounded for r in p] == [r for p in plan for r in p]
+    assert {len(p) for p in bounded} == {6} and files.gathered([], 5) == []
+    rows = spark.read.format("wav").option("block", 100).option("partition_bytes", 700).option("max_partitions", 3).load(str(folder))
+    assert rows.rdd.getNumPartitions() == 3
+    got = {}
+    for r in sorted(rows.collect(), key=lambda r: (r.recording, r["first"])):
+        got[r.recording] = got.get(r.recording, []) + r.samples
+    assert got == data
