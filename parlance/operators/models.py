@@ -30,6 +30,8 @@ METHODS = {
     "reason": ("prompt", "arguments string"),
 }
 UNKNOWN_BELOW = 0.5
+#: Answers that a partition of requests hands on at a time.
+HANDED_ON = 256
 
 
 class Fake:
@@ -115,9 +117,9 @@ def requests(rows: DataFrame, method: str, backend: Callable = Fake, limit: int
     """``rows`` with a served model's answers, a request for each row, of which at most ``limit`` are open in the whole cluster.
 
     Rows are dealt evenly to ``limit // at_once`` partitions, each of which keeps a sliding
-    window of ``at_once`` requests; whatever computes the rows runs as wide as before, as
+    window of ``at_once`` requests and hands answers on some hundred at a time; whatever computes the rows runs as wide as before, as
     the dealing is a shuffle.  A limit of 1 is one request at a time.  Answers stay
-    with their rows, in order, and a partition holds a window of them.  A lost executor's
+    with their rows, in order.  A lost executor's
     partition is asked again; tasks must not run speculatively where the limit is strict.
     """
     if not 1 <= at_once <= limit:
@@ -127,9 +129,15 @@ def requests(rows: DataFrame, method: str, backend: Callable = Fake, limit: int
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = _model(backend, method, tries)
-        each = (pdf.iloc[[i]] for pdf in batches for i in range(len(pdf)))
-        for row, out in in_order(each, lambda row: ask(row[column].reset_index(drop=True)), at_once):
-            yield pd.concat([row[names].reset_index(drop=True), out.reset_index(drop=True)], axis=1)
+        parts = (pdf.iloc[low : low + HANDED_ON].reset_index(drop=True) for pdf in batches for low in range(0, len(pdf), HANDED_ON))
+        each = ((part, i) for part in parts for i in range(len(part)))
+        outs: list[pd.DataFrame] = []
+        # the window goes on over the parts' ends
+        for (part, i), out in in_order(each, lambda x: ask(x[0][column].iloc[x[1] : x[1] + 1].reset_index(drop=True)), at_once):
+            outs.append(out)
+            if i == len(part) - 1:
+                yield pd.concat([part[names], pd.concat(outs, ignore_index=True)], axis=1)
+                outs = []
 
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", " + answer
     return rows.repartition(limit // at_once).mapInPandas(run, schema)

@@ -74,3 +74,23 @@ def test_a_failing_request_is_asked_again_and_a_bound_makes_sense(spark):
     with pytest.raises(ValueError):
         models.requests(spark.range(1), "describe", limit=2, at_once=3)
     assert models.requests(spark.createDataFrame([], "prompt string"), "describe").collect() == []
+
+
+def test_answers_are_handed_on_together(spark, monkeypatch):
+    sizes, real = [], pd.concat
+    prompts = [f"p{i}" for i in range(600)]
+
+    class Rows:
+        columns, dtypes = ["prompt"], [("prompt", "string")]
+
+        def repartition(self, n):
+            return self
+
+        def mapInPandas(self, run, schema):
+            out = list(run(iter([pd.DataFrame({"prompt": prompts[:500]}), pd.DataFrame({"prompt": prompts[500:]})])))
+            sizes.extend(len(x) for x in out)
+            return real(out)
+
+    got = models.requests(Rows(), "describe")
+    assert sizes == [256, 244, 100] and got["prompt"].tolist() == prompts
+    assert all(str(len(p)) in r for p, r in zip(prompts, got["response"]))
