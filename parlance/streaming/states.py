@@ -46,7 +46,7 @@ class _Timed(StatefulProcessor):
 
     def advance(self, latest: int, wait: int, timers) -> None:
         """The key's time is at least ``latest``; its timer goes off ``wait`` later."""
-        before, timer = self.clock.get() if self.clock.exists() else (0, 0)
+        before, timer = self.clock.get() or (0, 0)
         latest = max(before, latest, timers.getCurrentWatermarkInMs())
         if timer:
             self.handle.deleteTimer(timer)
@@ -123,51 +123,60 @@ class _Jobs(_Timed):
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.job = handle.getValueState("job", "status string, ts long, n_events long, result string")
-        self.early = handle.getMapState("early", "ts long, turn int, kind string", "n int, detail string")
-
-    def settle(self, key, until: int) -> Iterator[Row]:
-        """Apply what lies before ``until``, in order of time and of the steps a job goes through."""
-        due = sorted((k for k in self.early.keys() if k[0] < until), key=tuple)
-        if not due:
-            return
-        status, last, n, result = self.job.get() if self.job.exists() else (None, 0, 0, None)
+        # one value, so that a key's events cost a call a batch and not several each
+        self.early = handle.getValueState("early", "events array<struct<ts:long,turn:int,kind:string,n:int,detail:string>>")
+
+    def waiting(self) -> dict:
+        """What waits, by time and step: how often it came, and the first one's detail."""
+        held = self.early.get()
+        return {tuple(e)[:3]: tuple(e)[3:] for e in held[0]} if held else {}
+
+    def settle(self, key, early: dict, before: bool, timers) -> Iterator[Row]:
+        """Apply what lies before the watermark, in order of time and of the steps a job goes through, and set the next timer.
+
+        It goes off at the first event that waits, or when a finished job is forgotten.  ``before`` tells whether the state has any that wait.
+        """
+        until = timers.getCurrentWatermarkInMs()
+        status, last, n, result = self.job.get() or (None, 0, 0, None)
+        due = sorted(k for k in early if k[0] < until)
         for at in due:
-            times, detail = self.early.getValue(tuple(at))
-            self.early.removeKey(tuple(at))
+            times, detail = early.pop(at)
             for _ in range(times):
                 n += 1
                 allowed, to = ((status,), "deleted") if at[2] == "delete" else MOVES.get(at[2], ((), None))
                 if status in allowed:
                     status, result = to, detail if to == "done" else None
             last = at[0]
-        self.job.update((status, last, n, result))
-        yield Row(job_id=key[0], status=status, ts_ms=last, n_events=n, result=result)
-
-    def plan(self, timers) -> None:
-        """The next timer: at the first event that waits, or when a finished job is forgotten."""
-        status, last = (self.job.get()[0], self.job.get()[1]) if self.job.exists() else (None, 0)
-        waiting = min((k[0] for k in self.early.keys()), default=None)
-        _, timer = self.clock.get() if self.clock.exists() else (0, 0)
-        if timer:
-            self.handle.deleteTimer(timer)
-        at = waiting + 1 if waiting is not None else last + self.ttl_ms if status in ("done", "error", "deleted") else 0
-        at = at and max(at, timers.getCurrentWatermarkInMs() + 1)
-        if at:
-            self.handle.registerTimer(at)
-        self.clock.update((last, at))
+        if early:
+            self.early.update(([(*k, *v) for k, v in early.items()],))
+        elif before:
+            self.early.clear()
+        if due:
+            self.job.update((status, last, n, result))
+        _, timer = self.clock.get() or (0, 0)
+        at = min(k[0] for k in early) + 1 if early else last + self.ttl_ms if status in ("done", "error", "deleted") else 0
+        at = at and max(at, until + 1)
+        if timer != at:
+            if timer:
+                self.handle.deleteTimer(timer)
+            if at:
+                self.handle.registerTimer(at)
+            self.clock.update((last, at))
+        if due:
+            yield Row(job_id=key[0], status=status, ts_ms=last, n_events=n, result=result)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        early = self.waiting()
+        before = bool(early)
         for r in rows:
             at = (r.at, self.ORDER.get(r.kind, len(self.ORDER)), r.kind or "")
-            n, detail = self.early.getValue(at) if self.early.containsKey(at) else (0, r.detail)
-            self.early.updateValue(at, (n + 1, detail))
-        yield from self.settle(key, timerValues.getCurrentWatermarkInMs())
-        self.plan(timerValues)
+            n, detail = early.get(at, (0, r.detail))
+            early[at] = (n + 1, detail)
+        yield from self.settle(key, early, before, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if any(True for _ in self.early.keys()):
-            yield from self.settle(key, timerValues.getCurrentWatermarkInMs())
-            self.plan(timerValues)
+        if early := self.waiting():
+            yield from self.settle(key, early, True, timerValues)
         else:
             for state in (self.job, self.early, self.clock):
                 state.clear()
@@ -202,34 +211,52 @@ class _Text(_Timed):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.progress = handle.getValueState("progress", "due int, ended boolean")
+        self.progress = handle.getValueState("progress", "due int, ended boolean, n_early int")
         self.text = handle.getListState("text", "piece string")
         self.early = handle.getMapState("early", "n int", "piece string, last boolean")
 
     def whole(self, key, status: str, n: int) -> Row:
-        return Row(stream_id=key[0], status=status, n_pieces=n, text="".join(p[0] for p in self.text.get()) if self.text.exists() else "")
+        return Row(stream_id=key[0], status=status, n_pieces=n, text="".join(p[0] for p in self.text.get()))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        due, ended = self.progress.get() if self.progress.exists() else (0, False)
-        latest = 0
+        before = self.progress.get()
+        due, ended, n_early = before or (0, False, 0)
+        was_ended, latest, came, new = ended, 0, {}, []
         for r in rows:
             latest = max(latest, r.at)
-            if not ended and r.n >= due and not self.early.containsKey((r.n,)):
-                self.early.updateValue((r.n,), (r.piece or "", bool(r.last)))
-        while not ended and self.early.containsKey((due,)):
-            piece, ended = self.early.getValue((due,))
-            self.early.removeKey((due,))
-            self.text.appendValue((piece,))
+            if not ended and r.n >= due and r.n not in came:
+                came[r.n] = (r.piece or "", bool(r.last))
+        # the state is asked only for what this batch doesn't have; of two with one number, the first that came counts
+        while not ended and (due in came or n_early):
+            if n_early and self.early.containsKey((due,)):
+                piece, ended = self.early.getValue((due,))
+                self.early.removeKey((due,))
+                n_early -= 1
+                came.pop(due, None)
+            elif due in came:
+                piece, ended = came.pop(due)
+            else:
+                break
+            new.append(piece)
             due += 1
-        if ended and (self.text.exists() or not self.progress.exists()):
-            yield self.whole(key, "done", due)
-            self.text.clear()
-            self.early.clear()
-        self.progress.update((due, ended))
+        if ended and not was_ended:
+            first = [p[0] for p in self.text.get()] if before else []
+            yield Row(stream_id=key[0], status="done", n_pieces=due, text="".join(first + new))
+            if before:
+                self.text.clear()
+                self.early.clear()
+        elif not ended:
+            if new:
+                self.text.appendList([(p,) for p in new])
+            for n, piece in came.items():
+                if not (n_early and self.early.containsKey((n,))):
+                    self.early.updateValue((n,), piece)
+                    n_early += 1
+        self.progress.update((due, ended, 0 if ended else n_early))
         self.advance(latest, self.keep_ms if ended else self.stall_ms, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        due, ended = self.progress.get()
+        due, ended, _ = self.progress.get()
         if not ended:
             yield self.whole(key, "stalled", due)
         for state in (self.progress, self.text, self.early, self.clock):

@@ -133,3 +133,77 @@ def test_a_job_has_the_status_of_its_log_in_any_order(spark, tmp_path):
         feed.put([{"job_id": "clock", "ts": at(minutes), "kind": "start"}])
         feed.run()
     assert all(r.status in ("queued", "processing") for r in states.job_table(spark, feed.checkpoint).collect())
+
+
+class Calls:
+    """Named state in memory that counts what is asked of it."""
+
+    def __init__(self):
+        self.n, self.held = 0, {}
+
+    def getValueState(self, name, schema):
+        return self._state(name, None)
+
+    def getListState(self, name, schema):
+        return self._state(name, [])
+
+    def getMapState(self, name, key_schema, value_schema):
+        return self._state(name, {})
+
+    def registerTimer(self, at):
+        self.n += 1
+
+    deleteTimer = registerTimer
+
+    def getCurrentWatermarkInMs(self):
+        return 10**9
+
+    def _state(self, name, empty):
+        calls, held = self, self.held
+        held[name] = empty
+
+        class State:
+            def __getattr__(self, what):
+                def call(*args):
+                    calls.n += 1
+                    now = held[name]
+                    if what == "get":
+                        return now if not isinstance(now, list) else iter(now)
+                    if what == "exists":
+                        return now not in (None, [])
+                    if what == "update":
+                        held[name] = args[0]
+                    elif what == "clear":
+                        held[name] = None if empty is None else type(empty)()
+                    elif what in ("appendList", "appendValue"):
+                        now.extend(args[0] if what == "appendList" else args)
+                    elif what == "containsKey":
+                        return args[0] in now
+                    elif what == "getValue":
+                        return now[args[0]]
+                    elif what == "updateValue":
+                        now[args[0]] = args[1]
+                    elif what == "removeKey":
+                        del now[args[0]]
+                    elif what == "keys":
+                        return iter(list(now))
+
+                return call
+
+        return State()
+
+
+def test_a_batch_costs_a_key_few_calls_however_many_rows(spark):
+    from pyspark.sql import Row
+
+    calls, text = Calls(), states._Text(1000, 1000)
+    text.init(calls)
+    pieces = [Row(at=n, n=n, piece=f"<{n}>", last=n == 199) for n in range(200)]
+    assert list(text.handleInputRows(("a",), iter(pieces[:150][::-1]), calls)) == []
+    (done,) = text.handleInputRows(("a",), iter(pieces[100:]), calls)
+    assert done.text == "".join(p.piece for p in pieces) and done.n_pieces == 200 and calls.n < 30
+    calls, job = Calls(), states._Jobs(1000)
+    job.init(calls)
+    events = [Row(at=t, kind="start" if t else "upload", detail=None) for t in range(200)]
+    (row,) = job.handleInputRows(("j",), iter(events[::-1]), calls)
+    assert (row.status, row.n_events, row.ts_ms) == ("processing", 200, 199) and calls.n < 15
