@@ -70,11 +70,15 @@ FLUSH = 2_000_000
 FILTER_BITS = 1 << 23
 #: A shingle is common if, in runs of documents, more than one in so many has it, and that many in all.
 COMMON_SHARE, COMMON_LEAST = 2048, 8
+#: As many shingles are common at most, those that most documents have: others seldom fall on their places in the filter.
+COMMON_MOST = FILTER_BITS // 8
+#: Bytes of text cut into shingles at a time: its arrays stay in a core's cache.
+SHINGLE_BYTES = 1 << 19
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, row of each shingle, shingle) for runs of a batch's texts."""
-    for first, data, offsets in tb.runs(column):
+    for first, data, offsets in tb.runs(column, SHINGLE_BYTES):
         data = tb.LOWER[data]
         starts, ends, row = tb.words(data, offsets, tb.NOT_SPACE)
         row, value = tb.row_shingles(row, tb.span_hashes(data, starts, ends), width, len(offsets) - 1)
@@ -82,11 +86,10 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.nd
 
 
 def _sums(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-    """Sum of 64-bit values by row, modulo 2**64 (two exact halves: a row has under 2**21 values)."""
-    low = np.bincount(row, (value & U64(0xFFFFFFFF)).astype(np.float64), n).astype(U64)
-    high = np.bincount(row, (value >> U64(32)).astype(np.float64), n).astype(U64)
-    with np.errstate(over="ignore"):
-        return low + (high << U64(32))
+    """Sum of 64-bit values by row, modulo 2**64."""
+    out = np.zeros(n, U64)
+    np.add.at(out, row, value)
+    return out
 
 
 def _set_keys(row: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -288,14 +291,15 @@ def _unpacked(pieces: dict[int, bytes]) -> np.ndarray:
 def common_shingles(docs: DataFrame, width: int) -> dict[int, bytes]:
     """The places of shingles that many documents have, as a bit map.
 
-    Every document counts.  What is common decides how many candidates there are, never
-    which documents link.
+    Every document counts.  Shingles are counted as themselves: counted by place, different ones
+    would add up there, and the more documents there are, the more places would look common.
+    What is common decides how many candidates there are, never which documents link.
     """
 
     def emit(value: list[np.ndarray], rows: int) -> pa.RecordBatch:
-        place, times = np.unique(_place(np.concatenate(value)), return_counts=True)
+        shingle, times = np.unique(np.concatenate(value), return_counts=True)
         many = times >= max(2, rows // COMMON_SHARE)
-        return pa.RecordBatch.from_arrays([pa.array(place[many]), pa.array(times[many])], names=["place", "times"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (shingle[many].view(np.int64), _place(shingle[many]), times[many])], names=["shingle", "place", "times"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, rows, held = [], 0, 0
@@ -309,8 +313,16 @@ def common_shingles(docs: DataFrame, width: int) -> dict[int, bytes]:
         if held:
             yield emit(values, rows)
 
-    counted = docs.select("text").mapInArrow(scan, "place long, times long").groupBy("place").agg(F.sum("times").alias("times"))
-    return _bitmap(counted.where(F.col("times") >= COMMON_LEAST))
+    counted = docs.select("text").mapInArrow(scan, "shingle long, place long, times long").groupBy("shingle", "place").agg(F.sum("times").alias("times"))
+    many = cut(counted.where(F.col("times") >= COMMON_LEAST).select("place", "times"))
+    # from the most frequent down, by powers of two of how many documents have them
+    least, left = COMMON_LEAST, COMMON_MOST
+    for r in many.groupBy(F.floor(F.log2("times")).alias("k")).count().orderBy(F.desc("k")).collect():
+        left -= r["count"]
+        if left < 0:
+            least = 2 << r["k"]
+            break
+    return _bitmap(many.where(F.col("times") >= least))
 
 
 def _groups(docs: DataFrame, least: DataFrame, width: int, percent: int, largest: int) -> DataFrame:

@@ -85,10 +85,13 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread every input bit over the 64 bits of the result (a bijection)."""
     with np.errstate(over="ignore"):
-        x = x + U64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-        return x ^ (x >> U64(31))
+        x = np.asarray(x + U64(0x9E3779B97F4A7C15))
+        x ^= x >> U64(30)
+        x *= U64(0xBF58476D1CE4E5B9)
+        x ^= x >> U64(27)
+        x *= U64(0x94D049BB133111EB)
+        x ^= x >> U64(31)
+        return x[()]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -136,29 +139,29 @@ def row_shingles(row: np.ndarray, hashes: np.ndarray, width: int, n_rows: int) -
     A row of fewer words, but not none, is one shingle of all its words.
     """
     count = np.bincount(row, minlength=n_rows)
+    first = np.cumsum(count) - count
+    size = np.where(count > 0, np.maximum(count - width + 1, 1), 0)
+    ends = np.cumsum(size)
+    of, value = np.repeat(np.arange(n_rows), size), np.empty(size.sum(), U64)
     with np.errstate(over="ignore"):
         tail = len(hashes) - width + 1
-        parts = []
         if tail > 0:
-            same = row[: max(tail, 0)] == row[width - 1 :]
-            value = np.zeros(tail, U64)
+            runs = np.zeros(tail, U64)
             for k in range(width):
-                value = mix(value + hashes[k : k + tail])
-            parts.append((row[:tail][same], value[same]))
-        short = (count > 0) & (count < width)
-        if short.any():
-            first = np.cumsum(count) - count
-            for k in range(1, width):
-                rows = np.flatnonzero(count == k)
-                value = np.full(len(rows), U64(0xA5A5_0000 + k))
+                runs += hashes[k : k + tail]
+                runs = mix(runs)
+            value[(count >= width)[of]] = runs[row[:tail] == row[width - 1 :]]
+        for k in range(1, width):
+            rows = np.flatnonzero(count == k)
+            if len(rows):
+                short = np.full(len(rows), U64(0xA5A5_0000 + k))
                 for j in range(k):
-                    value = mix(value + hashes[first[rows] + j])
-                parts.append((rows, value))
-    if not parts:
-        return np.empty(0, np.int64), np.empty(0, U64)
-    row, value = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.lexsort((value, row))
-    row, value = row[order], value[order]
-    keep = np.ones(len(row), bool)
-    keep[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
-    return row[keep], value[keep]
+                    short = mix(short + hashes[first[rows] + j])
+                value[ends[rows] - 1] = short
+    # a row's values lie together, and many short sorts are quicker than a long one by two keys
+    many = np.flatnonzero(size > 1)
+    for a, b in zip((ends - size)[many].tolist(), ends[many].tolist(), strict=True):
+        value[a:b].sort()
+    keep = np.ones(len(value), bool)
+    keep[1:] = (of[1:] != of[:-1]) | (value[1:] != value[:-1])
+    return of[keep], value[keep]

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from parlance.llm import ngram_join
+from parlance.llm import textbytes as tb
 
 
 def by_hand(rows, width, percent):
@@ -165,3 +166,34 @@ def test_linked_sets_share_an_entry_whatever_is_common(percent):
                 rare = np.array([v not in is_common for v in x.tolist()])
                 found.append(set(scheme.columns(np.zeros(len(x), np.int64), x, 1, rare)[1].tolist()))
             assert found[0] & found[1]
+
+
+def test_different_shingles_of_one_place_are_not_common_together(spark, monkeypatch):
+    """As in very many runs: places meet again and again by chance, shingles don't."""
+    monkeypatch.setattr(ngram_join, "FLUSH", 1 << 13)
+    monkeypatch.setattr(ngram_join, "_place", lambda value: (tb.mix(value) & np.uint64(0x7FFF)).astype(np.int64))
+    docs = spark.range(4000).selectExpr("id", "array_join(transform(sequence(0, 59), i -> concat('w', id, '_', i)), ' ') as text").coalesce(1)
+    assert ngram_join.common_shingles(docs, 5) == {}
+
+
+def test_of_too_many_common_shingles_the_most_frequent_count(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "COMMON_MOST", 40)
+    passage = lambda name: " ".join(f"{name}{i}" for i in range(30))
+    docs = spark.createDataFrame([(k, passage("a" if k < 40 else "b")) for k in range(50)], "id long, text string").coalesce(1)
+    common = ngram_join.common_shingles(docs, 5)
+    assert sum(int.from_bytes(x, "little").bit_count() for x in common.values()) == 26
+    monkeypatch.undo()
+    assert sum(int.from_bytes(x, "little").bit_count() for x in ngram_join.common_shingles(docs, 5).values()) == 52
+
+
+def test_shingles_of_rows_are_those_of_each_by_itself():
+    rng = np.random.default_rng(5)
+    for width in (1, 2, 3, 5):
+        count = rng.integers(0, 9, 200)
+        row, hashes = np.repeat(np.arange(200), count), rng.integers(0, 5, count.sum()).astype(np.uint64)
+        of, value = tb.row_shingles(row, hashes, width, 200)
+        for k in range(200):
+            mine = hashes[row == k]
+            _, want = tb.row_shingles(np.zeros(len(mine), np.int64), mine, width, 1)
+            assert value[of == k].tolist() == want.tolist() == sorted(set(want.tolist()))
+            assert len(want) == (min(len(mine), 1) if len(mine) < width else len({tuple(mine[i : i + width]) for i in range(len(mine) - width + 1)}))
