@@ -12,6 +12,8 @@ from parlance.sources.shared import fresh_folder
 from parlance.streaming import states
 
 FOREVER_MS = 10**12
+#: States that the turns' pieces share: some thousand open texts each, where there are millions.
+BUCKETS = 512
 
 
 def _run(made: DataFrame, folder: str) -> DataFrame:
@@ -79,4 +81,4 @@ def token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = turns.select("*", k.alias("n")).select("stream_id", F.timestamp_seconds(1_704_067_200 + F.col("n")).alias("ts"), "n", F.expr("substring(text, n * 40 + 1, 40)").alias("piece"), (F.col("n") == F.col("size") - 1).alias("last"))
     pieces.union(pieces.where("n % 3 = 0")).repartition(3, F.xxhash64("stream_id", "n", F.rand(1))).write.parquet(f"{folder}/in")
     feed = spark.readStream.schema(states.PIECES).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    return _run(states.token_texts(feed, "1 day"), folder).withColumn("text", F.md5(F.col("text").cast("binary")))
+    return _run(states.token_texts(feed, "1 day", buckets=BUCKETS), folder).withColumn("text", F.md5(F.col("text").cast("binary")))

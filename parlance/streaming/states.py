@@ -1,15 +1,17 @@
 """Streams with true state: parts and events in any order, repeated or late, give what the batch gives.
 
 Each key's state is a few named variables in the state store: a value for where it stands
-and a map of what came too early.  Event-time timers end it, so a replay from the
-checkpoint ends the same keys at the same rows; what arrives behind the watermark is left
-out by the engine, so nothing can start a key again after it was forgotten.
+and a map of what came too early; streamed answers, where they are many, share a key by
+buckets.  Event-time timers end it, so a replay from the checkpoint ends the same keys at
+the same rows; what arrives behind the watermark is left out by the engine, so nothing can
+start a key again after it was forgotten.
 
 Bounds: a key holds what came early and isn't yet due, at most as long as the timer waits.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -203,72 +205,94 @@ def job_table(spark: SparkSession, checkpoint: str) -> DataFrame:
 PIECES = "stream_id string, ts timestamp, n int, piece string, last boolean"
 
 
-class _Text(_Timed):
-    """A text that grows by numbered pieces, and the pieces that came before their turn."""
+class _Text(StatefulProcessor):
+    """Texts that grow by numbered pieces, and the pieces that came before their turn.
+
+    A key is a stream or a bucket of streams, whose state is one value, read and written whole: a
+    batch costs a bucket a few state calls, and not each stream or piece several.  Rows without
+    ``stream_id`` are the key's own.
+    """
 
     def __init__(self, stall_ms: int, keep_ms: int):
         self.stall_ms, self.keep_ms = stall_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.progress = handle.getValueState("progress", "due int, ended boolean, n_early int")
-        self.text = handle.getListState("text", "piece string")
-        self.early = handle.getMapState("early", "n int", "piece string, last boolean")
+        self.handle = handle
+        # the streams as JSON, each [stream_id, latest, due, ended, text, [[n, piece, last], ...]]
+        self.progress = handle.getValueState("progress", "timer long, streams string")
 
-    def whole(self, key, status: str, n: int) -> Row:
-        return Row(stream_id=key[0], status=status, n_pieces=n, text="".join(p[0] for p in self.text.get()))
+    def close(self) -> None:
+        pass
+
+    def read(self) -> tuple[int, dict]:
+        """The timer that is set, or 0, and (latest, due, ended, text, early) of each stream."""
+        timer, streams = self.progress.get() or (0, "[]")
+        return timer, {stream: state for stream, *state in json.loads(streams)}
+
+    def until(self, latest: int, ended: bool) -> int:
+        """When a stream's wait ends, or a finished one is forgotten."""
+        return latest + (self.keep_ms if ended else self.stall_ms)
+
+    def write(self, streams: dict, timer: int) -> None:
+        """Hold all streams, with one timer, for the first of them; ``timer`` is set."""
+        if not streams:
+            self.progress.clear()
+            return
+        at = min(self.until(latest, ended) for latest, _, ended, _, _ in streams.values())
+        if at != timer:
+            if timer:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(at)
+        self.progress.update((at, json.dumps([(stream, *state) for stream, state in streams.items()], ensure_ascii=False)))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        before = self.progress.get()
-        due, ended, n_early = before or (0, False, 0)
-        was_ended, latest, came, new = ended, 0, {}, []
+        timer, streams = self.read()
+        came, watermark = {}, timerValues.getCurrentWatermarkInMs()
         for r in rows:
-            latest = max(latest, r.at)
-            if not ended and r.n >= due and r.n not in came:
-                came[r.n] = (r.piece or "", bool(r.last))
-        # the state is asked only for what this batch doesn't have; of two with one number, the first that came counts
-        while not ended and (due in came or n_early):
-            if n_early and self.early.containsKey((due,)):
-                piece, ended = self.early.getValue((due,))
-                self.early.removeKey((due,))
-                n_early -= 1
-                came.pop(due, None)
-            elif due in came:
-                piece, ended = came.pop(due)
-            else:
-                break
-            new.append(piece)
-            due += 1
-        if ended and not was_ended:
-            first = [p[0] for p in self.text.get()] if before else []
-            yield Row(stream_id=key[0], status="done", n_pieces=due, text="".join(first + new))
-            if before:
-                self.text.clear()
-                self.early.clear()
-        elif not ended:
-            if new:
-                self.text.appendList([(p,) for p in new])
-            for n, piece in came.items():
-                if not (n_early and self.early.containsKey((n,))):
-                    self.early.updateValue((n,), piece)
-                    n_early += 1
-        self.progress.update((due, ended, 0 if ended else n_early))
-        self.advance(latest, self.keep_ms if ended else self.stall_ms, timerValues)
+            came.setdefault(r.stream_id if "stream_id" in r else key[0], []).append((r.at, r.n, r.piece or "", bool(r.last)))
+        for stream, new in came.items():
+            latest, due, ended, text, early = streams.get(stream, (0, 0, False, "", ()))
+            latest = max(latest, watermark, *(at for at, *_ in new))
+            if not ended:
+                # of two with one number, the first that came counts
+                waiting = {n: (piece, last) for n, piece, last in early}
+                for _, n, piece, last in new:
+                    if n >= due:
+                        waiting.setdefault(n, (piece, last))
+                grown = [text]
+                while not ended and due in waiting:
+                    piece, ended = waiting.pop(due)
+                    grown.append(piece)
+                    due += 1
+                text = "".join(grown)
+                if ended:
+                    yield Row(stream_id=stream, status="done", n_pieces=due, text=text)
+                    text, waiting = "", {}
+                early = [(n, *piece) for n, piece in waiting.items()]
+            streams[stream] = (latest, due, ended, text, early)
+        self.write(streams, timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        due, ended, _ = self.progress.get()
-        if not ended:
-            yield self.whole(key, "stalled", due)
-        for state in (self.progress, self.text, self.early, self.clock):
-            state.clear()
+        now, left = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()), {}
+        for stream, state in self.read()[1].items():
+            latest, due, ended, text, _ = state
+            if self.until(latest, ended) > now:
+                left[stream] = state
+            elif not ended:
+                yield Row(stream_id=stream, status="stalled", n_pieces=due, text=text)
+        self.write(left, 0)
 
 
-def token_texts(pieces: DataFrame, late: str = "10 minutes", stall_ms: int = STALL_MS, keep_ms: int = KEEP_MS) -> DataFrame:
+def token_texts(pieces: DataFrame, late: str = "10 minutes", stall_ms: int = STALL_MS, keep_ms: int = KEEP_MS, buckets: int | None = None) -> DataFrame:
     """(stream_id, status, n_pieces, text): a model's streamed answers, each once, when its last piece and all before it are there.
 
     Pieces (see ``PIECES``) are numbered from 0, the last is marked; they may come in any order
     and again.  What waits for a piece longer than ``stall_ms`` of event time gives what it has
-    in a row, as ``stalled``.
+    in a row, as ``stalled``.  Each stream has state of its own; with ``buckets``, where many are
+    open at once, so many states hold them, and a task one of these at a time.  A checkpoint goes
+    on only with the number it began with.
     """
     with_state_store(pieces.sparkSession)
-    return _timed(pieces, late, "stream_id").transformWithState(_Text(stall_ms, keep_ms), "stream_id string, status string, n_pieces int, text string", "Append", "EventTime")
+    key = "stream_id" if buckets is None else "bucket"
+    rows = pieces if buckets is None else pieces.withColumn(key, F.pmod(F.xxhash64("stream_id"), F.lit(buckets)))
+    return _timed(rows, late, key).transformWithState(_Text(stall_ms, keep_ms), "stream_id string, status string, n_pieces int, text string", "Append", "EventTime")

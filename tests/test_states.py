@@ -207,3 +207,30 @@ def test_a_batch_costs_a_key_few_calls_however_many_rows(spark):
     events = [Row(at=t, kind="start" if t else "upload", detail=None) for t in range(200)]
     (row,) = job.handleInputRows(("j",), iter(events[::-1]), calls)
     assert (row.status, row.n_events, row.ts_ms) == ("processing", 200, 199) and calls.n < 15
+
+
+def test_waiting_pieces_and_the_streams_of_a_bucket_cost_no_call_each(spark):
+    from pyspark.sql import Row
+
+    calls, text = Calls(), states._Text(1000, 1000)
+    text.init(calls)
+    pieces = [Row(stream_id=f"s{k}", at=n, n=n, piece=f"<{k}.{n}>", last=n == 19) for k in range(50) for n in range(20)]
+    assert list(text.handleInputRows((0,), iter([p for p in pieces if p.n][::-1]), calls)) == [] and calls.n < 10
+    done = list(text.handleInputRows((0,), iter([p for p in pieces if not p.n]), calls))
+    assert {r.stream_id: r.text for r in done} == {f"s{k}": "".join(f"<{k}.{n}>" for n in range(20)) for k in range(50)}
+    assert list(text.handleInputRows((0,), iter(pieces[:40]), calls)) == [] and calls.n < 20
+
+
+def test_streams_of_one_bucket_end_each_at_its_own_time(spark, tmp_path):
+    feed = Feed(spark, tmp_path, states.PIECES, lambda s: states.token_texts(s, "5 minutes", 600_000, 600_000, buckets=1))
+    piece = lambda stream, minute, n, last=False: {"stream_id": stream, "ts": at(minute), "n": n, "piece": f"{stream}{n}", "last": last}
+    batches = [
+        [piece("a", 0, 0), piece("b", 0, 1, True), piece("c", 0, 0), piece("c", 0, 2), piece(None, 0, 0)],
+        [piece("b", 1, 0), piece("a", 1, 0), piece("c", 14, 3, True), piece(None, 1, 1, True)],
+        [piece("clock", 18, 1)],
+        [piece("c", 19, 1)],
+    ]
+    for batch in batches:
+        feed.put(batch)
+        out = feed.run()
+    assert sorted((r.stream_id or "", r.status, r.n_pieces, r.text) for r in out) == [("", "done", 2, "None0None1"), ("a", "stalled", 1, "a0"), ("b", "done", 2, "b0b1"), ("c", "done", 4, "c0c1c2c3")]
